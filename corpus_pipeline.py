@@ -56,7 +56,7 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("suffix_d
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = common.read(spark, sf_dir, "documents")
+    docs = queries.documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:

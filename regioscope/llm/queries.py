@@ -15,23 +15,29 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; long texts cross to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return common.read(spark, sf_dir, "documents")
+
+
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = resample.resample(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    got = resample.resample(documents(spark, sf_dir), common.read(spark, sf_dir, "labels"))
     return got.select("doc_id", "n_ngrams", "log_weight", "sample_key", "selected")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = jaccard.jaccard_classes(common.read(spark, sf_dir, "documents"))
+    got = jaccard.jaccard_classes(documents(spark, sf_dir))
     return got.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sentences.dedup_sentences(common.read(spark, sf_dir, "documents"), keep=["doc_id"])
+    got = sentences.dedup_sentences(documents(spark, sf_dir), keep=["doc_id"])
     return got.select("row.doc_id", "n_sentences", "n_removed", F.array_join("removed", ",").alias("removed"), "kept_sha256")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = decontaminate.decontaminate(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    got = decontaminate.decontaminate(documents(spark, sf_dir), common.read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return got.select(
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -39,29 +45,29 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = shards.shard(common.read(spark, sf_dir, "documents"))
+    got = shards.shard(documents(spark, sf_dir))
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = suffix.dedup_substrings(common.read(spark, sf_dir, "documents"), keep=["doc_id"])
+    got = suffix.dedup_substrings(documents(spark, sf_dir), keep=["doc_id"])
     return got.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op7_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return toxicity.toxicity(documents(spark, sf_dir), common.read(spark, sf_dir, "labels"))
 
 
 def op8_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.read(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(documents(spark, sf_dir), vocabulary())
 
 
 def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(common.read(spark, sf_dir, "documents"))
+    return langid.identify(documents(spark, sf_dir))
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.edited_fingerprints(common.read(spark, sf_dir, "documents"))
+    return winnow.edited_fingerprints(documents(spark, sf_dir))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

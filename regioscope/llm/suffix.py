@@ -39,6 +39,7 @@ LEAST = -(1 << 63)
 GRAM = 24
 #: An anchor hash with more contexts than this is dealt out by common bytes too.
 HEAVY = 4096
+MOST_HEAVY = 20_000
 BLOCK = 8
 
 
@@ -141,10 +142,10 @@ def suffix_sort(data: np.ndarray, c: np.ndarray, group: np.ndarray, at: np.ndarr
 def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether n bytes at a and at b are the same, row by row."""
     out = np.ones(len(a), bool)
-    for i in range(0, len(a), 1 << 15):
-        m = n[i : i + (1 << 15)]
+    for i in range(0, len(a), 1 << 13):
+        m = n[i : i + (1 << 13)]
         step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        differ = data[np.repeat(a[i : i + (1 << 15)], m) + step] != data[np.repeat(b[i : i + (1 << 15)], m) + step]
+        differ = data[np.repeat(a[i : i + (1 << 13)], m) + step] != data[np.repeat(b[i : i + (1 << 13)], m) + step]
         if differ.any():
             out[i + np.repeat(np.arange(len(m)), m)[differ]] = False
     return out
@@ -223,9 +224,14 @@ def _anchor_rows(length: int):
             differs[group[other]] = True
             sure = differs[group]
             lead = f[differs]  # one row of a known repeat still meets the other tasks' rows
-            cols = [K.i64(np.concatenate((h, h[lead]))), np.concatenate((mark, mark[lead])), np.concatenate((packed, packed[lead])), np.concatenate((sure, np.zeros(len(lead), bool)))]
-            for a in range(0, len(cols[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in cols], ["h", "mark", "packed", "sure"])
+            # rows meet by hash; a known repeat keeps its hash aside and is dealt out by its place
+            own = K.i64(h)
+            apart = K.i64(K.mix(mark.view(np.uint64) ^ K.mix(packed.view(np.uint64))))
+            cols = [np.concatenate((np.where(sure, apart, own), own[lead])), np.concatenate((mark, mark[lead])), np.concatenate((packed, packed[lead])), np.concatenate((own, own[lead]))]
+            bare = np.concatenate((~sure, np.ones(len(lead), bool)))
+            for a in range(0, len(bare), 1 << 16):
+                b = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[b]) for x in cols[:3]), pa.array(cols[3][b], mask=bare[b])], ["meet", "mark", "packed", "sure_h"])
 
         for data, offs, more in K.batches(source, "text", "mark"):
             marks = more["mark"].to_numpy()
@@ -242,12 +248,18 @@ def _anchor_rows(length: int):
     return emit
 
 
+def packed_rows(cols: list[list[np.ndarray]], texts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+    off = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+    ctx = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.concatenate(texts))])
+    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), ctx], ["h", "part", "doc", "mark", "place", "ctx"])
+
+
 def _contexts(length: int):
     def emit(source):
         for batch in source:
             raw, offs = K.text_arrays(batch.column("text"))
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            texts, sizes = [], []
+            texts, sizes, held = [], [], 0
             doc, mark = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
             heavy = batch.column("heavy")
             for d, (packed, hs) in enumerate(zip(batch.column("packed"), batch.column("hs"), strict=True)):
@@ -273,16 +285,14 @@ def _contexts(length: int):
                 at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 texts.append(t[at])
                 sizes.append(n)
+                held += int(n.sum())
                 for c, v in zip(cols, (h, part, np.full(len(h), doc[d]), np.full(len(h), mark[d]), s << 7 | hi), strict=True):
                     c.append(v)
-            if not texts:
-                continue
-            off = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-            flat = np.concatenate(texts)
-            flat_cols = [np.concatenate(c) for c in cols]
-            for a, b in K.pieces(off, 8 << 20):
-                ctx = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((off[a : b + 1] - off[a]).astype(np.int32)), pa.py_buffer(flat[off[a] : off[b]])])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[a:b]) for c in flat_cols), ctx], ["h", "part", "doc", "mark", "place", "ctx"])
+                if held > 4 << 20:
+                    yield packed_rows(cols, texts, sizes)
+                    cols, texts, sizes, held = [[], [], [], [], []], [], [], 0
+            if texts:
+                yield packed_rows(cols, texts, sizes)
 
     return emit
 
@@ -313,7 +323,7 @@ def _ranges(length: int):
         for batch in source:  # sorted by (h, part): groups are whole between key changes
             held.append(batch)
             size += batch.nbytes
-            if size > 6 << 20:
+            if size > 2 << 20:
                 t = pa.Table.from_batches(held).combine_chunks()
                 h, part = t.column("h").to_numpy(), t.column("part").to_numpy()
                 brk = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]))
@@ -369,20 +379,16 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LEAST)).alias("doc"), F.xxhash64(body).alias("mark"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
     )
     firsts = base.select("doc", "mark", F.octet_length("text").alias("n")).where(F.col("n") >= length).groupBy("mark", "n").agg(F.min("doc").alias("first_doc"))
-    rows = base.select("text", "mark").mapInArrow(_anchor_rows(length), "h bigint, mark bigint, packed bigint, sure boolean")
-    meet = F.when(F.col("sure"), F.xxhash64("mark", "packed")).otherwise(F.col("h"))
-    place = F.xxhash64("mark", F.shiftright("packed", 14))
+    rows = base.select("text", "mark").mapInArrow(_anchor_rows(length), "meet bigint, mark bigint, packed bigint, sure_h bigint")
     w = Window.partitionBy("meet")
-    repeated = (
-        rows.withColumn("meet", meet).withColumn("place", place)
-        .withColumn("apart", F.min("place").over(w) != F.max("place").over(w))
-        .where("sure or apart").select("h", "mark", "packed").distinct()
-    )
-    repeated = cut(repeated)
-    heavy = repeated.groupBy("h").count().where(F.col("count") > HEAVY).select("h", F.lit(True).alias("heavy"))
+    differ = (F.min("mark").over(w) != F.max("mark").over(w)) | (F.min("packed").over(w) != F.max("packed").over(w))
+    repeated = cut(rows.withColumn("differ", differ).where("sure_h is not null or differ").select(F.coalesce("sure_h", "meet").alias("h"), "mark", "packed"))
+    # heavy hashes are bounded in number, as each has more than 1 / MOST_HEAVY of the rows
+    most = max(HEAVY, repeated.count() // MOST_HEAVY)
+    heavy = repeated.groupBy("h").count().where(F.col("count") > most).select("h", F.lit(True).alias("heavy"))
     by_text = (
-        repeated.join(heavy, "h", "left").groupBy("mark")
-        .agg(F.collect_list(F.struct("packed", "h", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("x"))
+        repeated.join(F.broadcast(heavy), "h", "left").groupBy("mark")
+        .agg(F.collect_set(F.struct("packed", "h", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("x"))
         .select("mark", F.col("x.packed").alias("packed"), F.col("x.h").alias("hs"), F.col("x.heavy").alias("heavy"))
         .join(firsts.select("mark", F.col("first_doc").alias("doc")).groupBy("mark").agg(F.min("doc").alias("doc")), "mark")
     )

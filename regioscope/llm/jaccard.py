@@ -30,7 +30,8 @@ from . import kernel as K
 from .common import components, cut
 
 LEAST = -(1 << 63)
-SKETCH = 1 << 20
+SKETCH_BITS = 18
+SKETCH = 1 << SKETCH_BITS
 MOST_M = 4
 
 
@@ -64,7 +65,7 @@ class Order:
         self.noise = mean
 
     def bucket(self, r: np.ndarray) -> np.ndarray:
-        return (r >> np.uint64(44)).astype(np.int64)
+        return (r >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
     def sort(self, r: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         doc = np.repeat(np.arange(len(to) - 1), np.diff(to))
@@ -97,7 +98,7 @@ def _digest(n: int):
         sketch = np.zeros(SKETCH, np.int64)
         for data, offs, more in K.batches(source, "text", "doc"):
             r, to = shingles(data, offs, n)
-            sketch += np.bincount((r >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+            sketch += np.bincount((r >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=SKETCH)
             size = np.diff(to)
             a = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(r), dtype=np.uint64)))
             b = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(r ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
@@ -209,8 +210,8 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     base = docs.select(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LEAST)).alias("doc"), F.col(f"`{text}`").alias("text"))
     got = cut(base.mapInArrow(_digest(n), "kind int, doc bigint, n bigint, k1 bigint, k2 bigint"))
     counts = np.zeros(SKETCH, np.int64)
-    for b, x in got.where("kind = 1").groupBy("doc").agg(F.sum("n")).collect():
-        counts[b] = x
+    sketch = got.where("kind = 1").groupBy("doc").agg(F.sum("n").alias("n")).toArrow()
+    counts[sketch.column("doc").to_numpy()] = sketch.column("n").to_numpy()
     order = spark.sparkContext.broadcast(Order(counts))
     keyed = got.where("kind = 0").select("doc", "n", "k1", "k2")
     nodes = keyed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("node"))

@@ -1 +1,87 @@
-"""Placeholder."""
+"""Text normalisation, page parsing, catalogues of headings, canonical titles, file manifests."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..catalogue import query
+from ..functions import text as T
+from ..operators import pages, titles
+from ..sources import files
+from ..sources.tables import regional_cells, table
+
+_SQL_FOLD = f"regexp_replace(lower(translate(replace(replace({{x}}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{T.ACCENTED}', '{T.PLAIN}')), '[^a-z]', '', 'g')"
+
+
+@query("text_normalise", f"""WITH t AS (SELECT doc_id, text || ' ' || CAST(doc_id AS VARCHAR) || '.2' AS x FROM documents)
+SELECT doc_id, {_SQL_FOLD.format(x="x")} AS folded, lower(trim(regexp_replace(regexp_replace(x, '[^A-Za-zÀ-ÿ0-9]+', ' ', 'g'), ' +', ' ', 'g'), ' ')) AS latin_title,
+ trim(lower(translate(replace(replace(regexp_replace(x, '\\s+[\\d.]+$', ''), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{T.ACCENTED}', '{T.PLAIN}')), ' ') AS stem,
+ array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(x, '[؀-ۿ]+', ' ', 'g'), ' '), '\\s+'), lambda t: regexp_matches(t, '[A-Za-zÀ-ÿ0-9]')), ' ') AS latin_tokens FROM t""")
+def text_normalise(spark, sf_dir) -> DataFrame:
+    """Whole texts as labels, with a table number behind."""
+    x = F.concat("text", F.lit(" "), F.col("doc_id").cast("string"), F.lit(".2"))
+    t = table(spark, sf_dir, "documents").select("doc_id", x.alias("x"))
+    return t.select("doc_id", T.fold(F.col("x")).alias("folded"), T.latin_title(F.col("x")).alias("latin_title"), T.stem(F.col("x")).alias("stem"), T.latin_tokens(F.col("x")).alias("latin_tokens"))
+
+
+@query("number_repair", """WITH t AS (SELECT p_partkey AS product, CAST(p_partkey * 7 + 1000 AS VARCHAR) AS n FROM part) SELECT product, CAST(n AS DOUBLE) + 0.5 AS doubled, CAST(n AS DOUBLE) + 0.2 AS split_decimal, CAST(n AS DOUBLE) + 0.25 AS comma FROM t""")
+def number_repair(spark, sf_dir) -> DataFrame:
+    """Numbers rendered with doubled glyphs, a split decimal and a decimal comma, read back."""
+    n = (F.col("p_partkey") * 7 + 1000).cast("string")
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product"), n.alias("n"))
+    doubled = F.regexp_replace(F.concat("n", F.lit(".5")), "(.)", "$1$1")
+    split = F.concat("n", F.lit(" .2"))
+    return t.select("product", T.number(doubled).alias("doubled"), T.number(T.rejoin_decimal(split)).alias("split_decimal"), T.number(F.concat("n", F.lit(",25"))).alias("comma"))
+
+
+def rendered_pages(cells: DataFrame) -> DataFrame:
+    """One page by indicator: heading, unit line, reversed years, a row by unit, as a yearbook prints them."""
+    years = list(range(2001, 1994, -1))
+    row = cells.groupBy("segment", "nation").pivot("year", years).agg(F.first("value"))
+    num = [F.regexp_replace(F.format_string("%,.2f", F.coalesce(F.col(str(y)), F.lit(0.0))), ",", " ") for y in years]
+    line = F.concat(F.rpad("nation", 24, " "), F.concat_ws("   ", *num), F.lit("   الولاية"))
+    head = F.concat(F.lit("2."), (F.length("segment") % 9 + 1).cast("string"), F.lit(" Valeur par gouvernorat "), F.lower("segment"), F.lit("  4.2\nUnité : dinars\nGouvernorat  " + "  ".join(map(str, years)) + "  الولاية\n"))
+    body = row.withColumn("line", line).groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nation", "line"))), lambda s: s["line"]), "\n").alias("body"))
+    return body.select(F.xxhash64("segment").alias("page"), F.concat(head, "body").alias("text"))
+
+
+@query("table_page_parse", """WITH c AS (SELECT c_mktsegment AS segment, year(o_orderdate) AS y, n_name AS nation, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+g AS (SELECT segment, nation, CAST(y AS INT) AS y FROM (SELECT DISTINCT segment, nation FROM c), generate_series(1995, 2001) AS t(y))
+SELECT '2.' || (length(segment) % 9 + 1) AS table_number, 'Valeur par gouvernorat ' || lower(segment) AS title, nation AS row_label, 'data' AS row_kind, y AS year, round_even(coalesce(v, 0), 2) AS value FROM g LEFT JOIN c USING (segment, nation, y)""")
+def table_page_parse(spark, sf_dir) -> DataFrame:
+    """Round trip: cells are rendered as fixed-layout pages and parsed back."""
+    got = pages.parse_pages(rendered_pages(regional_cells(spark, sf_dir)))
+    return got.where("reason is null").select("table_number", "title", "row_label", "row_kind", "year", F.bround("value", 2).alias("value"))
+
+
+@query("heading_catalogue", """SELECT DISTINCT '2.' || (length(c_mktsegment) % 9 + 1) AS table_number, 'Valeur par gouvernorat ' || lower(c_mktsegment) AS title FROM customer JOIN orders ON o_custkey = c_custkey""")
+def heading_catalogue(spark, sf_dir) -> DataFrame:
+    """Headings of all pages by native expressions: lines exploded, contents entries refused, trailing numbers stripped."""
+    lines = rendered_pages(regional_cells(spark, sf_dir)).select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("line"))
+    pattern = r"^(\d{1,2}(?:\.\d{1,2}){1,2})\s+(\S.*)$"
+    title = F.regexp_replace(F.regexp_replace(F.regexp_extract("line", pattern, 2), r"\s+", " "), r"[\s.]*\b\d{1,3}(?:\.\d{1,2})*\s*$", "")
+    h = lines.where(F.col("line").rlike(pattern) & ~F.col("line").contains("....")).select(F.regexp_extract("line", pattern, 1).alias("table_number"), F.trim(title).alias("title"))
+    return h.where((F.length("title") >= 9) & F.col("title").rlike("[A-Za-zÀ-ÿ]{3}")).distinct()
+
+
+@query("canonical_titles")
+def canonical_titles(spark, sf_dir) -> DataFrame:
+    """Titles that grow over editions (a prefix of one another, agreeing on their shared cells) get one name."""
+    cells = regional_cells(spark, sf_dir)
+    title = F.concat(F.lit("Valeur des commandes "), F.lower("segment"), F.when(F.col("year") % 3 == 1, F.lit(" par gouvernorat")).when(F.col("year") % 3 == 2, F.lit(" par gouvernorat 2.4")).otherwise(F.lit("")))
+    printed = cells.select(F.lit("2").alias("chapter"), title.alias("title"), F.col("nation").alias("row_label"), "year", "value")
+    later = cells.select(F.lit("2"), F.concat(F.lit("Valeur des commandes "), F.lower("segment")), "nation", "year", "value")
+    return titles.canonical(printed.union(later), ["row_label", "year"])
+
+
+@query("manifest_verify")
+def manifest_verify(spark, sf_dir) -> DataFrame:
+    """Digests of files against a manifest: ok, mismatch, missing, unlisted."""
+    found = files.scan(spark, sf_dir, "*n.parquet")
+    known = found.select("name", F.when(F.col("name") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256")).where("name <> 'region.parquet'")
+    absent = spark.createDataFrame([("absent.parquet", "1" * 64)], "name string, sha256 string")
+    return files.verify(found, known.unionByName(absent))
+
+

@@ -186,7 +186,7 @@ def train(texts: dict[str, list[str]]) -> Models:
     for k in range(1, ORDER + 1):
         keys = np.unique(np.concatenate([keyed(per[k][gi][0], k) for gi in range(len(langs))] or [np.zeros(0, np.uint64)]))
         prob = np.zeros((len(keys), len(langs)))
-        ctx = np.unique(np.concatenate([keyed(per[k][gi][2], k - 1) for gi in range(len(langs))])) if k > 1 else None
+        ctx = np.unique(np.concatenate([keyed(per[k][gi][2], k - 1) for gi in range(len(langs))] or [np.zeros(0, np.uint64)])) if k > 1 else None
         weight = np.ones((len(ctx), len(langs))) if k > 1 else np.ones(len(langs))
         for gi in range(len(langs)):
             rows, pr, cx, wt = per[k][gi]

@@ -1,18 +1,22 @@
 """Near-duplicate classes by an exact n-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set holds its distinct word shingles. All sets are ordered by one global order: shingles
-that a fixed-size frequency sketch of the whole corpus finds frequent come last, then by hash. Two
-sets of similarity t or more share at least m shingles among their first |x| - ceil(t |x|) + m, for
-any m. Each document's m is chosen by estimated cost: a longer prefix reads more postings, but a
-partner must then share m of them (of two documents' m, the smaller one counts) before it is verified.
-
-1. Documents with equal sets are one node, so copies cost one row each.
-2. Nodes that share a prefix shingle are gathered into coarse groups by star edges (partial
-   aggregation first; a frequent shingle is dealt out by salt, the salts' first nodes meet after).
-3. Within a group, prefix matches are counted from postings; pairs with enough matches and fitting
-   sizes are verified on the full sets, unless they are already connected. A group beyond ``block``
-   nodes is dealt out as pairs of blocks, so no task holds it whole. What leaves a task is a forest
-   of verified links, never all pairs of a group.
+known to be frequent come last, then by hash. Two sets of similarity t or more share at least m
+shingles among their first |x| - ceil(t |x|) + m, for any m. Each document's m is chosen by estimated
+cost: a longer prefix reads more postings, but a partner must then share m of them (of two documents'
+m, the smaller one counts) before it is verified.
+
+1. Documents with equal sets are one node, so copies cost one row each. On the same pass every task
+   tells the shingles it met often; at most MOST_FREQUENT of them are broadcast. They steer the order
+   and the choice of m, never the result.
+2. Prefix postings are counted by shingle. Up to LIMIT nodes on a shingle meet as pairs, counted
+   across shingles and kept with enough matches and fitting sizes. On a shingle with more nodes they
+   meet as star edges (dealt out by salt, the salts' first nodes meet after), never as pairs; a pair may
+   have as many of its matches there as both prefixes reach such shingles, so fewer are asked elsewhere.
+3. What is connected so far is a candidate group. Within it, prefix matches are counted from postings;
+   pairs with enough of them and fitting sizes are verified on the full sets, unless already connected.
+   A group beyond ``block`` nodes is dealt out as pairs of blocks, so no task holds it whole. What
+   leaves a task is a forest of verified links, never all pairs of a group.
 4. Components of the verified links give the classes.
 
 Edge cases: null text or no words: empty set, linked with nothing; fewer words than a shingle: the
@@ -30,9 +34,11 @@ from . import kernel as K
 from .common import components, cut
 
 LEAST = -(1 << 63)
-SKETCH_BITS = 18
-SKETCH = 1 << SKETCH_BITS
-MOST_M = 4
+#: A task tells shingles it met so often; the corpus calls so many frequent, and no more than these are kept.
+OFTEN, FREQUENT, MOST_FREQUENT = 4, 12, 400_000
+#: Nodes on one shingle that meet as pairs.
+LIMIT = 96
+_SEEN = 22
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,60 +61,107 @@ def need(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Order:
-    """The global order and the choice of m, from the sketch of frequencies."""
-
-    def __init__(self, counts: np.ndarray):
-        mean = counts.mean()
-        self.counts = counts
-        # only what stands out of the sketch's noise is frequent, whatever the corpus' size
-        self.rank = np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(4 * mean, 16))) + 1, 0, 40).astype(np.uint8)
-        self.noise = mean
-
-    def bucket(self, r: np.ndarray) -> np.ndarray:
-        return (r >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-    def sort(self, r: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        doc = np.repeat(np.arange(len(to) - 1), np.diff(to))
-        k = self.rank[self.bucket(r)]
-        if k.any():
-            r = r[np.lexsort((r, k, doc))]
-        return r, doc
+    """The global order and the choice of m, from the frequent shingles and their counts."""
+
+    def __init__(self, toks: np.ndarray, counts: np.ndarray):
+        by = np.argsort(toks)
+        self.toks, self.counts = toks[by], counts[by].astype(np.float64)
+        self.level = (1 + np.floor(np.log2(np.maximum(self.counts, 1)))).astype(np.uint8)
+        self.seen = np.zeros(1 << _SEEN, bool)
+        self.seen[toks & np.uint64((1 << _SEEN) - 1)] = True
+
+    def find(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in r that are frequent, and which they are."""
+        at = np.flatnonzero(self.seen[r & np.uint64((1 << _SEEN) - 1)])
+        if not len(at):
+            return at, at
+        k = np.minimum(np.searchsorted(self.toks, r[at]), len(self.toks) - 1)
+        ok = self.toks[k] == r[at]
+        return at[ok], k[ok]
 
     def prefixes(self, r: np.ndarray, to: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ordered shingles, m, prefix length) by document."""
-        r, doc = self.sort(r, to)
         size = np.diff(to)
-        short = size - need(size, percent)
-        others = np.maximum(self.counts[self.bucket(r)] - self.noise - 1, 0)
+        at, k = self.find(r)
+        others = np.full(len(r), 0.1)  # what any shingle may meet by chance
+        if len(at):
+            level = np.zeros(len(r), np.uint8)
+            level[at] = self.level[k]
+            others[at] = self.counts[k]
+            order = np.lexsort((r, level, np.repeat(np.arange(len(size)), size)))
+            r, others = r[order], others[order]
         total = np.concatenate(([0.0], np.cumsum(others)))
+        least = need(size, percent)
+        short = size - least
         best, m = np.full(len(size), np.inf), np.ones(len(size), np.int64)
-        for k in range(1, MOST_M + 1):
-            end = to[:-1] + np.minimum(short + k, size)
-            postings = total[end] - total[to[:-1]]
-            cost = postings + k + postings / k * size  # reading, and verifying what can match k times
-            better = (cost < best) & (k <= need(size, percent))
+        for part in (0, 64, 32, 16, 12, 8):  # m: one, or this part of the set
+            k = np.minimum(np.maximum(size // part if part else 1, 1), np.maximum(least, 1))
+            reads = total[to[:-1] + np.minimum(short + k, size)] - total[to[:-1]]
+            cost = reads + 4 * k + reads / k * size  # reading, and verifying what can match k times
+            better = cost < best
             best, m = np.where(better, cost, best), np.where(better, k, m)
         return r, m, np.minimum(short + m, size)
 
 
+def _keys(r: np.ndarray, to: np.ndarray, salt: int) -> np.ndarray:
+    """Order-free key of each set."""
+    c = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(r ^ np.uint64(salt)), dtype=np.uint64)))
+    return K.i64(K.mix(c[to[1:]] - c[to[:-1]] + np.diff(to).astype(np.uint64)))
+
+
 def _digest(n: int):
-    """By document: set size and key. By task: the sketch's counts, as rows of kind 1."""
+    """By document: set size and key (kind 0). By task: shingles met often, with their counts (kind 1)."""
 
     def emit(source):
-        sketch = np.zeros(SKETCH, np.int64)
+        held, count = [], 0
+
+        def often():
+            tok, n_docs = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            at = np.flatnonzero(n_docs >= OFTEN)
+            for a in range(0, len(at), 1 << 16):
+                x = at[a : a + (1 << 16)]
+                yield rows(1, K.i64(tok[x]), n_docs[x], x * 0, x * 0)
+
+        def rows(kind, doc, n, k1, k2):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(doc), pa.array(n), pa.array(k1), pa.array(k2)], ["kind", "doc", "n", "k1", "k2"])
+
         for data, offs, more in K.batches(source, "text", "doc"):
             r, to = shingles(data, offs, n)
-            sketch += np.bincount((r >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=SKETCH)
-            size = np.diff(to)
-            a = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(r), dtype=np.uint64)))
-            b = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(r ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-            k1, k2 = (K.mix(x[to[1:]] - x[to[:-1]] + size.astype(np.uint64)) for x in (a, b))
-            z = np.zeros(len(size), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(z), more["doc"], pa.array(size), pa.array(K.i64(k1)), pa.array(K.i64(k2))], ["kind", "doc", "n", "k1", "k2"])
-        at = np.flatnonzero(sketch)
-        for a in range(0, len(at), 1 << 17):
-            x = at[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(x), pa.array(sketch[x]), pa.array(x * 0), pa.array(x * 0)], ["kind", "doc", "n", "k1", "k2"])
+            held.append(r)
+            count += len(r)
+            if count > 6 << 20:
+                yield from often()
+                count = 0
+            yield rows(0, more["doc"], np.diff(to), _keys(r, to, 0), _keys(r, to, 0x5851F42D4C957F2D))
+        if held:
+            yield from often()
+
+    return emit
+
+
+def _postings(shared, n: int, percent: int):
+    """(shingle, salt, node, set size and m) of every prefix; the node is the set's key, once for each task.
+
+    A shingle known to be on more than LIMIT nodes is salted by its node; others have salt 0.
+    """
+
+    def emit(source):
+        order: Order = shared.value
+        done: set[int] = set()
+        for data, offs, _ in K.batches(source, "text"):
+            r, to = shingles(data, offs, n)
+            node = _keys(r, to, 0)
+            r, m, p = order.prefixes(r, to, percent)
+            new = np.array([not (x in done or done.add(x)) for x in node.tolist()], bool)
+            p = np.where(new, p, 0)
+            at = np.repeat(to[:-1] - (np.cumsum(p) - p), p) + np.arange(p.sum())
+            tok, node = r[at], np.repeat(node, p)
+            salt = np.zeros(len(tok), np.int32)
+            hot, k = order.find(tok)
+            hot = hot[order.counts[k] > LIMIT]
+            salt[hot] = 1 + (node[hot] & 63)
+            yield pa.RecordBatch.from_arrays([pa.array(K.i64(tok)), pa.array(salt), pa.array(node), pa.array(np.repeat(m << 32 | np.diff(to), p))], ["tok", "salt", "node", "nm"])
 
     return emit
 
@@ -204,27 +257,43 @@ def _verified(shared, n: int, percent: int):
     return emit
 
 
+def met(postings: DataFrame) -> DataFrame:
+    """Postings of shingles with two nodes or more, with their number; a salted shingle counts as one with many."""
+    rows = postings.withColumn("df", F.count("*").over(Window.partitionBy("tok", "salt")))
+    return rows.where("df > 1 or salt > 0").withColumn("df", F.when(F.col("salt") > 0, LIMIT + 1).otherwise(F.col("df"))).drop("salt")
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (node, least) that connect at least every pair that can match often enough."""
+    few = rows.where(F.col("df") <= LIMIT).groupBy("tok").agg(F.collect_set(F.struct("node", "nm")).alias("x"))
+    size = "({0}.nm & 4294967295)"
+    fits = f"100 * least({size.format('a')}, {size.format('b')}) >= {percent} * greatest({size.format('a')}, {size.format('b')})"
+    pair = "struct(least(a.node, b.node) as least, greatest(a.node, b.node) as node, least(shiftright(a.nm, 32), shiftright(b.nm, 32)) as m)"
+    each = F.expr(f"flatten(transform(x, (a, i) -> transform(filter(slice(x, i + 2, size(x)), b -> {fits}), b -> {pair})))")
+    pairs = few.select(F.explode(each).alias("p")).select("p.*").groupBy("node", "least", "m").agg(F.count("*").alias("n"))
+    many = rows.where(F.col("df") > LIMIT).select("tok", "node")
+    reach = many.distinct().groupBy("node").agg(F.count("*").alias("f"))
+    f = F.least(F.coalesce("f1", F.lit(0)), F.coalesce("f2", F.lit(0)))
+    pairs = pairs.join(reach.withColumnRenamed("f", "f1"), "node", "left").join(reach.select(F.col("node").alias("least"), F.col("f").alias("f2")), "least", "left")
+    pairs = pairs.where(F.col("n") >= F.col("m") - f).select("node", "least")
+    least = F.min("node").over(Window.partitionBy("tok", "salt"))
+    star = cut(many.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("least", least).select(F.when(F.col("node") == F.col("least"), F.col("tok")).alias("tok"), "node", "least").distinct())
+    heads = star.where("tok is not null").select("tok", "node").withColumn("least", F.min("node").over(Window.partitionBy("tok"))).select("node", "least")
+    return pairs.union(star.select("node", "least")).union(heads).where("node <> least").distinct()
+
+
 def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
     """doc, n_shingles, component (the smallest doc reachable by links, itself included) for every row."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LEAST)).alias("doc"), F.col(f"`{text}`").alias("text"))
     got = cut(base.mapInArrow(_digest(n), "kind int, doc bigint, n bigint, k1 bigint, k2 bigint"))
-    counts = np.zeros(SKETCH, np.int64)
-    sketch = got.where("kind = 1").groupBy("doc").agg(F.sum("n").alias("n")).toArrow()
-    counts[sketch.column("doc").to_numpy()] = sketch.column("n").to_numpy()
-    order = spark.sparkContext.broadcast(Order(counts))
+    often = got.where("kind = 1").groupBy(F.col("doc").alias("tok")).agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    often = often.orderBy(F.desc("n"), "tok").limit(MOST_FREQUENT).toArrow()
+    order = spark.sparkContext.broadcast(Order(often.column("tok").to_numpy().view(np.uint64), often.column("n").to_numpy()))
     keyed = got.where("kind = 0").select("doc", "n", "k1", "k2")
     nodes = keyed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("node"))
     of = keyed.join(nodes, ["k1", "k2", "n"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("node", "doc").alias("node"))
-    # postings carry the set's key as node; equal sets collapse in the first aggregation
-    own = base.mapInArrow(_keyed_postings(order, n, percent), "tok bigint, node bigint, hot int")
-    salt = F.when(F.col("hot") > 0, F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(F.lit(0)).cast("int")
-    least = F.min("node").over(Window.partitionBy("tok", "salt"))
-    first = own.withColumn("salt", salt).withColumn("least", least).where("node <> least or hot > 0")
-    first = cut(first.select(F.when(F.col("node") == F.col("least"), F.col("tok")).alias("tok"), "node", "least").distinct())
-    across = first.where("tok is not null").select("tok", "node").distinct()
-    across = across.withColumn("least", F.min("node").over(Window.partitionBy("tok"))).select("node", "least")
-    edges = first.where("node <> least").select("node", "least").distinct().union(across.where("node <> least"))
+    edges = candidates(cut(met(base.mapInArrow(_postings(order, n, percent), "tok bigint, salt int, node bigint, nm bigint"))), percent)
     coarse = components(edges, "node", "least").withColumnRenamed("component", "grp")
     rep = nodes.select(F.col("k1").alias("key1"), "node").groupBy("key1").agg(F.min("node").alias("node"))
     member = cut(coarse.join(rep, F.col("key1") == coarse["node"]).select(rep["node"].alias("node"), "grp"))
@@ -240,20 +309,3 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     found = dealt.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "node").mapInArrow(_verified(order, n, percent), "u bigint, v bigint")
     classes = components(cut(found), "u", "v")
     return of.join(classes, "node", "left").select("doc", "n_shingles", F.coalesce("component", "node").alias("component"))
-
-
-def _keyed_postings(shared, n: int, percent: int):
-    def emit(source):
-        order: Order = shared.value
-        for data, offs, _ in K.batches(source, "text"):
-            r, to = shingles(data, offs, n)
-            size = np.diff(to)
-            a = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(r), dtype=np.uint64)))
-            node = K.i64(K.mix(a[to[1:]] - a[to[:-1]] + size.astype(np.uint64)))
-            r, _, p = order.prefixes(r, to, percent)
-            at = np.repeat(to[:-1] - (np.cumsum(p) - p), p) + np.arange(p.sum())
-            x = r[at]
-            hot = order.rank[order.bucket(x)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(K.i64(x)), pa.array(np.repeat(node, p)), pa.array(hot)], ["tok", "node", "hot"])
-
-    return emit

@@ -249,9 +249,31 @@ def _anchor_rows(length: int):
 
 
 def packed_rows(cols: list[list[np.ndarray]], texts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-    off = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
-    ctx = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.concatenate(texts))])
-    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), ctx], ["h", "part", "doc", "mark", "place", "ctx"])
+    """Context rows, aggregated first: of equal contexts the earliest keeps its bytes.
+
+    The others repeat it from end to end. They have no bytes any more, their length stands in ``part``,
+    and they are dealt out by their place.
+    """
+    h, part, doc, mark, place = (np.concatenate(c) for c in cols)
+    data, n = np.concatenate(texts), np.concatenate(sizes)
+    off = np.concatenate(([0], np.cumsum(n)))
+    c = K.prefix_hash(data)
+    whole = K.mix((c[off[1:]] - c[off[:-1]]) * K.powers(len(c))[1][off[:-1]] + n.astype(np.uint64))
+    same_kind = K.mix(h.view(np.uint64) + K.mix(part.view(np.uint64) + (place & 127).astype(np.uint64)))
+    order = np.lexsort((place >> 7, mark, doc, whole ^ same_kind))
+    x, y = order[1:], order[:-1]
+    same = np.logical_and.reduce([v[x] == v[y] for v in (whole, n, h, part, place & 127)])
+    k = np.flatnonzero(same)
+    same[k] = equal_bytes(data, off[x[k]], off[y[k]], n[x[k]])
+    gone = np.zeros(len(h), bool)
+    gone[x[same]] = True
+    h = np.where(gone, K.i64(K.mix((doc ^ (place << 20)).view(np.uint64))), h)
+    part = np.where(gone, n, part)
+    kept = np.repeat(~gone, n)
+    to = np.concatenate(([0], np.cumsum(np.where(gone, 0, n)))).astype(np.int32)
+    valid = np.packbits(~gone, bitorder="little")
+    ctx = pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(valid), pa.py_buffer(to), pa.py_buffer(data[kept])])
+    return pa.RecordBatch.from_arrays([*(pa.array(v) for v in (h, part, doc, mark, place)), ctx], ["h", "part", "doc", "mark", "place", "ctx"])
 
 
 def _contexts(length: int):
@@ -321,6 +343,11 @@ def _ranges(length: int):
     def emit(source):
         held, size = [], 0
         for batch in source:  # sorted by (h, part): groups are whole between key changes
+            if batch.column("ctx").null_count:
+                bare = batch.filter(batch.column("ctx").is_null())
+                s = bare.column("place").to_numpy() >> 7
+                yield pa.RecordBatch.from_arrays([bare.column("doc"), bare.column("mark"), pa.array(s), pa.array(s + bare.column("part").to_numpy())], ["doc", "mark", "a", "b"])
+                batch = batch.filter(batch.column("ctx").is_valid())
             held.append(batch)
             size += batch.nbytes
             if size > 2 << 20:

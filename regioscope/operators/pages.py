@@ -181,15 +181,16 @@ def sections(lines: list[str]) -> Iterator[Section]:
         if now is None or not line.strip() or FURNITURE.match(line):
             continue
         row = split_row(line)
-        if row is None:
+        fits = row is not None and len(row.values) == len(now.header.labels)
+        if row is None or not (fits or re.search(NUM, line)):  # a dash alone may belong to a panel's name
             text = latin(line)
             if not re.search(NUM, line):
                 if text:
-                    now.rows.append(Row(text.strip(" .:-"), None))
+                    now.rows.append(Row(line.strip() if SECTION.fullmatch(line.strip()) else text.strip(" .:-"), None))
             else:
                 now.refused.append((text, "numbers are not clean"))
             continue
-        if len(row.values) != len(now.header.labels):
+        if not fits:
             now.refused.append((row.label, f"{len(row.values)} values under {len(now.header.labels)} columns"))
             continue
         if not row.label:

@@ -78,4 +78,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_ngram_jaccard_join, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_hypergeometric_shuffle, op6_suffix_dedup, op7_toxicity_machine, op8_minimum_slack_packing, op9_kneser_ney_language, op10_winnowing, pipeline)}
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK_WORDS = f"regexp_extract_all({_LOWER.format(x='text')}, '[^\\x20\\x09-\\x0D]+')"
+_ITEM_WORDS = f"regexp_extract_all({_LOWER.format(x='text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({_BLANK_WORDS}, []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL), o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM o JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)), e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT doc_id AS d, doc_id AS x FROM documents UNION SELECT r.d, e.v FROM r JOIN e ON r.x = e.u WHERE e.v < r.d OR e.v > r.d)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(x) FROM r WHERE d = w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)""",
+    "op4_benchmark_decontamination": f"""WITH w AS (SELECT doc_id, coalesce({_ITEM_WORDS}, []) AS ws FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, l, array_to_string(ws[i : i + l - 1], ' ') AS s FROM (SELECT item, ws, least(len(ws), 10) AS l, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
+pos AS (SELECT doc_id, l, i, array_to_string(ws[i : i + l - 1], ' ') AS s FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM w, (SELECT DISTINCT l FROM win) WHERE len(ws) >= l)),
+hit AS (SELECT doc_id, i, l, item FROM pos JOIN win USING (l, s)), hw AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY ALL),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM w LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+}

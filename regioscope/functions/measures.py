@@ -97,7 +97,7 @@ def tail_ratio(k: int = TAIL) -> Column:
 
 def index_family(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """One row for each group with every index; null where an index is not defined."""
-    out = {"n": F.max("_n").cast("bigint"), "mean": publish(F.max("_mu")), "gini": publish(gini_of_ranked()), "theil_t": publish(theil_t()), "theil_l": publish(theil_l()), "cv": publish(variation())}
+    out = {"n": F.max("_n").cast("bigint"), "mean": publish(F.bround(F.max("_mu"), 8)), "gini": publish(gini_of_ranked()), "theil_t": publish(theil_t()), "theil_l": publish(theil_l()), "cv": publish(variation())}
     out |= {f"atkinson_{k}": publish(atkinson(e)) for k, e in EPSILONS.items()}
     out |= {f"p{a}_p{b}": publish(percentile_ratio(a, b)) for a, b in PAIRS}
     return ranked(df, keys, value, weight).groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()])

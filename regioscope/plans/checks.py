@@ -79,7 +79,7 @@ def printed_regions(cells: DataFrame) -> DataFrame:
 
 
 @query("subtotal_check", f"""WITH {CELLS}, {_PRINTED}, p AS (SELECT segment, year, region, CAST(count(*) AS BIGINT) AS parts, sum(value) AS total, avg(value) AS mean FROM cells GROUP BY ALL)
-SELECT segment, year, region, parts, round_even(total, 2) AS total, round_even(mean, 2) AS mean, round_even(printed, 4) AS printed, round_even(total / printed - 1, 6) AS gap, segment <> 'MACHINERY' AS additive,
+SELECT segment, year, region, parts, round_even(total, 2) AS total, round_even(mean, 5) AS mean, round_even(printed, 4) AS printed, round_even(total / printed - 1, 6) AS gap, segment <> 'MACHINERY' AS additive,
  CASE WHEN segment <> 'MACHINERY' THEN abs(total - printed) <= greatest(abs(printed) * 0.02, 1.0) END AS agrees FROM p JOIN pr USING (segment, year, region)""")
 def subtotal_check(spark, sf_dir) -> DataFrame:
     """Sum and mean of parts against the printed subtotal; whether they agree is null where parts do not add up by nature."""
@@ -89,7 +89,7 @@ def subtotal_check(spark, sf_dir) -> DataFrame:
     j = parts.join(printed_regions(cells), keys)
     additive = F.col("segment") != "MACHINERY"
     return j.select(
-        *keys, "parts", F.bround("total", 2).alias("total"), F.bround("mean", 2).alias("mean"), F.bround("printed", 4).alias("printed"), M.publish(F.try_divide("total", "printed") - 1).alias("gap"),
+        *keys, "parts", F.bround("total", 2).alias("total"), F.bround("mean", 5).alias("mean"), F.bround("printed", 4).alias("printed"), M.publish(F.try_divide("total", "printed") - 1).alias("gap"),
         additive.alias("additive"), F.when(additive, _off(F.col("total") - F.col("printed"), F.col("printed"))).alias("agrees"),
     )
 

@@ -72,7 +72,7 @@ def _family_sql(weight: str) -> str:
 s AS (SELECT *, raw / sum(raw) OVER (PARTITION BY segment, year) AS w FROM b),
 r AS (SELECT *, sum(w) OVER (PARTITION BY segment, year ORDER BY y, raw ROWS UNBOUNDED PRECEDING) AS c, sum(w * y) OVER (PARTITION BY segment, year) AS mu FROM s),
 g AS (SELECT segment, year, sum(p.w * q.w * abs(p.y - q.y)) AS d FROM s p JOIN s q USING (segment, year) GROUP BY ALL)
-SELECT segment, year, count(*) AS n, round_even(any_value(mu), 6) AS mean, round_even(any_value(d) / (2 * any_value(mu)), 6) AS gini, round_even(sum(w * y / mu * ln(y / mu)), 6) AS theil_t,
+SELECT segment, year, count(*) AS n, round_even(round_even(any_value(mu), 8), 6) AS mean, round_even(any_value(d) / (2 * any_value(mu)), 6) AS gini, round_even(sum(w * y / mu * ln(y / mu)), 6) AS theil_t,
  round_even(sum(w * ln(mu / y)), 6) AS theil_l, round_even(sqrt(sum(w * (y - mu) * (y - mu))) / any_value(mu), 6) AS cv,
  round_even(1 - pow(sum(w * sqrt(y)), 2) / any_value(mu), 6) AS atkinson_0_5, round_even(1 - exp(sum(w * ln(y))) / any_value(mu), 6) AS atkinson_1, round_even(1 - (1 / sum(w / y)) / any_value(mu), 6) AS atkinson_2,
  round_even({pct(90)} / {pct(10)}, 6) AS p90_p10, round_even({pct(80)} / {pct(20)}, 6) AS p80_p20

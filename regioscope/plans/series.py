@@ -141,13 +141,13 @@ def slope_break(spark, sf_dir) -> DataFrame:
     return ginis(spark, sf_dir).groupBy("segment", period.alias("period")).agg(F.count("*").cast("bigint").alias("n"), F.bround(F.avg("gini"), 8).alias("level"), F.bround(10 * F.regr_slope("gini", F.col("year").cast("double")), 8).alias("slope_per_decade"))
 
 
-@query("segmented_level_shift_sweep", _GINIS + """ SELECT segment, CAST(b AS INT) AS break_year, round_even(regr_intercept(gini, year - b) FILTER (year >= b) - regr_intercept(gini, year - b) FILTER (year < b), 6) AS shift FROM gi, generate_series(1997, 2000) AS t(b) GROUP BY ALL""")
+@query("segmented_level_shift_sweep", _GINIS + """ SELECT segment, CAST(b AS INT) AS break_year, round_even(regr_intercept(gini, year - b) FILTER (year >= b) - regr_intercept(gini, year - b) FILTER (year < b), 8) AS shift FROM gi, generate_series(1997, 2000) AS t(b) GROUP BY ALL""")
 def segmented_level_shift_sweep(spark, sf_dir) -> DataFrame:
     """Level shift at each candidate break from two one-sided lines; one pass with every break."""
     g = ginis(spark, sf_dir).withColumn("break_year", F.explode(F.array(*[F.lit(b) for b in range(1997, 2001)])))
     x, after = (F.col("year") - F.col("break_year")).cast("double"), F.col("year") >= F.col("break_year")
     line = lambda s: F.regr_intercept(F.when(s, F.col("gini")), F.when(s, x))
-    return g.groupBy("segment", "break_year").agg(M.publish(line(after) - line(~after)).alias("shift"))
+    return g.groupBy("segment", "break_year").agg(F.bround(line(after) - line(~after), 8).alias("shift"))
 
 
 @query("normalised_to_first", f"WITH {CELLS}, n AS (SELECT segment, year, sum(value) AS v FROM cells GROUP BY ALL) SELECT segment, year, round_even(100 * v / first_value(v) OVER (PARTITION BY segment ORDER BY year), 6) AS level FROM n")

@@ -33,14 +33,14 @@ HH = """hh AS (SELECT o_orderkey AS hh_id, l.size, l.weight, c_mktsegment AS seg
 
 
 @query("microdata_decode_join", """SELECT CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' END AS status, n_name AS nation, TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) AS priority,
- CAST(count(*) AS BIGINT) AS n, round_even(avg(o_totalprice), 4) AS mean_total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+ CAST(count(*) AS BIGINT) AS n, round_even(avg(o_totalprice), 8) AS mean_total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 def microdata_decode_join(spark, sf_dir) -> DataFrame:
     """Rename, decode (an unmapped code is null), safe cast and many-to-one left joins."""
     o = D.rename(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"), {"o_orderstatus": "status", "o_orderpriority": "priority"})
     o = D.decode_frame(o, {"status": STATUS}).withColumn("priority", D.number(F.split_part("priority", F.lit("-"), F.lit(1))))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     j = o.join(c, o.o_custkey == c.c_custkey, "left").join(F.broadcast(geography(spark, sf_dir)), F.col("c_nationkey") == F.col("nationkey"), "left")
-    return j.groupBy("status", "nation", "priority").agg(F.count("*").cast("bigint").alias("n"), F.bround(F.avg("o_totalprice"), 4).alias("mean_total"))
+    return j.groupBy("status", "nation", "priority").agg(F.count("*").cast("bigint").alias("n"), F.bround(F.avg("o_totalprice"), 8).alias("mean_total"))
 
 
 @query("product_classification", """SELECT CAST(CASE p_partkey WHEN 1001 THEN 9 WHEN 1500 THEN 9 ELSE CASE WHEN p_partkey < 1000 THEN p_partkey // 100 ELSE p_partkey // 1000 END END AS INT) AS function_code,

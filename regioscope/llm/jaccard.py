@@ -300,7 +300,7 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sizes = member.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / F.lit(block))
     placed = member.join(sizes, "grp").withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")))
-    with_text = placed.join(base.withColumnRenamed("doc", "node"), "node")
+    with_text = placed.join(base.withColumnRenamed("doc", "node").hint("merge"), "node")  # one plan at every size
     # a node meets every block once: its own block stands left or right, so all pairs of blocks occur once
     dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).select(
         "grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "text"

@@ -28,7 +28,7 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = jaccard.jaccard_classes(documents(spark, sf_dir))
-    return got.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    return got.select(F.nullif(F.col("doc"), F.lit(jaccard.LEAST)).alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

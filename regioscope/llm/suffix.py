@@ -348,6 +348,8 @@ def _ranges(length: int):
                 s = bare.column("place").to_numpy() >> 7
                 yield pa.RecordBatch.from_arrays([bare.column("doc"), bare.column("mark"), pa.array(s), pa.array(s + bare.column("part").to_numpy())], ["doc", "mark", "a", "b"])
                 batch = batch.filter(batch.column("ctx").is_valid())
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.nbytes
             if size > 2 << 20:

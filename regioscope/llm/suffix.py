@@ -265,8 +265,9 @@ def packed_rows(cols: list[list[np.ndarray]], texts: list[np.ndarray], sizes: li
     same = np.logical_and.reduce([v[x] == v[y] for v in (whole, n, h, part, place & 127)])
     k = np.flatnonzero(same)
     same[k] = equal_bytes(data, off[x[k]], off[y[k]], n[x[k]])
+    elsewhere = (doc[x] != doc[y]) | (mark[x] != mark[y]) | (place[x] != place[y])  # a row met twice repeats nothing
     gone = np.zeros(len(h), bool)
-    gone[x[same]] = True
+    gone[x[same & elsewhere]] = True
     h = np.where(gone, K.i64(K.mix((doc ^ (place << 20)).view(np.uint64))), h)
     part = np.where(gone, n, part)
     kept = np.repeat(~gone, n)
@@ -421,7 +422,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         .select("mark", F.col("x.packed").alias("packed"), F.col("x.h").alias("hs"), F.col("x.heavy").alias("heavy"))
         .join(firsts.select("mark", F.col("first_doc").alias("doc")).groupBy("mark").agg(F.min("doc").alias("doc")), "mark")
     )
-    contexts = by_text.join(base.select("doc", "mark", "text"), ["doc", "mark"])
+    contexts = by_text.join(base.select("doc", "mark", "text").dropDuplicates(["doc", "mark"]), ["doc", "mark"])
     contexts = contexts.select("doc", "mark", "text", "packed", "hs", "heavy").mapInArrow(_contexts(length), "h bigint, part bigint, doc bigint, mark bigint, place bigint, ctx binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = contexts.repartition(parts, "h", "part").sortWithinPartitions("h", "part").mapInArrow(_ranges(length), "doc bigint, mark bigint, a bigint, b bigint")

@@ -41,7 +41,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, queries.vocabulary())
+    return packing.pack(docs, queries.vocabulary(), added=True)
 
 
 def _with_text(docs: DataFrame, got: DataFrame, text) -> DataFrame:

@@ -13,6 +13,8 @@ ranked in parts. Ids never pass through a shuffle.
 Tokenising: the byte-level vocabulary splits a text before it merges, and no piece crosses a single
 blank, a single line break or the end of a run of ASCII letters. Units between such places are
 encoded once for each task and looked up by hash after that, with ids equal to encoding the text whole.
+With ``added``, the file's added tokens (``<|endoftext|>``) are split off first and give their own ids,
+as ``tokenizers`` does by default; without, they are ordinary text.
 
 Edge cases: null and empty texts have just the end id; repeated rows are packed each; very long
 texts give many full pieces; an empty table gives none.
@@ -21,6 +23,7 @@ texts give many full pieces; an empty table gives none.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -65,11 +68,16 @@ class Encoder:
 
     MOST = 3_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
+        if any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens are split off as plain strings")
+        self.added = {t["content"].encode(): t["id"] for t in file["added_tokens"]} if added else {}
+        self.literal = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         of, extra = {chr(b): b for b in printable}, 256
         for b in range(256):
@@ -118,11 +126,27 @@ class Encoder:
         flat = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         self._add(hashes, ids[flat], n)
 
+    def _split(self, data: np.ndarray, offs: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Unit starts with each added token a unit of its own; a token does not reach over a document's end."""
+        raw = data.tobytes()
+        found = []
+        if any(t in raw for t in self.added):
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                found += [m.span() for m in self.literal.finditer(raw, a, b)]
+        if not found:
+            return s
+        a, b = np.array(found, np.int64).T
+        inside = np.searchsorted(a, s, "left") > np.searchsorted(b, s, "right")  # a < s < b
+        s = np.union1d(s[~inside], np.concatenate((a, b)))
+        return s[s < len(data)]
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and document offsets; without end ids."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         s = starts(data, offs)
+        if self.literal:
+            s = self._split(data, offs, s)
         e = np.append(s[1:], len(data))
         u, first, back = np.unique(K.hash_spans(data, s, e), return_index=True, return_inverse=True)
         if len(self.slot) > self.MOST:
@@ -134,6 +158,9 @@ class Encoder:
             kinds: tuple[list, list, list] = ([], [], [])
             for k in new:
                 t = raw[s[first[k]] : e[first[k]]]
+                if t in self.added:
+                    self._add([keys[k]], np.array([self.added[t]], np.int32), np.array([1]))
+                    continue
                 tail = 0x21 <= t[-1] < 0x7F or (len(t) > 1 and 0xC3 <= t[-2] < 0xE0)
                 blank = t[0] == 0x20 and len(t) > 1 and (0x21 <= t[1] < 0x7F or 0xC3 <= t[1] < 0xE0)
                 kinds[0 if blank and tail else 1 if tail and (0x21 <= t[0] < 0x7F or 0xC3 <= t[0] < 0xE0) else 2].append((keys[k], t))
@@ -149,13 +176,13 @@ class Encoder:
         return self.ids[flat], total[np.searchsorted(s, offs)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 def plan(counts: dict[int, int], window: int) -> list[tuple[int, dict[int, int]]]:
@@ -196,11 +223,11 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, dict[int, int]]
     return out
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, key: str, text: str, window: int, with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, vocabulary: str, key: str, text: str, window: int, with_ids: bool = False, added: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids) for every piece."""
 
     def emit(source):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, added)
         for data, offs, more in K.batches(source, "text", "doc_id", most=8 << 20):
             ids, at = enc.encode(data, offs)
             ids = np.insert(ids, at[1:], END_ID).astype("<u4")
@@ -222,10 +249,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, key: str, text: str, window: int
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(emit, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", window: int = 2048, rows_a_bucket: int = 100_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", window: int = 2048, rows_a_bucket: int = 100_000, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset; a sequence holds at most ``window`` ids, without gaps."""
     spark = docs.sparkSession
-    got = cut(pieces_of(docs, vocabulary, key, text, window, with_ids))
+    got = cut(pieces_of(docs, vocabulary, key, text, window, with_ids, added))
     hist = {r.length: r.n for r in got.groupBy("length").agg(F.count("*").alias("n")).collect()}
     patterns = plan({n: c for n, c in hist.items() if n < window}, window)
     rows, seq, used = [], 0, {}

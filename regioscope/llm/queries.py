@@ -59,7 +59,7 @@ def op7_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), vocabulary())
+    return packing.pack(documents(spark, sf_dir), vocabulary(), added=True)
 
 
 def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:

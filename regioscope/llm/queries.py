@@ -32,7 +32,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sentences.dedup_sentences(documents(spark, sf_dir), keep=["doc_id"])
+    got = sentences.dedup_sentences(documents(spark, sf_dir), keep=["doc_id"], grown=True)
     return got.select("row.doc_id", "n_sentences", "n_removed", F.array_join("removed", ",").alias("removed"), "kept_sha256")
 
 

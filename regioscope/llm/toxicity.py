@@ -5,8 +5,9 @@ sum_{i<j} <v_i, v_j> x_i x_j): the pair part learns that terms are toxic togethe
 second one, or with a group mention) where each alone is not. x_i = 1 + ln(count).
 
 Fitting uses at most ``most_labels`` labelled training rows (chosen by hash; a parameter), whose
-texts reach the driver as bins only. Bins are screened by the log-odds z-value of their document
-frequencies, the machine is fitted to the screened bins by Adam with logistic loss, and the fitted
+texts reach the driver as bins only. Bins are screened by their document frequencies: by the log-odds
+z-value, or by the signed root of the likelihood ratio, which a term of toxic texts alone passes too (the
+z-value's error grows without bound as a count goes to none). The machine is fitted to the screened bins by Adam with logistic loss, and the fitted
 arrays (at most ``most_terms`` rows) are broadcast. Every document is scored over its whole text.
 
 Edge cases: a text without screened terms (null, empty) scores sigmoid(w0); without labels of both
@@ -63,7 +64,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(bins: list[np.ndarray], y: np.ndarray, *, factors: int = 8, most_terms: int = 4096, least_z: float = 4.0, epochs: int = 40, rate: float = 0.03, l2: float = 1e-4, seed: int = 3) -> Machine:
+def ratio_root(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Root of the likelihood ratio statistic of each term's two document frequencies."""
+    both = toxic + clean
+    part = lambda k, n, m: k * np.log(np.where(k > 0, k, 1) * (n1 + n0) / np.where(k > 0, n * m, n1 + n0))
+    seen, rest = np.maximum(both, 1), np.maximum(n1 + n0 - both, 1)
+    g = part(toxic, seen, n1) + part(clean, seen, n0) + part(n1 - toxic, rest, n1) + part(n0 - clean, rest, n0)
+    return np.sqrt(2 * np.maximum(g, 0))
+
+
+def fit(bins: list[np.ndarray], y: np.ndarray, *, factors: int = 8, most_terms: int = BINS, least_z: float = 4.0, epochs: int = 40, rate: float = 0.03, l2: float = 1e-4, seed: int = 3) -> Machine:
     at = np.full(BINS, -1, np.int64)
     share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     flat = Machine(at, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, factors)))
@@ -76,8 +86,9 @@ def fit(bins: list[np.ndarray], y: np.ndarray, *, factors: int = 8, most_terms:
     a, c = freq[1] + 0.5, freq[0] + 0.5
     z = (np.log(a / (n1 - freq[1] + 0.5)) - np.log(c / (n0 - freq[0] + 0.5))) / np.sqrt(1 / a + 1 / c + 1 / (n1 - freq[1] + 0.5) + 1 / (n0 - freq[0] + 0.5))
     seen = freq.sum(0) >= 5
-    pick = np.flatnonzero(seen & (np.abs(z) >= least_z))
-    pick = np.sort(pick[np.argsort(-np.abs(z[pick]), kind="stable")[:most_terms]])
+    strength = np.maximum(np.abs(z), ratio_root(freq[1], freq[0], n1, n0))
+    pick = np.flatnonzero(seen & (strength >= least_z))
+    pick = np.sort(pick[np.argsort(-strength[pick], kind="stable")[:most_terms]])
     if not len(pick):
         return flat
     at[pick] = np.arange(len(pick))

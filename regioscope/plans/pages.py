@@ -78,9 +78,11 @@ def canonical_titles(spark, sf_dir) -> DataFrame:
 
 @query("manifest_verify")
 def manifest_verify(spark, sf_dir) -> DataFrame:
-    """Digests of files against a manifest: ok, mismatch, missing, unlisted."""
-    found = files.scan(spark, sf_dir, "*n.parquet")
-    known = found.select("name", F.when(F.col("name") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256")).where("name <> 'region.parquet'")
+    """Digests of all files against a manifest: ok, mismatch, missing, unlisted."""
+    found = files.scan(spark, sf_dir)
+    table_file = F.substring_index("name", "/", 1)  # a table is a file or a folder of files
+    planted = table_file.isin("nation.parquet", "documents.parquet")
+    known = found.select("name", F.when(planted, F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256")).where(~table_file.isin("region.parquet", "orders.parquet"))
     absent = spark.createDataFrame([("absent.parquet", "1" * 64)], "name string, sha256 string")
     return files.verify(found, known.unionByName(absent))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,37 @@ MAGIC = {"pdf": "25504446", "xlsx": "504B0304", "zip": "504B0304", "rar": "52617
 BIDI = "‎‏‪‫‬‭‮"
 
 
-def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, bytes, sha256 and whether the content starts as its extension says."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    name = F.substring_index("path", "/", -1)
+def scan(spark: SparkSession, path: str, pattern: str = "*", whole: int = 256 << 20) -> DataFrame:
+    """name, bytes, sha256 and whether the content starts as its extension says, for every file under the path.
+
+    A name is the path below ``path``. Files of more than ``whole`` bytes are never held: the driver's JVM digests
+    them in pieces, one after the other.
+    """
+    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    root = fs.makeQualified(at).toString().rstrip("/") + "/"
+    name = F.when(F.col("path").startswith(root), F.expr(f"substring(path, {len(root) + 1})")).otherwise(F.substring_index("path", "/", -1))
     ext = F.lower(F.substring_index(name, ".", -1))
     magic = F.create_map(*[F.lit(x) for kv in MAGIC.items() for x in kv])[ext]
     looks = F.when(magic.isNotNull(), F.hex("content").startswith(magic))
-    return f.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), looks.alias("looks_right"))
+    held = f.where(F.col("length") <= whole).select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), looks.alias("looks_right"))
+    rows = []
+    fits, listed = jvm.org.apache.hadoop.fs.GlobFilter(pattern), fs.listFiles(at, True)
+    while listed.hasNext():  # Spark's readers leave out empty files
+        one = listed.next()
+        below = one.getPath().toString().removeprefix(root)
+        if not one.getLen() and fits.accept(one.getPath()) and not any(x[:1] in ("_", ".") for x in below.split("/")):
+            rows.append((below, 0, hashlib.sha256(b"").hexdigest(), False if MAGIC.get(below.rsplit(".", 1)[-1].lower()) else None))
+    for r in f.where(F.col("length") > whole).select("path", name.alias("name"), "length").collect():
+        digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+        stream = jvm.java.security.DigestInputStream(fs.open(jvm.org.apache.hadoop.fs.Path(r.path)), digest)
+        head = bytes(x for x in (stream.read() for _ in range(4)) if x >= 0).hex().upper()
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 20, True)
+        starts = MAGIC.get(r.name.rsplit(".", 1)[-1].lower())
+        rows.append((r.name, r.length, bytes(digest.digest()).hex(), starts and head.startswith(starts)))
+    return held.unionByName(spark.createDataFrame(rows, "name string, bytes bigint, sha256 string, looks_right boolean")) if rows else held
 
 
 def verify(found: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Text is lower-cased and read as units: runs of up to eight characters without white space. Every
-``k`` consecutive units give one hash; of every window of ``w`` hashes the least is kept, the
+Text is lower-cased and read as units: a run of up to eight characters without white space is one
+unit, and of a longer run every character is. So no unit depends on where its run begins, and unspaced text
+(Chinese, Thai, encoded data) is hashed at every offset. Every ``k`` consecutive units give one hash; of every window of ``w`` hashes the least is kept, the
 rightmost of equals, with its position. Two texts that share k + w - 1 units in a row thus share a
 fingerprint. A fingerprint is packed as 36 bits of hash over 27 bits of reversed position, so that one
 array minimum picks the least hash and the rightmost place.
@@ -33,7 +34,7 @@ def _packed(h: Column, i: Column) -> Column:
 def fingerprints(df: DataFrame, text: str, out: str, k: int, w: int) -> DataFrame:
     """Adds ``out``: packed fingerprints in order of position."""
     units, keys, n, m = f"{out}_u", f"{out}_h", F.size(f"{out}_u"), F.size(f"{out}_h")
-    df = df.withColumn(units, F.regexp_extract_all(F.lower(text), F.lit(r"\S{1,8}"), F.lit(0)))
+    df = df.withColumn(units, F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\S)\S{1,8}(?!\S)|\S"), F.lit(0)))
     grams = F.transform(
         F.sequence(F.lit(1), n - (k - 1)),
         lambda i: _packed(F.xxhash64(*[F.get(units, i + (j - 1)) for j in range(k)]), i.cast("bigint") - 1),

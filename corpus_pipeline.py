@@ -1,7 +1,8 @@
 """A training-corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 quality (importance resampling; rejected documents go), near duplicates (one document of each class
-stays, the one of the smallest id), substring dedup (repeated bytes go), benchmark decontamination
+stays, the one of the smallest id, where null is the smallest; equal rows and copies without an id are
+copies like others; texts without words are in no class, but equal in id and text they are one), substring dedup (repeated bytes go), benchmark decontamination
 (hit words go), packing (pieces of token sequences). All stages but the last return the columns of
 documents; a stage that changes a text sets n_chars anew.
 """
@@ -25,9 +26,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = jaccard.jaccard_classes(docs)
-    others = got.where("component <> doc").select(F.col("doc").alias("_id")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("_id"), "left_anti")
+    rows = common.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    got = jaccard.jaccard_classes(rows, key="_row").withColumnRenamed("doc", "_row")
+    named = rows.select("_row", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(jaccard.LEAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    bare = F.col("n_shingles") == 0  # no words: in no class, but equal rows are one
+    classes = got.join(named, "_row").groupBy(*[F.when(bare if c != "component" else ~bare, F.col(c)).alias(f"by_{c}") for c in ("component", "id", "mark")])
+    kept = classes.agg(F.min(F.struct("id", "mark", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

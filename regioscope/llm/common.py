@@ -14,9 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; set here only where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one (tests) gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -30,30 +32,44 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two longs up to which a lookup table is broadcast (16 MB); beyond, a merge join that the engine splits on skew.
+LOOKUP_ROWS = 1_000_000
+
+
+def _with_least(e: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(e with m, the least of each u and its neighbours; the lookup u, m). A hub's edges stay spread over tasks.
+
+    The lookup is broadcast where it is small, as counted; else it is written first, so that the join
+    reads two plain shuffles and adaptive execution deals a hub's rows out.
+    """
+    low = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = F.broadcast(low) if rows <= LOOKUP_ROWS else cut(low)
+    return e.join(low, "u"), low
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node reachable, for every node with an edge.
 
     Alternating large-star and small-star steps: each is one grouped minimum and one join on the
     node, so a node of any degree is handled by partial aggregation, and the number of rounds grows
-    with the logarithm of a component's diameter. Every round is written to the shared folder.
+    with the logarithm of a component's diameter. Every round is written to the shared folder, and
+    rounds go on until nothing changes.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    files = max(4, e.count() // 200_000)  # a round's edges are no more than the first ones; small graphs stay in few files
+    rows = e.count()
+    files = max(4, rows // 200_000)  # a round's edges are no more than the first ones; small graphs stay in few files
     last = None
-    for _ in range(60):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.coalesce(files))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        large, _ = _with_least(both, 2 * rows)
+        large = cut(large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(files))
+        small, low = _with_least(large, rows)  # u's neighbours are all smaller, and so is m
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         e = cut(small.distinct().coalesce(files))
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("components did not settle in 60 rounds")
     star = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = star.select(F.col("component").alias("node"), "component").distinct()
     return star.union(roots)

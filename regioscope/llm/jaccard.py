@@ -6,21 +6,25 @@ shingles among their first |x| - ceil(t |x|) + m, for any m. Each document's m i
 cost: a longer prefix reads more postings, but a partner must then share m of them (of two documents'
 m, the smaller one counts) before it is verified.
 
-1. Documents with equal sets are one node, so copies cost one row each. On the same pass every task
-   tells the shingles it met often; at most MOST_FREQUENT of them are broadcast. They steer the order
-   and the choice of m, never the result.
+1. Rows with equal sets are one node (the set's 64-bit key), so copies cost one row each, whatever
+   their ids. On the same pass every task tells the shingles it met often; at most MOST_FREQUENT of them
+   are broadcast. They steer the order and the choice of m, never the result.
 2. Prefix postings are counted by shingle. Up to LIMIT nodes on a shingle meet as pairs, counted
    across shingles and kept with enough matches and fitting sizes. On a shingle with more nodes they
    meet as star edges (dealt out by salt, the salts' first nodes meet after), never as pairs; a pair may
    have as many of its matches there as both prefixes reach such shingles, so fewer are asked elsewhere.
-3. What is connected so far is a candidate group. Within it, prefix matches are counted from postings;
-   pairs with enough of them and fitting sizes are verified on the full sets, unless already connected.
-   A group beyond ``block`` nodes is dealt out as pairs of blocks, so no task holds it whole. What
-   leaves a task is a forest of verified links, never all pairs of a group.
+3. Verification reads whole texts, recomputes the sets and leaves a forest of verified links.
+   What the edges connect, up to ``block`` nodes, is read once and verified in one task. In a larger
+   group the counted pairs are verified one by one (a node's text beside its candidates'), so a chain
+   of candidates costs what its pairs cost; and what only frequent shingles connect is dealt out in
+   blocks, first each block by itself with a few common nodes, which joins near copies into one class,
+   then only nodes outside the group's largest class against the others. No task holds a large group,
+   and no link between nodes in different classes goes unchecked.
 4. Components of the verified links give the classes.
 
 Edge cases: null text or no words: empty set, linked with nothing; fewer words than a shingle: the
-whole sequence is the one shingle; null ids count as the smallest id; repeated rows have equal sets.
+whole sequence is the one shingle; a null id is never a class's smallest id (only if all its ids are
+null the class has none); repeated ids and rows are rows of their own, linked by their texts alone.
 """
 
 from __future__ import annotations
@@ -103,14 +107,14 @@ class Order:
         return r, m, np.minimum(short + m, size)
 
 
-def _keys(r: np.ndarray, to: np.ndarray, salt: int) -> np.ndarray:
+def _keys(r: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Order-free key of each set."""
-    c = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(r ^ np.uint64(salt)), dtype=np.uint64)))
+    c = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(r), dtype=np.uint64)))
     return K.i64(K.mix(c[to[1:]] - c[to[:-1]] + np.diff(to).astype(np.uint64)))
 
 
 def _digest(n: int):
-    """By document: set size and key (kind 0). By task: shingles met often, with their counts (kind 1)."""
+    """By row: id, text hash, set size and node (kind 0). By task: shingles met often, with their counts (kind 1)."""
 
     def emit(source):
         held, count = [], 0
@@ -121,19 +125,19 @@ def _digest(n: int):
             at = np.flatnonzero(n_docs >= OFTEN)
             for a in range(0, len(at), 1 << 16):
                 x = at[a : a + (1 << 16)]
-                yield rows(1, K.i64(tok[x]), n_docs[x], x * 0, x * 0)
+                yield rows(1, pa.array(x * 0), pa.array(x * 0), n_docs[x], K.i64(tok[x]))
 
-        def rows(kind, doc, n, k1, k2):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(doc), pa.array(n), pa.array(k1), pa.array(k2)], ["kind", "doc", "n", "k1", "k2"])
+        def rows(kind, doc, th, n, node):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), doc, th, pa.array(n), pa.array(node)], ["kind", "doc", "th", "n", "node"])
 
-        for data, offs, more in K.batches(source, "text", "doc"):
+        for data, offs, more in K.batches(source, "text", "doc", "th"):
             r, to = shingles(data, offs, n)
             held.append(r)
             count += len(r)
             if count > 6 << 20:
                 yield from often()
                 count = 0
-            yield rows(0, more["doc"], np.diff(to), _keys(r, to, 0), _keys(r, to, 0x5851F42D4C957F2D))
+            yield rows(0, more["doc"], more["th"], np.diff(to), _keys(r, to))
         if held:
             yield from often()
 
@@ -151,7 +155,7 @@ def _postings(shared, n: int, percent: int):
         done: set[int] = set()
         for data, offs, _ in K.batches(source, "text"):
             r, to = shingles(data, offs, n)
-            node = _keys(r, to, 0)
+            node = _keys(r, to)
             r, m, p = order.prefixes(r, to, percent)
             new = np.array([not (x in done or done.add(x)) for x in node.tolist()], bool)
             p = np.where(new, p, 0)
@@ -166,10 +170,11 @@ def _postings(shared, n: int, percent: int):
     return emit
 
 
-def links(node: np.ndarray, r: np.ndarray, to: np.ndarray, m: np.ndarray, p: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Forest of verified links within one group; with blocks, only pairs of a left and a right node."""
+def links(node: np.ndarray, r: np.ndarray, to: np.ndarray, m: np.ndarray, p: np.ndarray, left: np.ndarray, right: np.ndarray, cls: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Forest of verified links within one group: pairs of a left and a right node that are in different classes so far."""
     size = np.diff(to)
-    root = list(range(len(node)))
+    _, first, back = np.unique(cls, return_index=True, return_inverse=True)
+    root = first[back].tolist()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -220,18 +225,23 @@ def _verified(shared, n: int, percent: int):
     names = ["grp", "bi", "bj"]
 
     def solve(t: pa.Table, order: Order):
+        cols = {c: t.column(c).to_numpy() for c in ("node", "blk", "cls", *names)}
+        key = np.stack([cols[c] for c in names])
+        again = np.concatenate(([False], (cols["node"][1:] == cols["node"][:-1]) & (key[:, 1:] == key[:, :-1]).all(0)))
+        if again.any():  # rows equal in id and text carry one node's text several times
+            yield from solve(t.filter(pa.array(~again)), order)
+            return
         data, offs = K.text_arrays(t.column("text").combine_chunks())
-        cols = {c: t.column(c).to_numpy() for c in ("node", "blk", *names)}
         sets = [shingles(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], n) for a, b in K.pieces(offs)]
         r = np.concatenate([x for x, _ in sets])
         to = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in sets]))])
         r, m, p = order.prefixes(r, to, percent)
-        key = np.stack([cols[c] for c in names])
         cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             one = slice(a, b)
-            out += links(cols["node"][one], r[to[a] : to[b]], to[a : b + 1] - to[a], m[one], p[one], cols["blk"][one] == cols["bi"][a], cols["blk"][one] == cols["bj"][a], percent)
+            left, right = cols["blk"][one] == cols["bi"][a], cols["blk"][one] == cols["bj"][a]
+            out += links(cols["node"][one], r[to[a] : to[b]], to[a : b + 1] - to[a], m[one], p[one], left, right, cols["cls"][one], percent)
         if out:
             u, v = np.array(out, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -239,7 +249,7 @@ def _verified(shared, n: int, percent: int):
     def emit(source):
         order: Order = shared.value
         held, size = [], 0
-        for batch in source:  # sorted by group and blocks
+        for batch in source:  # sorted by group, blocks and node
             held.append(batch)
             size += batch.nbytes
             if size > 8 << 20:
@@ -263,8 +273,8 @@ def met(postings: DataFrame) -> DataFrame:
     return rows.where("df > 1 or salt > 0").withColumn("df", F.when(F.col("salt") > 0, LIMIT + 1).otherwise(F.col("df"))).drop("salt")
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (node, least) that connect at least every pair that can match often enough."""
+def candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(counted pairs, star edges), each (node, least): together they connect at least every pair that can match often enough."""
     few = rows.where(F.col("df") <= LIMIT).groupBy("tok").agg(F.collect_set(F.struct("node", "nm")).alias("x"))
     size = "({0}.nm & 4294967295)"
     fits = f"100 * least({size.format('a')}, {size.format('b')}) >= {percent} * greatest({size.format('a')}, {size.format('b')})"
@@ -279,33 +289,78 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     least = F.min("node").over(Window.partitionBy("tok", "salt"))
     star = cut(many.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("least", least).select(F.when(F.col("node") == F.col("least"), F.col("tok")).alias("tok"), "node", "least").distinct())
     heads = star.where("tok is not null").select("tok", "node").withColumn("least", F.min("node").over(Window.partitionBy("tok"))).select("node", "least")
-    return pairs.union(star.select("node", "least")).union(heads).where("node <> least").distinct()
+    return cut(pairs), star.select("node", "least").union(heads).where("node <> least").distinct()
+
+
+ROW = ["grp", "bi", "bj", "blk", "node", "cls", "text"]
+
+
+def dealt_blocks(nodes: DataFrame, block: int, leaders: int = 8) -> DataFrame:
+    """Large groups (grp, members, node, text) in blocks, each by itself, with a few nodes of the group in all of them."""
+    nb = F.ceil(F.col("members") / F.lit(block))
+    h = F.xxhash64("node")
+    placed = nodes.withColumns({"nb": nb, "own": F.pmod(h, nb), "lead": (F.col("node") == F.col("grp")) | (F.pmod(F.shiftright(h, 20), F.col("members")) < leaders)})
+    at = F.explode(F.when(F.col("lead"), F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).otherwise(F.array("own")))
+    return placed.withColumn("blk", at).select("grp", F.col("blk").alias("bi"), F.col("blk").alias("bj"), "blk", "node", F.col("node").alias("cls"), "text")
+
+
+def dealt_rest(nodes: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """What is still to be compared in large groups: nodes outside the group's largest class with all others, as pairs of blocks."""
+    known = nodes.select("grp", "node").join(classes, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
+    size = known.groupBy("grp", "cls").agg(F.count("*").alias("c"))
+    top = size.groupBy("grp").agg(F.max(F.struct("c", "cls")).alias("top"), F.sum("c").alias("members")).where("top.c < members")
+    many = lambda n: F.ceil(n / F.lit(block))
+    top = top.select("grp", F.col("top.cls").alias("main"), many(F.col("members") - F.col("top.c")).alias("rb"), many(F.col("top.c")).alias("gb"))
+    h, inside = F.xxhash64("node"), F.col("cls") == F.col("main")
+    x = known.join(top, "grp").withColumn("blk", F.when(inside, F.col("rb") + F.pmod(h, F.col("gb"))).otherwise(F.pmod(h, F.col("rb"))))
+    other = F.sequence(F.lit(0).cast("bigint"), F.col("rb") - 1 + F.when(inside, 0).otherwise(F.col("gb")))
+    x = x.join(nodes.select("grp", "node", "text"), ["grp", "node"]).withColumn("other", F.explode(other))
+    return x.select("grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "cls", "text")
 
 
 def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
-    """doc, n_shingles, component (the smallest doc reachable by links, itself included) for every row."""
+    """doc (the key), n_shingles, component (the smallest key reachable by links, itself included) and cls (the class, null for an empty set) for every row."""
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LEAST)).alias("doc"), F.col(f"`{text}`").alias("text"))
-    got = cut(base.mapInArrow(_digest(n), "kind int, doc bigint, n bigint, k1 bigint, k2 bigint"))
-    often = got.where("kind = 1").groupBy(F.col("doc").alias("tok")).agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    base = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("th", F.xxhash64("text"))
+    got = cut(base.mapInArrow(_digest(n), "kind int, doc bigint, th bigint, n bigint, node bigint"))
+    often = got.where("kind = 1").groupBy(F.col("node").alias("tok")).agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     often = often.orderBy(F.desc("n"), "tok").limit(MOST_FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("tok").to_numpy().view(np.uint64), often.column("n").to_numpy()))
-    keyed = got.where("kind = 0").select("doc", "n", "k1", "k2")
-    nodes = keyed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("node"))
-    of = keyed.join(nodes, ["k1", "k2", "n"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("node", "doc").alias("node"))
-    edges = candidates(cut(met(base.mapInArrow(_postings(order, n, percent), "tok bigint, salt int, node bigint, nm bigint"))), percent)
-    coarse = components(edges, "node", "least").withColumnRenamed("component", "grp")
-    rep = nodes.select(F.col("k1").alias("key1"), "node").groupBy("key1").agg(F.min("node").alias("node"))
-    member = cut(coarse.join(rep, F.col("key1") == coarse["node"]).select(rep["node"].alias("node"), "grp"))
-    sizes = member.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / F.lit(block))
-    placed = member.join(sizes, "grp").withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")))
-    with_text = placed.join(base.withColumnRenamed("doc", "node").hint("merge"), "node")  # one plan at every size
-    # a node meets every block once: its own block stands left or right, so all pairs of blocks occur once
-    dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))).select(
-        "grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "text"
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "node").mapInArrow(_verified(order, n, percent), "u bigint, v bigint")
-    classes = components(cut(found), "u", "v")
-    return of.join(classes, "node", "left").select("doc", "n_shingles", F.coalesce("component", "node").alias("component"))
+    keyed = got.where("kind = 0").select("doc", "th", "n", "node")
+    one = F.struct(F.coalesce("doc", F.lit(LEAST)).alias("doc"), "th")
+    nodes = keyed.where("n > 0").groupBy("node").agg(F.min("doc").alias("first"), F.min(one).alias("rep"))
+    pairs, star = candidates(cut(met(base.mapInArrow(_postings(order, n, percent), "tok bigint, salt int, node bigint, nm bigint"))), percent)
+    coarse = components(pairs.union(star), "node", "least").withColumnRenamed("component", "grp")
+    member = cut(coarse.join(nodes.select("node", "rep.*"), "node"))
+    sizes = member.groupBy("grp").agg(F.count("*").alias("members"))
+    with_text = base.withColumn("doc", F.coalesce("doc", F.lit(LEAST))).hint("merge").join(member.join(sizes, "grp"), ["doc", "th"])  # one plan at every size
+    texts = cut(with_text.select("grp", "members", "node", "text"))
+    zero, parts = F.lit(0).cast("bigint"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def verify(rows: DataFrame) -> DataFrame:
+        rows = rows.select(*ROW).repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "node")
+        return cut(rows.mapInArrow(_verified(order, n, percent), "u bigint, v bigint"))
+
+    work = texts.where(F.col("members") <= block).select("grp", zero.alias("bi"), zero.alias("bj"), zero.alias("blk"), "node", F.col("node").alias("cls"), "text")
+    large = texts.where(F.col("members") > block).select("node", "text")
+    hot = None
+    if sizes.where(F.col("members") > block).limit(1).count():
+        part = lambda a: F.lit(a).cast("bigint")
+        mine = pairs.join(large.select("node"), "node", "left_semi")
+        heads = large.join(mine.select(F.col("least").alias("node")), "node", "left_semi").select(F.col("node").alias("grp"), part(-1).alias("blk"), "node", "text")
+        beside = mine.join(large, "node").select(F.col("least").alias("grp"), part(-2).alias("blk"), "node", "text")
+        work = work.union(heads.union(beside).select("grp", part(-2).alias("bi"), part(-1).alias("bj"), "blk", "node", F.col("node").alias("cls"), "text"))
+        among = components(star.join(large.select("node"), "node", "left_semi"), "node", "least").withColumnRenamed("component", "grp")
+        held = among.groupBy("grp").agg(F.count("*").alias("members"))
+        hot = cut(among.join(held, "grp").join(large, "node"))
+        work = work.union(dealt_blocks(hot, block))
+    links_found = verify(work)
+    classes = components(links_found, "u", "v")
+    if hot is not None:
+        classes = components(links_found.union(verify(dealt_rest(hot, cut(classes), block))), "u", "v")
+    named = nodes.select("node", "first").join(classes, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
+    named = cut(named)
+    least = named.groupBy("cls").agg(F.min("first").alias("component"))
+    of = cut(named.select("node", "cls").join(least, "cls"))
+    rows = keyed.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return rows.join(of, "node", "left").select("doc", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"), "cls")

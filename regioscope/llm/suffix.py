@@ -4,8 +4,8 @@ A byte is removed when a ``length``-byte string that covers it also starts earli
 the same document and an earlier start). Matches never cross documents, overlaps count, and all
 strings are judged on the input.
 
-1. Equal texts are one text: the copy of the smallest id stands for them, the others are repeats from
-   end to end.
+1. Equal texts (by SHA-256 and length) are one text: the copy of the smallest id stands for them, the
+   others are repeats from end to end.
 2. Every window of ``length`` bytes has one anchor, its rightmost least k-gram hash. Equal windows
    have equal anchors at equal offsets, so only windows of anchors whose hash occurs twice can repeat.
    An anchor met twice within a task is known to repeat and is not gathered by its hash, so a
@@ -14,8 +14,10 @@ strings are judged on the input.
    hash. Equal contexts collapse. Where contexts differ, the suffixes at their windows are sorted by
    a mergesort whose comparison finds the common extension by binary search over prefix polynomial
    hashes, in a logarithmic number of steps; neighbours whose common extension reaches ``length``
-   are equal strings, which is verified on the bytes. An anchor hash with very many rows is dealt out
-   further by the bytes that all windows of a block of offsets have in common: equal strings still meet.
+   are equal strings, which is verified on the bytes. An anchor hash with more than HEAVY rows is dealt out
+   further, by the bytes that all windows of a block of BLOCK offsets have in common; one with more than
+   VERY_HEAVY window by window, where contexts are equal or never meet, so all of them collapse and a
+   passage that any number of rows share leaves one row a task. Equal strings still meet.
 4. Removed ranges are gathered by document, and merged.
 
 Edge cases: null and short texts lose nothing; null ids count as the smallest id; rows equal in id
@@ -37,9 +39,8 @@ from .common import cut
 LEAST = -(1 << 63)
 #: Bytes of the anchoring k-gram.
 GRAM = 24
-#: An anchor hash with more contexts than this is dealt out by common bytes too.
-HEAVY = 4096
-MOST_HEAVY = 20_000
+#: An anchor hash with more contexts than the first is dealt out by common bytes too, with more than the second by whole windows.
+HEAVY, VERY_HEAVY = 1024, 65_536
 BLOCK = 8
 
 
@@ -287,7 +288,8 @@ def _contexts(length: int):
             heavy = batch.column("heavy")
             for d, (packed, hs) in enumerate(zip(batch.column("packed"), batch.column("hs"), strict=True)):
                 p, h = packed.values.to_numpy(), hs.values.to_numpy()
-                hot = np.asarray(heavy[d].values.to_numpy(zero_copy_only=False), bool)
+                step = heavy[d].values.to_numpy()  # offsets in a block, or 0: not dealt out
+                hot = step > 0
                 t = raw[offs[d] : offs[d + 1]]
                 pos, hi, more = p >> 14, p >> 7 & 127, p & 127
                 s, n = pos - hi, more + length
@@ -296,9 +298,10 @@ def _contexts(length: int):
                     # split by block of offsets, then by the bytes its windows share
                     s2, n2, hi2, h2, part2 = [s[~hot]], [n[~hot]], [hi[~hot]], [h[~hot]], [part[~hot]]
                     for i in np.flatnonzero(hot).tolist():
-                        for blk in range(int(hi[i] - more[i]) // BLOCK, int(hi[i]) // BLOCK + 1):
-                            o_hi, o_lo = min(int(hi[i]), blk * BLOCK + BLOCK - 1), max(int(hi[i] - more[i]), blk * BLOCK)
-                            core = t[pos[i] - blk * BLOCK : pos[i] + length - (blk * BLOCK + BLOCK - 1)].tobytes()
+                        w = int(step[i])
+                        for blk in range(int(hi[i] - more[i]) // w, int(hi[i]) // w + 1):
+                            o_hi, o_lo = min(int(hi[i]), blk * w + w - 1), max(int(hi[i] - more[i]), blk * w)
+                            core = t[pos[i] - blk * w : pos[i] + length - (blk * w + w - 1)].tobytes()
                             s2.append([pos[i] - o_hi])
                             n2.append([o_hi - o_lo + length])
                             hi2.append([o_hi])
@@ -408,31 +411,31 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     base = docs.select(
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LEAST)).alias("doc"), F.xxhash64(body).alias("mark"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
     )
-    firsts = base.select("doc", "mark", F.octet_length("text").alias("n")).where(F.col("n") >= length).groupBy("mark", "n").agg(F.min("doc").alias("first_doc"))
+    exact = F.unhex(F.sha2("text", 256)).alias("sha")
+    keyed = base.where(F.octet_length("text") >= length).select("doc", "mark", exact)
+    texts = cut(keyed.groupBy("mark", "sha").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")))
     rows = base.select("text", "mark").mapInArrow(_anchor_rows(length), "meet bigint, mark bigint, packed bigint, sure_h bigint")
     w = Window.partitionBy("meet")
     differ = (F.min("mark").over(w) != F.max("mark").over(w)) | (F.min("packed").over(w) != F.max("packed").over(w))
     repeated = cut(rows.withColumn("differ", differ).where("sure_h is not null or differ").select(F.coalesce("sure_h", "meet").alias("h"), "mark", "packed"))
-    # heavy hashes are bounded in number, as each has more than 1 / MOST_HEAVY of the rows
-    most = max(HEAVY, repeated.count() // MOST_HEAVY)
-    heavy = repeated.groupBy("h").count().where(F.col("count") > most).select("h", F.lit(True).alias("heavy"))
+    # hashes with many rows; the engine broadcasts them where they are few, else merges with its skew split
+    n = F.col("count")
+    heavy = repeated.groupBy("h").count().where(n > HEAVY).select("h", F.when(n > VERY_HEAVY, 1).otherwise(BLOCK).alias("step"))
     by_text = (
-        repeated.join(F.broadcast(heavy), "h", "left").groupBy("mark")
-        .agg(F.collect_set(F.struct("packed", "h", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("x"))
-        .select("mark", F.col("x.packed").alias("packed"), F.col("x.h").alias("hs"), F.col("x.heavy").alias("heavy"))
-        .join(firsts.select("mark", F.col("first_doc").alias("doc")).groupBy("mark").agg(F.min("doc").alias("doc")), "mark")
+        repeated.join(heavy, "h", "left").groupBy("mark")
+        .agg(F.collect_set(F.struct("packed", "h", F.coalesce("step", F.lit(0)).alias("step"))).alias("x"))
+        .select("mark", F.col("x.packed").alias("packed"), F.col("x.h").alias("hs"), F.col("x.step").alias("heavy"))
+        .join(texts.groupBy("mark").agg(F.min("first_doc").alias("doc")), "mark")
     )
     contexts = by_text.join(base.select("doc", "mark", "text").dropDuplicates(["doc", "mark"]), ["doc", "mark"])
     contexts = contexts.select("doc", "mark", "text", "packed", "hs", "heavy").mapInArrow(_contexts(length), "h bigint, part bigint, doc bigint, mark bigint, place bigint, ctx binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = contexts.repartition(parts, "h", "part").sortWithinPartitions("h", "part").mapInArrow(_ranges(length), "doc bigint, mark bigint, a bigint, b bigint")
     ranges = cut(ranges).groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    lost = (
-        base.select("doc", "mark", F.octet_length("text").alias("n"))
-        .join(firsts, ["mark", "n"])
-        .where("first_doc < doc").select("doc", "mark").distinct().withColumn("whole", F.lit(True))
-        .join(ranges, ["doc", "mark"], "full")
-    )
+    # only texts that several ids have; a copied text's rows may be many, and the join writes nothing wide
+    copied = texts.where("first_doc < last_doc").drop("last_doc")
+    later = keyed.join(copied, ["mark", "sha"]).where("first_doc < doc").select("doc", "mark").distinct().withColumn("whole", F.lit(True))
+    lost = later.join(ranges, ["doc", "mark"], "full")
     judged = base.join(lost, ["doc", "mark"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     row = base.schema["row"].dataType.simpleString()
     schema = f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * cut_text

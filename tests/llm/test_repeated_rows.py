@@ -1,6 +1,7 @@
 """Rows that stand twice, with equal id and text, are one document."""
 
 import brute
+import pytest
 import pyarrow as pa
 from regioscope.llm import suffix
 
@@ -26,3 +27,13 @@ def test_a_context_met_twice_is_not_a_repeat_of_itself():
     batch = pa.RecordBatch.from_pylist([row, row, row | {"doc": 2}])
     out = pa.Table.from_batches(suffix._contexts(100)([batch])).to_pylist()
     assert [r["doc"] for r in out if r["ctx"] is None] == [2]
+
+
+@pytest.mark.parametrize("very", [0, 3])
+def test_substrings_window_by_window(spark, monkeypatch, very):
+    passage = " ".join(f"word{i * 37 % 101}" for i in range(60))
+    rows = [(i, f"{chr(97 + i % 26) * (i % 9)}{passage}{chr(65 + i % 26) * (i % 5)} own {i} " * 1) for i in range(80)]
+    monkeypatch.setattr(suffix, "HEAVY", 0)
+    monkeypatch.setattr(suffix, "VERY_HEAVY", very)
+    got = suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), keep=["doc_id"]).collect()
+    assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.substrings(rows)

@@ -418,9 +418,10 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     w = Window.partitionBy("meet")
     differ = (F.min("mark").over(w) != F.max("mark").over(w)) | (F.min("packed").over(w) != F.max("packed").over(w))
     repeated = cut(rows.withColumn("differ", differ).where("sure_h is not null or differ").select(F.coalesce("sure_h", "meet").alias("h"), "mark", "packed"))
-    # hashes with many rows; the engine broadcasts them where they are few, else merges with its skew split
+    # hashes with many rows, written first: the engine broadcasts them where they are few, else it merges two plain
+    # shuffles and deals a hash's rows out
     n = F.col("count")
-    heavy = repeated.groupBy("h").count().where(n > HEAVY).select("h", F.when(n > VERY_HEAVY, 1).otherwise(BLOCK).alias("step"))
+    heavy = cut(repeated.groupBy("h").count().where(n > HEAVY).select("h", F.when(n > VERY_HEAVY, 1).otherwise(BLOCK).alias("step")))
     by_text = (
         repeated.join(heavy, "h", "left").groupBy("mark")
         .agg(F.collect_set(F.struct("packed", "h", F.coalesce("step", F.lit(0)).alias("step"))).alias("x"))

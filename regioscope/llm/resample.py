@@ -3,9 +3,9 @@
 Words and word pairs of each text are hashed to ``bins``. The raw model is the bag of all documents,
 the target model that of a bounded sample of documents labelled as good. A document's log weight is
 the sum over its n-grams of log p_target - log p_raw. Sampling without replacement in proportion to
-the weights is the Gumbel top-k (a text of more than ``most_ngrams`` n-grams counts as that many of its
-mean, so that chance in one long text's copies does not outweigh what the n-grams say): to each log weight a Gumbel variate is added (from a hash of id and
-text, so a rerun draws the same), and the k largest are kept.
+the weights is the Gumbel top-k: to each log weight, divided by ``temperature`` (1: the weights
+themselves), a Gumbel variate is added (from a hash of id and text, so a rerun draws the same), and
+the k largest are kept.
 
 k is the number of documents whose log weight reaches the level that best separates the good from
 the bad among the sampled labels, so it follows the corpus. The k-th key is found by counting in
@@ -46,7 +46,7 @@ def ngram_bins(data: np.ndarray, offs: np.ndarray, bins: int) -> tuple[np.ndarra
     return out, off
 
 
-def log_weights(docs: DataFrame, good: DataFrame, *, key: str = "doc_id", text: str = "text", bins: int = 1 << 16, smooth: float = 0.5, most_ngrams: int = 200) -> tuple[DataFrame, list]:
+def log_weights(docs: DataFrame, good: DataFrame, *, key: str = "doc_id", text: str = "text", bins: int = 1 << 16, smooth: float = 0.5) -> tuple[DataFrame, list]:
     """Rows (doc_id, mark, n_ngrams, log_weight) of all docs; ``good`` maps doc_id to 1 or 0 for a bounded sample."""
     spark = docs.sparkSession
     labels = {r.doc_id: r.quality for r in good.collect()}
@@ -81,7 +81,7 @@ def log_weights(docs: DataFrame, good: DataFrame, *, key: str = "doc_id", text:
             b, off = ngram_bins(data, offs, bins)
             c = np.concatenate((r[b], [0.0]))
             n = np.diff(off)
-            w = np.where(n > 0, np.add.reduceat(c, off[:-1]) if len(n) else 0.0, 0.0) * np.minimum(1.0, most_ngrams / np.maximum(n, 1))
+            w = np.where(n > 0, np.add.reduceat(c, off[:-1]) if len(n) else 0.0, 0.0)
             yield pa.RecordBatch.from_arrays([more["doc_id"], more["mark"], pa.array(n), pa.array(np.round(w, 6))], ["doc_id", "mark", "n_ngrams", "log_weight"])
 
     marked = narrow.withColumn("mark", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
@@ -108,7 +108,7 @@ def kth_largest(df: DataFrame, bits: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", quality: str = "quality", bins: int = 1 << 16, most_ngrams: int = 200, most_labels: int = 20_000, seed: int = 11) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", quality: str = "quality", bins: int = 1 << 16, temperature: float = 1.0, most_labels: int = 20_000, seed: int = 11) -> DataFrame:
     """doc_id, mark (hash of id and text), n_ngrams, log_weight, sample_key, selected for every row of docs."""
     sample = (
         labels.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{quality}`").cast("int").alias("quality"))
@@ -116,9 +116,9 @@ def resample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_labels)
     )
-    scored, known = log_weights(docs, sample, key=key, text=text, bins=bins, most_ngrams=most_ngrams)
+    scored, known = log_weights(docs, sample, key=key, text=text, bins=bins)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mark"), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
-    scored = cut(scored.withColumn("sample_key", F.round(F.col("log_weight") - F.log(-F.log(u)), 9)))
+    scored = cut(scored.withColumn("sample_key", F.round(F.col("log_weight") / F.lit(temperature) - F.log(-F.log(u)), 9)))
     spark = docs.sparkSession
     lab = spark.createDataFrame(list(known.items()) or [(0, None)], "doc_id bigint, quality int")
     marks = scored.join(F.broadcast(lab), "doc_id").where("quality is not null").select("log_weight", "quality").collect()

@@ -1,14 +1,13 @@
 """Removal of sentences covered by repeated runs of sentences.
 
-Sentences end at . ! ? or a line break; pieces without a word belong to the sentence before. Every
-run of ``run`` consecutive sentences of at least ``least_words`` words is hashed (128 bits over its
-lower-cased words), runs meet by hash across the corpus, and every sentence covered by a run that
-is not the first of its kind is removed. First: smallest id, then earliest place.
-
-With ``grown``, short sentences do not end a run: from every sentence the run is lengthened forwards, and
-up to every sentence backwards, until it has ``run`` sentences and ``least_words`` words, so a repeated
-passage is covered from its first to its last sentence. A sentence of ``alone_words`` is a run of its own,
-and so is one of ``least_words`` that is all its text has.
+Sentences end at . ! ? or a line break; pieces without a word belong to the sentence before. A run
+starts at every sentence and is as many consecutive sentences as it takes to have ``run`` sentences and
+``least_words`` words; one also ends at every sentence, so a repeated passage is covered from its first to
+its last sentence. No run is passed over for being short: it is lengthened, and a text that has fewer
+words in all is one run as a whole. A sentence of ``alone_words`` is a run of its own too, and so is one
+of ``least_words`` that is all its text has. Runs are hashed (128 bits over their lower-cased words), meet
+by hash across the corpus, and every sentence covered by a run that is not the first of its kind is
+removed. First: smallest id, then earliest place.
 
 Counts and minima are aggregated partially before the shuffle, and only hashes met in two documents
 are joined back (a skewed join is split by the engine), so a run that a third of all rows share stays
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .common import cut
 
 LEAST = -(1 << 63)
 ENDS = K.table(b".!?\n")
@@ -52,22 +52,10 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sh, count, s[f], np.searchsorted(f, at)
 
 
-def spans(sh: np.ndarray, count: np.ndarray, to: np.ndarray, run: int, least_words: int, grown: bool = False, alone_words: int = 50) -> tuple[np.ndarray, ...]:
-    """Runs of sentences inside documents with enough words: two hashes, document, first sentence in it and the one after the last."""
-    total = np.concatenate(([0], np.cumsum(count)))
-    if grown:
-        return _grown(sh, count, total, to, run, least_words, alone_words)
-    a, at = K.runs(sh, to, run, False)
-    b, _ = K.runs(K.mix(sh ^ np.uint64(0xA5A5A5A5A5A5A5A5)), to, run, False)
-    doc = np.repeat(np.arange(len(to) - 1), np.diff(at))
-    idx = np.arange(len(a)) - at[doc]
-    pos = to[doc] + idx
-    ok = total[pos + run] - total[pos] >= least_words
-    return a[ok], b[ok], doc[ok], idx[ok], idx[ok] + run
-
-
-def _grown(sh: np.ndarray, count: np.ndarray, total: np.ndarray, to: np.ndarray, run: int, least_words: int, alone_words: int) -> tuple[np.ndarray, ...]:
+def spans(sh: np.ndarray, count: np.ndarray, to: np.ndarray, run: int, least_words: int, alone_words: int) -> tuple[np.ndarray, ...]:
+    """Runs of sentences inside documents: two hashes, document, first sentence in it and the one after the last."""
     n = len(sh)
+    total = np.concatenate(([0], np.cumsum(count)))
     i = np.arange(n)
     of = np.repeat(np.arange(len(to) - 1), np.diff(to))
     # every sentence has a word, so totals rise strictly
@@ -76,7 +64,8 @@ def _grown(sh: np.ndarray, count: np.ndarray, total: np.ndarray, to: np.ndarray,
     begin = np.minimum(i + 1 - run, np.searchsorted(total, total[1:] - least_words, "right") - 1)
     back = begin >= to[of]
     lone = (count >= alone_words) | ((np.diff(to)[of] == 1) & (count >= least_words))
-    span = np.unique(np.concatenate((i[ok] * (n + 1) + end[ok], begin[back] * (n + 1) + i[back] + 1, i[lone] * (n + 1) + i[lone] + 1)))
+    few = np.flatnonzero((np.diff(to) >= run) & (total[to[1:]] - total[to[:-1]] < least_words))
+    span = np.unique(np.concatenate((i[ok] * (n + 1) + end[ok], begin[back] * (n + 1) + i[back] + 1, i[lone] * (n + 1) + i[lone] + 1, to[few] * (n + 1) + to[few + 1])))
     s, e = span // (n + 1), span % (n + 1)
     out = []
     for salt in (0x9E3779B97F4A7C15, 0xA5A5A5A5A5A5A5A5):
@@ -97,7 +86,7 @@ def in_document(a: np.ndarray, b: np.ndarray, doc: np.ndarray, idx: np.ndarray)
     return out
 
 
-def dedup_sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, run: int = 2, least_words: int = 16, grown: bool = False, alone_words: int = 50, cut_text: bool = False) -> DataFrame:
+def dedup_sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, run: int = 2, least_words: int = 16, alone_words: int = 50, cut_text: bool = False) -> DataFrame:
     """``keep`` columns as struct ``row``, with n_sentences, n_removed, removed (sentence numbers), kept_sha256 (and kept_text)."""
     keep = keep if keep is not None else docs.columns
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -106,13 +95,16 @@ def dedup_sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def emit(source):
         for data, offs, more in K.batches(source, "text", "doc", "mark"):
             sh, count, _, to = sentences(data, offs)
-            a, b, d, i, e = spans(sh, count, to, run, least_words, grown, alone_words)
+            a, b, d, i, e = spans(sh, count, to, run, least_words, alone_words)
             new = ~in_document(a, b, d, i)
             a, b, d, i = a[new], b[new], d[new], i[new] << 31 | e[new]
             yield pa.RecordBatch.from_arrays([pa.array(K.i64(a)), pa.array(K.i64(b)), pa.array(more["doc"].to_numpy()[d]), pa.array(more["mark"].to_numpy()[d]), pa.array(i)], ["a", "b", "doc", "mark", "idx"])
 
     rows = base.select("doc", "mark", "text").mapInArrow(emit, "a bigint, b bigint, doc bigint, mark bigint, idx bigint")
+    # written once: read for the counts and for the join, which then has two plain sides that the engine can split on skew
+    rows = cut(rows)
     met = rows.groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    met = cut(met)
     later = rows.join(met, ["a", "b"]).where("doc > first_doc")
     found = later.groupBy("doc", "mark").agg(F.collect_set("idx").alias("later"))
 
@@ -124,7 +116,7 @@ def dedup_sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             for x, y in K.pieces(offs_all):
                 offs, data = offs_all[x : y + 1] - offs_all[x], raw[offs_all[x] : offs_all[y]]
                 sh, count, start, to = sentences(data, offs)
-                a, b, doc, idx, end = spans(sh, count, to, run, least_words, grown, alone_words)
+                a, b, doc, idx, end = spans(sh, count, to, run, least_words, alone_words)
                 dup = in_document(a, b, doc, idx)
                 edge = np.zeros(len(sh) + 1, np.int64)
                 np.add.at(edge, to[doc[dup]] + idx[dup], 1)

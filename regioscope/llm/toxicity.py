@@ -4,11 +4,12 @@ A term is a lower-cased word hashed to 2**18 bins. score = sigmoid(w0 + sum w_i
 sum_{i<j} <v_i, v_j> x_i x_j): the pair part learns that terms are toxic together (an insult with a
 second one, or with a group mention) where each alone is not. x_i = 1 + ln(count).
 
-Fitting uses at most ``most_labels`` labelled training rows (chosen by hash; a parameter), whose
-texts reach the driver as bins only. Bins are screened by their document frequencies: by the log-odds
-z-value, or by the signed root of the likelihood ratio, which a term of toxic texts alone passes too (the
-z-value's error grows without bound as a count goes to none). The machine is fitted to the screened bins by Adam with logistic loss, and the fitted
-arrays (at most ``most_terms`` rows) are broadcast. Every document is scored over its whole text.
+Fitting uses at most ``most_labels`` labelled training rows (chosen by hash; a parameter); of their texts
+only distinct bins with counts reach the driver. Bins are screened by their document frequencies and by
+those of pairs, so a term that tells only beside another one is kept too: alone, by the log-odds z-value or
+the signed root of the likelihood ratio (which a term of toxic texts alone passes too); in a pair, by that
+root for texts that hold both, where it exceeds both terms' own. The machine is fitted to the screened bins by
+Adam with logistic loss, and the fitted arrays are broadcast. Every document is scored over its whole text.
 
 Edge cases: a text without screened terms (null, empty) scores sigmoid(w0); without labels of both
 kinds every score is the training share or 0.5; repeated rows score alike; an empty table gives none.
@@ -73,7 +74,41 @@ def ratio_root(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.nda
     return np.sqrt(2 * np.maximum(g, 0))
 
 
-def fit(bins: list[np.ndarray], y: np.ndarray, *, factors: int = 8, most_terms: int = BINS, least_z: float = 4.0, epochs: int = 40, rate: float = 0.03, l2: float = 1e-4, seed: int = 3) -> Machine:
+def paired(bins: list[np.ndarray], y: np.ndarray, freq: np.ndarray, alone: np.ndarray, least: float = 6.0, least_docs: int = 8, buckets: int = 1 << 24) -> np.ndarray:
+    """Bins of pairs that toxic texts hold together, where the pair tells more than its terms do.
+
+    Pairs are counted by hash bucket: those of toxic texts first, then buckets met ``least_docs`` times in the
+    clean texts, then the strong buckets' pairs by name. Terms in over half of all texts pair with everything.
+    """
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    often = (freq.sum(0) >= least_docs) & (freq.sum(0) <= 0.6 * len(bins))
+
+    def pairs(b: np.ndarray):
+        b = np.unique(b[often[b]])
+        for a in range(0, len(b), 512):
+            i, j = np.nonzero(b[a : a + 512, None] < b[None, :])
+            if len(i):
+                x, z = b[a + i], b[j]
+                yield x, z, (K.mix((x * BINS + z).astype(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
+
+    seen = np.zeros((2, buckets), np.int32)
+    for cls in (1, 0):
+        for k in np.flatnonzero(y == cls).tolist():
+            for _, _, at in pairs(bins[k]):
+                np.add.at(seen[cls], at if cls else at[seen[1, at] >= least_docs], 1)
+    strength = np.zeros(buckets)
+    many = np.flatnonzero(seen[1] >= least_docs)
+    more = seen[1, many] * n0 > seen[0, many] * n1
+    strength[many] = np.where(more, ratio_root(seen[1, many].astype(float), seen[0, many].astype(float), n1, n0), 0)
+    out = [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(y == 1).tolist():
+        for x, z, at in pairs(bins[k]):
+            on = strength[at] >= np.maximum(least, 1 + np.maximum(alone[x], alone[z]))
+            out.append(np.unique(np.concatenate((x[on], z[on]))))
+    return np.unique(np.concatenate(out))
+
+
+def fit(bins: list[np.ndarray], y: np.ndarray, *, counts: list[np.ndarray] | None = None, factors: int = 8, least_z: float = 4.0, epochs: int = 40, rate: float = 0.03, l2: float = 1e-4, seed: int = 3) -> Machine:
     at = np.full(BINS, -1, np.int64)
     share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     flat = Machine(at, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, factors)))
@@ -85,10 +120,8 @@ def fit(bins: list[np.ndarray], y: np.ndarray, *, factors: int = 8, most_terms:
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     a, c = freq[1] + 0.5, freq[0] + 0.5
     z = (np.log(a / (n1 - freq[1] + 0.5)) - np.log(c / (n0 - freq[0] + 0.5))) / np.sqrt(1 / a + 1 / c + 1 / (n1 - freq[1] + 0.5) + 1 / (n0 - freq[0] + 0.5))
-    seen = freq.sum(0) >= 5
-    strength = np.maximum(np.abs(z), ratio_root(freq[1], freq[0], n1, n0))
-    pick = np.flatnonzero(seen & (strength >= least_z))
-    pick = np.sort(pick[np.argsort(-strength[pick], kind="stable")[:most_terms]])
+    strength = np.where(freq.sum(0) > 0, np.maximum(np.abs(z), ratio_root(freq[1], freq[0], n1, n0)), 0)
+    pick = np.union1d(np.flatnonzero(strength >= least_z), paired(bins, y, freq, strength))
     if not len(pick):
         return flat
     at[pick] = np.arange(len(pick))
@@ -96,7 +129,7 @@ def fit(bins: list[np.ndarray], y: np.ndarray, *, factors: int = 8, most_terms:
     doc = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
     row = at[np.concatenate(bins)] if len(doc) else np.zeros(0, np.int64)
     on = row >= 0
-    d, i, x = counted(doc[on], row[on], m)
+    d, i, x = counted(doc[on], row[on], m) if counts is None else (doc[on], row[on], 1 + np.log(np.concatenate(counts)[on]))
     offs = np.searchsorted(d, np.arange(len(bins) + 1))
     rng = np.random.default_rng(seed)
     p = [np.array([flat.bias]), np.zeros(m), rng.normal(0, 0.05, (m, factors))]
@@ -139,12 +172,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     def gather(source):
         for data, offs, more in K.batches(source, "text", "doc_id", "y"):
             b, at = terms(data, offs)
-            yield pa.RecordBatch.from_arrays([more["doc_id"], more["y"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(b.astype(np.int32)))], ["doc_id", "y", "bins"])
+            doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
+            pair, n = np.unique(doc * BINS + b, return_counts=True)
+            to = pa.array(np.searchsorted(pair, np.arange(len(offs)) * BINS), pa.int32())
+            lists = [pa.ListArray.from_arrays(to, pa.array(v.astype(np.int32))) for v in (pair % BINS, n)]
+            yield pa.RecordBatch.from_arrays([more["doc_id"], more["y"], *lists], ["doc_id", "y", "bins", "n"])
 
-    got = narrow.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").mapInArrow(gather, "doc_id bigint, y int, bins array<int>").toArrow()
+    got = narrow.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").mapInArrow(gather, "doc_id bigint, y int, bins array<int>, n array<int>").toArrow()
     got = got.sort_by([("doc_id", "ascending")]).combine_chunks()
-    lists = got.column("bins").to_numpy(zero_copy_only=False) if got.num_rows else []
-    model = spark.sparkContext.broadcast(fit([np.asarray(b, np.int64) for b in lists], got.column("y").to_numpy().astype(float)))
+    lists, counts = ([np.asarray(b, np.int64) for b in got.column(c).to_numpy(zero_copy_only=False)] if got.num_rows else [] for c in ("bins", "n"))
+    model = spark.sparkContext.broadcast(fit(lists, got.column("y").to_numpy().astype(float), counts=counts))
 
     def score(source):
         m = model.value

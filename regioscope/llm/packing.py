@@ -17,7 +17,7 @@ With ``added``, the file's added tokens (``<|endoftext|>``) are split off first
 as ``tokenizers`` does by default; without, they are ordinary text.
 
 Edge cases: null and empty texts have just the end id; repeated rows are packed each; very long
-texts give many full pieces; an empty table gives none.
+texts give many full pieces; bytes that are not UTF-8 read as U+FFFD; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -63,6 +63,17 @@ def starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cutat[:n])
 
 
+def readable(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with U+FFFD for bytes that are not UTF-8, as they are decoded for a tokenizer."""
+    raw = data.tobytes()
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        texts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return data, offs
+
+
 class Encoder:
     """Ids by unit hash, kept over a task; the vocabulary is read from a byte-level BPE json."""
 
@@ -229,6 +240,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, key: str, text: str, window: int
     def emit(source):
         enc = encoder(vocabulary, added)
         for data, offs, more in K.batches(source, "text", "doc_id", most=8 << 20):
+            data, offs = readable(data, offs)
             ids, at = enc.encode(data, offs)
             ids = np.insert(ids, at[1:], END_ID).astype("<u4")
             at = at + np.arange(len(at))

@@ -1,15 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of order 4 for each language, over lower-cased letters with everything else as one gap
-character. Models are trained on at most ``most_docs`` whole labelled documents of each language
-(chosen by hash; a parameter). N-grams of all languages share sorted hash arrays: one array of keys
-for each order, with a column of probabilities and interpolation weights for each language, so that a
-text's n-grams are looked up once for all languages. The language of the lowest cross-entropy by
-character is chosen.
+character. Models are trained on at most ``most_docs`` whole labelled documents of each language (distinct
+in id and text, chosen by hash; a parameter); tasks count their n-grams, and only counts reach the driver.
+N-grams of all languages share sorted hash arrays: one array of keys for each order, with a column of
+probabilities and interpolation weights for each language, so that a text's n-grams are looked up once
+for all languages. The language of the lowest cross-entropy by character is chosen.
 
 Rejection is calibrated on training documents left out of the counts: ``rejected`` is true where
 the lowest cross-entropy exceeds the 0.995 quantile of those documents' entropies in their own
-language. A text that is null or has no letter is ``und`` with score 0; rejection changes no other
+language. A text that is null or has no letter (marks
+alone are none) is ``und`` with score 0; rejection changes no other
 prediction, it is reported beside it.
 
 Edge cases: no training rows: every text is ``und``; a null language is never learned; ties go to
@@ -26,25 +27,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .common import cut
 from .toxicity import held_out
 
 ORDER = 4
 GAP = 32
-_fold = None
+#: Code points that hold letters and marks: all others are gaps.
+_SPANS = (range(0x33000), range(0xE0100, 0xE01F0))
+_fold: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def fold() -> np.ndarray:
-    """Code point to lower-case letter, or to the gap."""
+def fold() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: lower-case letter or mark, or the gap; whether it is a letter (a mark alone is none)."""
     global _fold
     if _fold is None:
-        out = np.full(0x110000, GAP, np.uint32)
-        for c in range(0x110000):
-            if 0xD800 <= c < 0xE000:
-                continue
-            if unicodedata.category(ch := chr(c))[0] in "LM":
+        out, letter = np.full(0x110000, GAP, np.uint32), np.zeros(0x110000, bool)
+        for c in (c for span in _SPANS for c in span if not 0xD800 <= c < 0xE000):
+            kind = unicodedata.category(ch := chr(c))[0]
+            if kind in "LM":
                 low = ch.lower()
                 out[c] = ord(low) if len(low) == 1 else c
-        _fold = out
+                letter[c] = kind == "L"
+        _fold = out, letter
     return _fold
 
 
@@ -52,15 +56,16 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Folded symbols with runs of gaps as one and a gap before each document; offsets; letters by document."""
     cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    at = lead[offs]
-    sym = fold()[cps]
-    letter = sym != GAP
+    at = np.minimum(lead[offs], len(cps))
+    low, is_letter = fold()
+    sym = low[cps]
+    part = sym != GAP
     first = np.zeros(len(sym) + 1, bool)
     first[at] = True
-    keep = letter.copy()
-    keep[1:] |= ~letter[1:] & letter[:-1] & ~first[1:-1]  # one gap after letters; none at a document's start
+    keep = part.copy()
+    keep[1:] |= ~part[1:] & part[:-1] & ~first[1:-1]  # one gap after letters; none at a document's start
     kept = np.concatenate(([0], np.cumsum(keep)))[at]
-    letters = np.diff(np.concatenate(([0], np.cumsum(letter)))[at])
+    letters = np.diff(np.concatenate(([0], np.cumsum(is_letter[cps])))[at])
     return sym[keep], kept, letters
 
 
@@ -147,21 +152,31 @@ class Models:
         return np.where(self.contexts[k][i] == key, i, -1) if len(self.contexts[k]) else np.full(len(key), -1)
 
 
+def counted(data: np.ndarray, offs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, n-gram of the highest order, count) over documents with a group number each."""
+    sym, at, _ = symbols(data, offs)
+    p, to = padded(sym, at)
+    pos = np.arange(max(0, len(p) - ORDER + 1)) + ORDER - 1
+    doc = np.searchsorted(to, pos, "right") - 1
+    inside = pos - to[doc] >= ORDER - 1
+    rows = np.lib.stride_tricks.sliding_window_view(p, ORDER)[inside] if inside.any() else np.zeros((0, ORDER), np.uint32)
+    got, n = np.unique(np.column_stack((group[doc[inside]].astype(np.uint32), rows)), axis=0, return_counts=True)
+    return got[:, 0].astype(np.int64), got[:, 1:], n
+
+
 def train(texts: dict[str, list[str]]) -> Models:
-    """Interpolated Kneser-Ney with one absolute discount for each order and language."""
-    langs = sorted(texts)
-    m = Models(langs)
+    """Models of texts at hand."""
     found = {}
-    for g in langs:
-        data, offs = K.text_arrays(pa.array(texts[g], pa.large_string()))
-        sym, at, _ = symbols(data, offs)
-        p, to = padded(sym, at)
-        inside = np.ones(max(0, len(p) - ORDER + 1), bool)
-        pos = np.arange(len(inside)) + ORDER - 1
-        doc = np.searchsorted(to, pos, "right") - 1
-        inside &= pos - to[doc] >= ORDER - 1
-        rows = np.lib.stride_tricks.sliding_window_view(p, ORDER)[inside] if inside.any() else np.zeros((0, ORDER), np.uint32)
-        found[g] = np.unique(rows, axis=0, return_counts=True)
+    for g, t in texts.items():
+        data, offs = K.text_arrays(pa.array(t, pa.large_string()))
+        found[g] = counted(data, offs, np.zeros(len(t), np.int64))[1:]
+    return fit(found)
+
+
+def fit(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
+    """Interpolated Kneser-Ney with one absolute discount for each order and language, from counted n-grams."""
+    langs = sorted(found)
+    m = Models(langs)
     alphabet = np.unique(np.concatenate([r.reshape(-1) for r, _ in found.values()])) if found else np.zeros(0)
     m.floor = 1.0 / (len(alphabet) + 1000)
     per = {k: {} for k in range(1, ORDER + 1)}
@@ -226,32 +241,55 @@ def judge(m: Models, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np
     return out, letters, n
 
 
-def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 600, seed: int = 9) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, cross_entropy, rejected for every row of docs."""
+def sample(narrow: DataFrame, most_docs: int, seed: int) -> DataFrame:
+    """(lang, h, text) of at most ``most_docs`` distinct labelled rows of each language, by a hash of id and text."""
     from pyspark.sql import Window
 
+    known = narrow.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    known = known.select("lang", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "text")
+    # a threshold that leaves twice the documents asked for, then the least hashes: no language is sorted whole
+    many = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n"))
+    below = many.select("lang", F.least(F.lit(2.0**63), F.lit(2.0 * most_docs) / F.col("n") * F.lit(2.0**64) - F.lit(2.0**63)).alias("below"))
+    few = known.select("lang", "h").join(F.broadcast(below), "lang").where(F.col("h").cast("double") <= F.col("below")).select("lang", "h").distinct()
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= most_docs).select("lang", "h")
+    return known.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+
+def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 600, seed: int = 9) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, cross_entropy, rejected for every row of docs."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).withColumn("held_out", held_out("doc_id"))
-    ids = narrow.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    # the threshold that keeps about most_docs of each language: partial counts only, no sort of a language
-    counts = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = spark.createDataFrame([(g, min((1 << 63) - 1, (most_docs << 64) // n - (1 << 63))) for g, n in counts.items()], "lang string, most bigint")
-    some = [r.doc_id for r in ids.join(F.broadcast(share), "lang").where("h <= most").select("doc_id").collect()]
-    chosen = narrow.where("lang is not null").join(F.broadcast(spark.createDataFrame([(i,) for i in set(some)], "doc_id bigint")), "doc_id")
-    rows = sorted(chosen.where("text is not null").select("doc_id", "lang", "text").collect())
-    apart = rows[::8] if len(rows) >= 40 else []
-    texts: dict[str, list[str]] = {}
-    for k, (_, g, t) in enumerate(rows):
-        if not (apart and k % 8 == 0):
-            texts.setdefault(g, []).append(t)
-    texts = {g: t for g, t in texts.items() if g in counts}
-    m = train(texts)
-    own = []
-    for _, g, t in apart:
-        data, offs = K.text_arrays(pa.array([t], pa.large_string()))
-        c, letters, _ = judge(m, data, offs)
-        if letters[0] and g in m.langs:
-            own.append(c[0, m.langs.index(g)])
+    drawn = cut(sample(narrow, most_docs, seed))
+    calibrates = drawn.count() >= 40
+    apart = F.pmod(F.shiftright("h", 8), F.lit(8)) == 0 if calibrates else F.lit(False)
+
+    def count(source):
+        for data, offs, more in K.batches(source, "text", "lang"):
+            code = more["lang"].dictionary_encode()
+            g, rows, n = counted(data, offs, code.indices.to_numpy())
+            wide = rows.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(g)).cast(pa.string()), pa.array(wide[:, 0] << 21 | wide[:, 1]), pa.array(wide[:, 2] << 21 | wide[:, 3]), pa.array(n)], ["lang", "a", "b", "n"])
+
+    # counts, not texts, reach the driver: distinct n-grams of the bounded sample
+    got = drawn.where(~apart).select("lang", "text").mapInArrow(count, "lang string, a bigint, b bigint, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toArrow()
+    code = got.column("lang").combine_chunks().dictionary_encode()
+    a, b, n, which = got.column("a").to_numpy(), got.column("b").to_numpy(), got.column("n").to_numpy(), code.indices.to_numpy()
+    rows = np.column_stack((a >> 21, a & 0x1FFFFF, b >> 21, b & 0x1FFFFF)).astype(np.uint32)
+    order = np.lexsort(rows.T[::-1])
+    rows, n, which = rows[order], n[order], which[order]
+    found = {g: (rows[which == k], n[which == k]) for k, g in enumerate(code.dictionary.to_pylist())}
+    m = fit(found)
+    trial = spark.sparkContext.broadcast(m)
+
+    def own_cost(source):
+        m = trial.value
+        for data, offs, more in K.batches(source, "text", "lang", most=1 << 20):
+            c, letters, _ = judge(m, data, offs)
+            at = np.array([m.langs.index(g) if g in m.langs else -1 for g in more["lang"].to_pylist()], np.int64)
+            ok = (letters > 0) & (at >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c[ok, at[ok]].astype(np.float64))], ["cost"])
+
+    own = [r.cost for r in drawn.where(apart).select("lang", "text").mapInArrow(own_cost, "cost double").collect()] if calibrates else []
     m.level = float(np.quantile(own, 0.995)) if own else float("inf")
     model = spark.sparkContext.broadcast(m)
 

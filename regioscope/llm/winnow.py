@@ -8,9 +8,10 @@ fingerprint. A fingerprint is packed as 36 bits of hash over 27 bits of reversed
 array minimum picks the least hash and the rightmost place.
 
 ``with_neighbour`` pairs each document with the next one in descending id (the last with the first)
-without a global sort: ids fall into ranges by approximate quantiles, a window runs inside each range, and
-the first document of every range is lent to the range that ends before it. Ranges are bounded in
-number, and only their heads' ids reach the driver.
+without a global sort: ids fall into ranges by approximate quantiles, an id that fills several quantiles
+(such as no id at all) is dealt over as many ranges by the hash of its texts, a window runs inside each
+range, and the first document of every range is lent to the range before it. The number of ranges
+follows the rows, and only their heads' ids reach the driver.
 
 Edge cases: null text counts as empty, no units give an empty fingerprint; 1 to k-1 units give one
 hash of them all; fewer than w hashes give one minimum; null ids come last; equal ids follow each
@@ -19,6 +20,8 @@ other in the order of a text hash; a single document is its own neighbour; empty
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,26 +65,38 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def with_neighbour(df: DataFrame, key: str, carried: list[str], rows_a_range: int = 2000, most_ranges: int = 2048) -> DataFrame:
+def place(o: Column, tie: Column, cuts: list[int]) -> Column:
+    """Range of a row in the order of descending o, then tie (63 bits): cuts above o, and for an o that is several cuts a share of tie."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    le = lambda values: F.size(F.filter(values, lambda c: c <= o))
+    block = le(F.lit(cuts[::step]))  # two levels: not every cut is compared with every row
+    upto = F.when(block > 0, (block - 1) * step + le(F.slice(F.lit(cuts), (block - 1) * step + 1, F.lit(step)))).otherwise(0)
+    repeated = {c: n for c, n in Counter(cuts).items() if n > 1}
+    at = F.lit(len(cuts)) - upto
+    for c, n in sorted(repeated.items()):
+        at = F.when(o == c, at + F.least(F.lit(n - 1), F.floor(tie / F.lit(2.0**63) * n))).otherwise(at)
+    return at.cast("int")
+
+
+def with_neighbour(df: DataFrame, key: str, carried: list[str], rows_a_range: int = 2000, most_ranges: int = 8192) -> DataFrame:
     """Adds ``next_<column>`` of the next row in descending key for the carried columns."""
-    ids = df.select(F.coalesce(F.col(key), F.lit(LEAST)).alias("o"))
-    total = ids.count()
+    o, tie = F.coalesce(F.col(key), F.lit(LEAST)), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
+    total = df.count()
     if not total:
         for c in carried:
             df = df.withColumn(f"next_{c}", F.col(c))
         return df
     n = max(1, min(most_ranges, total // rows_a_range))
-    cuts = sorted(set(ids.agg(F.percentile_approx("o", [i / n for i in range(1, n)], 100 * n)).first()[0])) if n > 1 else []
-    at = (F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c < F.col("o"))) if cuts else F.lit(0)).cast("int")
-    heads = sorted(ids.withColumn("r", at).groupBy("r").agg(F.max("o").alias("o")).collect())
-    df = df.withColumn("o", F.coalesce(F.col(key), F.lit(LEAST))).withColumn("r", at).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("ghost", F.lit(0))
-    to = {h.o: heads[(k + 1) % len(heads)].r for k, h in enumerate(heads)}
-    lend = F.create_map(*[F.lit(x).cast(t) for o, r in to.items() for x, t in ((o, "bigint"), (r, "int"))])
-    first = Window.partitionBy("o").orderBy("tie")
-    ghosts = df.where(F.col("o").isin(list(to))).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    ghosts = ghosts.withColumn("r", lend[F.col("o")]).withColumn("ghost", F.lit(1))
+    cuts = sorted(df.agg(F.percentile_approx(o, [i / n for i in range(1, n)], 100 * n)).first()[0]) if n > 1 else []
+    df = df.withColumns({"o": o, "tie": tie}).withColumn("r", place(F.col("o"), F.col("tie"), cuts))
+    first = F.max(F.struct("o", (-F.col("tie")).alias("tie")))
+    heads = [(h.r, h.first.o, -h.first.tie) for h in sorted(df.groupBy("r").agg(first.alias("first")).collect())]
+    lend = df.sparkSession.createDataFrame([(heads[k - 1][0], o, t) for k, (_, o, t) in enumerate(heads)], "to int, o bigint, tie bigint")
+    ghosts = df.join(F.broadcast(lend), ["o", "tie"]).dropDuplicates(["to"]).withColumn("r", F.col("to")).drop("to").withColumn("ghost", F.lit(1))
     w = Window.partitionBy("r").orderBy("ghost", F.desc("o"), "tie")
-    both = df.unionByName(ghosts)
+    both = df.withColumn("ghost", F.lit(0)).unionByName(ghosts)
     return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where("ghost = 0").drop("o", "r", "tie", "ghost")
 
 

@@ -77,35 +77,25 @@ def substrings(rows, length=100):
     return out
 
 
-def sentences(rows, run=2, least_words=16):
-    first, docs = {}, {}
-    for i, t in sorted(rows):
-        t = t or ""
-        parts = []  # (words, start)
-        for m in re.finditer(r"[^.!?\n]+", t):
-            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", m[0].translate(LOWER))
-            if w:
-                at = m.start() + re.search(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", m[0]).start()
-                parts.append((tuple(w), at))
-        docs[i] = (t, parts)
-        for k in range(len(parts) - run + 1):
-            key = tuple(p[0] for p in parts[k : k + run])
-            if sum(map(len, key)) >= least_words:
-                first.setdefault(key, (i, k))
-    out = {}
-    for i, (t, parts) in docs.items():
-        hit = set()
-        for k in range(len(parts) - run + 1):
-            key = tuple(p[0] for p in parts[k : k + run])
-            if key in first and first[key] != (i, k):
-                hit |= set(range(k, k + run))
-        ends = [p[1] for p in parts] + [len(t)]
-        kept, last = "", 0
-        for k in sorted(hit):
-            kept += t[last : ends[k]]
-            last = ends[k + 1]
-        kept += t[last:]
-        out[i] = (len(parts), len(hit), hashlib.sha256(kept.encode()).hexdigest())
+def sentences(texts, run=2, least=16, alone=50):
+    """(sentences, removed sentence numbers) by text in the order of ids, from the definition."""
+    docs = [[tuple(w) for x in re.split(r"[.!?\n]", t or "") if (w := re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.translate(LOWER)))] for t in texts]
+    seen, out = set(), []
+    for d in docs:
+        n, spans, gone = len(d), set(), set()
+        words = lambda a, b: sum(map(len, d[a:b]))
+        for i in range(n):
+            spans |= set([(i, e) for e in range(i + run, n + 1) if words(i, e) >= least][:1])
+            spans |= set([(s, i + 1) for s in range(i + 1 - run, -1, -1) if words(s, i + 1) >= least][:1])
+            if len(d[i]) >= (least if n == 1 else alone):
+                spans.add((i, i + 1))
+        if n >= run and words(0, n) < least:
+            spans.add((0, n))
+        for a, b in sorted(spans):
+            if (key := tuple(d[a:b])) in seen:
+                gone |= set(range(a, b))
+            seen.add(key)
+        out.append((n, ",".join(map(str, sorted(gone)))))
     return out
 
 
@@ -113,3 +103,41 @@ def crc(ids):
     import struct
 
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def kneser_ney(texts, order=4, floor=None):
+    """By language: probability of a symbol after its context, from counts by the textbook recursion."""
+    models = {}
+    for g, ts in texts.items():
+        top = Counter()
+        for t in ts:
+            p = " " * (order - 1) + t
+            top.update(p[i - order + 1 : i + 1] for i in range(order - 1, len(p)))
+        levels, now = {}, top
+        for k in range(order, 0, -1):
+            ones, twos = sum(v == 1 for v in now.values()), sum(v == 2 for v in now.values())
+            total, kinds = Counter(), Counter()
+            for x, v in now.items():
+                total[x[:-1]] += v
+                kinds[x[:-1]] += 1
+            levels[k] = (now, ones / (ones + 2 * twos) if ones and twos else 0.5, total, kinds)
+            now = Counter(x[1:] for x in now)
+        models[g] = levels
+
+    def prob(g, x, k=order):
+        if k == 0:
+            return floor
+        n, d, total, kinds = models[g][k]
+        c = x[:-1]
+        if not total[c]:
+            return prob(g, x[1:], k - 1)
+        return max(n[x] - d, 0) / total[c] + d * kinds[c] / total[c] * prob(g, x[1:], k - 1)
+
+    return prob
+
+
+def minima(hashes, w=16):
+    """(hash, position) of the least of every window, the rightmost of equals."""
+    n = len(hashes)
+    spans = [range(i, i + w) for i in range(n - w + 1)] or ([range(n)] if n else [])
+    return sorted({max((-hashes[i], i) for i in s)[1] for s in spans})

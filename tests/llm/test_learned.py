@@ -1,8 +1,10 @@
 """Learned and sampled operators: laws, round trips, held-out accuracy, null and empty cases."""
 
+import math
 import zlib
 from collections import Counter
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -52,6 +54,24 @@ def test_shards_are_uniform(docs):
     assert all(35 <= low[s] <= 95 for s in range(4))
 
 
+def test_draws_beyond_the_generator_are_hypergeometric(monkeypatch):
+    monkeypatch.setattr(shards, "DRAWN", 4)
+    rng = np.random.default_rng(5)
+    good, bad, n = 40, 25, 30
+    got = np.bincount([shards.hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=31)
+    want = np.array([math.comb(good, k) * math.comb(bad, n - k) for k in range(31)]) / math.comb(good + bad, n) * 20_000
+    on = want > 20
+    assert ((got - want)[on] ** 2 / want[on]).sum() < 40  # about a dozen cells
+    monkeypatch.undo()
+    big = shards.hypergeometric(rng, 3 * 10**12, 10**12, 10**11)
+    assert abs(big - 0.75e11) < 1e6
+
+
+def test_equal_rows_are_spread(spark):
+    rows = shards.shard(spark.range(4000).selectExpr("cast(null as bigint) doc_id", "'' as text"), shards=4, partitions=16).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(4) for k in range(1000)]
+
+
 def test_kth_largest(spark):
     v = np.random.default_rng(0).integers(0, 1 << 62, 3000).tolist() + [7] * 50
     df = spark.createDataFrame([(int(x),) for x in v], "b bigint")
@@ -105,6 +125,28 @@ def test_machine_learns_pairs_only():
     assert score(10, 20) > 0.5 > max(score(10), score(20), score())
 
 
+def test_machine_learns_pairs_without_marginal_signal():
+    rng = np.random.default_rng(2)
+    rows = rng.random((3000, 2)) < 0.5
+    y = (rows[:, 0] == rows[:, 1]).astype(float)  # neither term tells anything alone
+    bins = [np.array([10 * (k + 1) for k in range(2) if x[k]] + rng.integers(100, 400, 20).tolist(), np.int64) for x in rows]
+    m = toxicity.fit(bins, y, epochs=60)
+    assert m.at[10] >= 0 and m.at[20] >= 0
+    score = lambda *b: m.score(np.array(b, np.int64), np.array([0, len(b)]))[0]
+    assert score(10, 20) > max(score(10), score(20))
+
+
+def test_machine_against_plain_sum():
+    rng = np.random.default_rng(4)
+    at = np.full(toxicity.BINS, -1)
+    at[[5, 9, 70]] = [0, 1, 2]
+    m = toxicity.Machine(at, -0.3, rng.normal(size=3), rng.normal(size=(3, 4)))
+    bins = np.array([5, 5, 9, 1234, 70, 9, 9])
+    x = {0: 1 + math.log(2), 1: 1 + math.log(3), 2: 1.0}
+    z = m.bias + sum(m.w[i] * v for i, v in x.items()) + sum(float(m.v[i] @ m.v[j]) * x[i] * x[j] for i in x for j in x if i < j)
+    assert m.score(bins, np.array([0, 7]))[0] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_toxicity_hard_cases(odd, spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     rows = toxicity.toxicity(odd, none).collect()
@@ -127,6 +169,28 @@ def test_language_hard_cases(odd, spark):
     assert langid.identify(empty(spark, odd)).count() == 0
 
 
+def test_kneser_ney_against_plain_recursion():
+    texts = {"a": ["abracadabra abba", "cab bad", "abra"], "b": ["xyz zyx", "yyx axa", "zzz"]}
+    m = langid.train(texts)
+    prob = brute.kneser_ney(texts, floor=m.floor)
+    for t in ("abra xyz", "qq", "bad zyx a"):
+        data, offs = kernel.text_arrays(pa.array([t]))
+        got = langid.judge(m, data, offs)[0][0]
+        p = "   " + t
+        for k, g in enumerate(m.langs):
+            want = -sum(math.log2(prob(g, p[i - 3 : i + 1])) for i in range(3, len(p))) / len(t)
+            assert got[k] == pytest.approx(want, rel=1e-5)
+
+
+def test_language_draw_is_by_text(spark):
+    en = [(1, f"the house number {k} stands near the river and the old mill", "en") for k in range(3000)]
+    fr = [(10 + k, f"la maison numero {k} est pres de la riviere et du moulin", "fr") for k in range(4)]
+    marks = [(99, "\u0301\u0302 \u0303", None)]
+    got = langid.identify(spark.createDataFrame(en + fr + marks, "doc_id bigint, text string, lang string")).collect()
+    assert {r.lang_pred for r in got if r.doc_id == 1} == {"en"} and {r.lang_pred for r in got if 10 <= r.doc_id < 20} == {"fr"}
+    assert [r.lang_pred for r in got if r.doc_id == 99] == ["und"]
+
+
 def test_kneser_ney_sums_to_one():
     m = langid.train({"a": ["abracadabra abba", "cab bad"], "b": ["xyz zyx", "yyx"]})
     alphabet = sorted(set("abracdxyz "))
@@ -138,13 +202,34 @@ def test_kneser_ney_sums_to_one():
         assert len(langid.judge(m, data, offs)[0]) == len(alphabet)
 
 
-def plain_winnow(text, k=5, w=16):
+def plain_winnow(text, k=5):
+    """Units and the number of hashes."""
     import re
 
-    units = re.findall(r"\S{1,8}", text.lower(), re.ASCII)
+    units = re.findall(r"(?<!\S)\S{1,8}(?!\S)|\S", text.lower(), re.ASCII)
     return units, max(0, len(units) - k + 1) if len(units) >= k else min(1, len(units))
 
 
+def test_winnowing_against_plain_minima(docs, spark):
+    from pyspark.sql import functions as F
+
+    text = {i: t or "" for i, t in docs.where("doc_id < 60").select("doc_id", "text").collect()}
+    units = {i: plain_winnow(t)[0] for i, t in text.items()}
+    grams = sorted({tuple(u[j : j + 5]) for u in units.values() for j in range(len(u) - 4)})
+    frame = spark.createDataFrame([list(g) for g in grams], "a string, b string, c string, d string, e string")
+    key = dict(zip(grams, [r.h for r in frame.select(F.shiftrightunsigned(F.xxhash64(*"abcde"), 28).alias("h")).collect()], strict=True))
+    df = winnow.fingerprints(docs.where("doc_id < 60"), "text", "fp", 5, 16).select("doc_id", winnow.rendered("fp").alias("fp"), winnow.hashes("fp").alias("h"))
+    pairs = df.select("h").limit(2).collect()
+    for r in df.collect():
+        u = units[r.doc_id]
+        h = [key[tuple(u[j : j + 5])] for j in range(len(u) - 4)]
+        if len(u) >= 5:
+            assert r.fp == ",".join(f"{h[p]:x}@{p}" for p in brute.minima(h))
+    a, b = (set(p.h) for p in pairs)
+    both = spark.createDataFrame([(sorted(a), sorted(b))], "a array<bigint>, b array<bigint>")
+    assert both.select(winnow.likeness("a", "b")).first()[0] == len(a & b) / len(a | b)
+
+
 def test_winnowing_contract_and_guarantee(docs, odd):
     import hashlib
 
@@ -159,6 +244,9 @@ def test_winnowing_contract_and_guarantee(docs, odd):
             assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()
             pos = [int(x.split("@")[1]) for x in rows[i].fingerprint.split(",") if x]
             _, n_hash = plain_winnow(t)
+            mine, next_, edited = ({x.split("@")[0] for x in f.split(",") if x} for f in (rows[i].fingerprint, rows[ids[(n + 1) % len(ids)]].fingerprint, rows[i].edited_fingerprint))
+            alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+            assert rows[i].near_next == pytest.approx(alike(mine, next_)) and rows[i].near_edited == pytest.approx(alike(mine, edited))
             assert pos == sorted(pos) and (len(pos) == 0) == (n_hash == 0)
             edges = [-1, *pos, n_hash]
             assert all(b - a <= 16 for a, b in zip(edges, edges[1:])) or n_hash < 16  # every window holds a kept position

@@ -61,8 +61,10 @@ def test_substrings_heavy(docs, monkeypatch):
 
 def test_sentences(docs):
     rows, df = docs
-    got = sentences.dedup_sentences(df, keep=["doc_id", "row"]).collect()
-    assert {r.row.doc_id: (r.n_sentences, r.n_removed, r.kept_sha256) for r in got} == brute.sentences(rows)
+    got = sentences.dedup_sentences(df, keep=["doc_id", "row"], cut_text=True).collect()
+    want = dict(zip([i for i, _ in sorted(rows)], brute.sentences([t for _, t in sorted(rows, key=lambda r: r[0])]), strict=True))
+    assert {r.row.doc_id: (r.n_sentences, ",".join(map(str, r.removed))) for r in got} == want
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
 @pytest.mark.parametrize("block_bytes", [32 << 20, 64])
@@ -82,12 +84,11 @@ def test_packing(docs):
 
     rows, df = docs
     tok = Tokenizer.from_file(queries.vocabulary())
-    tok.encode_special_tokens = True
     want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
     got, seqs = defaultdict(list), defaultdict(list)
     for window in (2048, 64):
         got.clear(), seqs.clear()
-        for r in packing.pack(df, queries.vocabulary(), window=window, with_ids=True).collect():
+        for r in packing.pack(df, queries.vocabulary(), window=window, with_ids=True, added=True).collect():
             ids = want[r.doc_id][r.start : r.start + r.length]
             assert list(r.ids) == ids
             assert (r.ids_crc32, r.doc_tokens) == (brute.crc(ids), len(want[r.doc_id]))

@@ -18,34 +18,68 @@ from regioscope.llm import common, decontaminate, jaccard, packing, queries, res
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """Each row as a struct beside its id and text, so that no column of documents can clash with one of a stage."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = resample.resample(docs, common.read(spark, sf_dir, "labels"))
-    kept = got.where("selected").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    mark = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))
-    return docs.withColumn("_m", mark).join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_semi").drop("_m")
+    """Documents that importance resampling selects.
+
+    A text without words (null, empty, blank) has weight 0 and is judged by it; rows equal in id and
+    text stay or go together, also without an id; ties at the last place stay; without usable
+    labels, and in an empty table, everything stays.
+    """
+    got = resample.resample(docs.select("doc_id", "text"), common.read(spark, sf_dir, "labels"))
+    kept = got.where("selected").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct()
+    mark = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = _apart(docs).withColumn("mark", mark)
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = common.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    got = jaccard.jaccard_classes(rows, key="_row").withColumnRenamed("doc", "_row")
-    named = rows.select("_row", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(jaccard.LEAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    bare = F.col("n_shingles") == 0  # no words: in no class, but equal rows are one
-    classes = got.join(named, "_row").groupBy(*[F.when(bare if c != "component" else ~bare, F.col(c)).alias(f"by_{c}") for c in ("component", "id", "mark")])
-    kept = classes.agg(F.min(F.struct("id", "mark", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    """One row of each class of near duplicates.
+
+    The row of the smallest id stays (no id is the smallest), among equal ids the one of the smaller text
+    hash; equal rows are one, with or without an id; texts without words are in no class, but rows
+    equal in id and text are one; repeated ids with different texts are rows of their own; an empty
+    table gives none.
+    """
+    rows = common.cut(_apart(docs).withColumn("at", F.monotonically_increasing_id()))  # written, so places stay
+    got = jaccard.jaccard_classes(rows.select("at", "text"), key="at").select(F.col("doc").alias("at"), "cls")
+    named = rows.select("at", F.coalesce("doc_id", F.lit(jaccard.LEAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    bare = F.col("cls").isNull()
+    classes = got.join(named, "at").groupBy("cls", F.when(bare, F.col("id")).alias("bare_id"), F.when(bare, F.col("mark")).alias("bare_mark"))
+    kept = classes.agg(F.min(F.struct("id", "mark", "at")).alias("first")).select(F.col("first.at").alias("at"))
+    return rows.join(kept, "at", "left_semi").select("row.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without bytes of 100-byte strings that start earlier in the corpus.
+
+    A cut character goes as a whole; null and short texts stay as they are; a text that repeats from end
+    to end becomes empty; rows equal in id and text are one document; an empty table gives none.
+    """
     got = suffix.dedup_substrings(docs, cut_text=True)
     return _with_text(docs, got, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without words inside occurrences of benchmark windows.
+
+    Null texts and texts without a hit stay as they are; repeated rows are judged each; null items are
+    ignored; very long texts are scanned whole; an empty benchmark hits nothing.
+    """
     got = decontaminate.decontaminate(docs, common.read(spark, sf_dir, "benchmark"), cut_text=True)
     return _with_text(docs, got, F.coalesce("clean_text", "row.text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their places in packed sequences.
+
+    Null and empty texts have just the end id; repeated rows are packed each; a very long text fills
+    many sequences; an empty table gives none.
+    """
     return packing.pack(docs, queries.vocabulary(), added=True)
 
 

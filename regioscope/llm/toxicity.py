@@ -8,7 +8,7 @@ Fitting uses at most ``most_labels`` labelled training rows (chosen by hash; a p
 only distinct bins with counts reach the driver. Bins are screened by their document frequencies and by
 those of pairs, so a term that tells only beside another one is kept too: alone, by the log-odds z-value or
 the signed root of the likelihood ratio (which a term of toxic texts alone passes too); in a pair, by that
-root for texts that hold both, where it exceeds both terms' own. The machine is fitted to the screened bins by
+root for texts that hold both, where it exceeds both terms' own (judged on ``pair_labels`` of the rows). The machine is fitted to the screened bins by
 Adam with logistic loss, and the fitted arrays are broadcast. Every document is scored over its whole text.
 
 Edge cases: a text without screened terms (null, empty) scores sigmoid(w0); without labels of both
@@ -74,54 +74,85 @@ def ratio_root(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.nda
     return np.sqrt(2 * np.maximum(g, 0))
 
 
-def paired(bins: list[np.ndarray], y: np.ndarray, freq: np.ndarray, alone: np.ndarray, least: float = 6.0, least_docs: int = 8, buckets: int = 1 << 24) -> np.ndarray:
+def frequencies(bins: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Document frequency of every bin among clean and toxic texts."""
+    freq = np.zeros((2, BINS))
+    for b, t in zip(bins, y, strict=True):
+        freq[int(t), np.unique(b)] += 1
+    return freq
+
+
+def _pairs(bins: list[np.ndarray], often: np.ndarray, most: int = 1 << 21):
+    """Pairs (x < z) of distinct bins that texts hold together, as x * BINS + z, in portions of about ``most``."""
+    held, size = [], 0
+    for b in bins:
+        b = np.unique(b[often[b]])
+        for a in range(0, len(b) - 1, 512):
+            n = len(b) - 1 - np.arange(a, min(a + 512, len(b) - 1))  # partners to the right
+            x = np.repeat(np.arange(a, a + len(n)), n)
+            z = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            held.append(b[x] * BINS + b[z])
+            size += len(x)
+            if size >= most:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def paired(bins: list[np.ndarray], y: np.ndarray, least: float = 6.0, least_docs: int = 8, buckets: int = 1 << 22) -> np.ndarray:
     """Bins of pairs that toxic texts hold together, where the pair tells more than its terms do.
 
-    Pairs are counted by hash bucket: those of toxic texts first, then buckets met ``least_docs`` times in the
-    clean texts, then the strong buckets' pairs by name. Terms in over half of all texts pair with everything.
+    Pairs of toxic texts are counted by hash bucket, then by name where a bucket holds ``least_docs``, and stay
+    while they could tell enough if no clean text had them. What is left is counted exactly on bit sets of
+    the texts that hold each term. Terms in over half of all texts pair with everything and are left out.
     """
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    freq = frequencies(bins, y)
+    alone = ratio_root(freq[1], freq[0], n1, n0)
     often = (freq.sum(0) >= least_docs) & (freq.sum(0) <= 0.6 * len(bins))
-
-    def pairs(b: np.ndarray):
-        b = np.unique(b[often[b]])
-        for a in range(0, len(b), 512):
-            i, j = np.nonzero(b[a : a + 512, None] < b[None, :])
-            if len(i):
-                x, z = b[a + i], b[j]
-                yield x, z, (K.mix((x * BINS + z).astype(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
-
-    seen = np.zeros((2, buckets), np.int32)
-    for cls in (1, 0):
-        for k in np.flatnonzero(y == cls).tolist():
-            for _, _, at in pairs(bins[k]):
-                np.add.at(seen[cls], at if cls else at[seen[1, at] >= least_docs], 1)
-    strength = np.zeros(buckets)
-    many = np.flatnonzero(seen[1] >= least_docs)
-    more = seen[1, many] * n0 > seen[0, many] * n1
-    strength[many] = np.where(more, ratio_root(seen[1, many].astype(float), seen[0, many].astype(float), n1, n0), 0)
-    out = [np.zeros(0, np.int64)]
-    for k in np.flatnonzero(y == 1).tolist():
-        for x, z, at in pairs(bins[k]):
-            on = strength[at] >= np.maximum(least, 1 + np.maximum(alone[x], alone[z]))
-            out.append(np.unique(np.concatenate((x[on], z[on]))))
-    return np.unique(np.concatenate(out))
-
-
-def fit(bins: list[np.ndarray], y: np.ndarray, *, counts: list[np.ndarray] | None = None, factors: int = 8, least_z: float = 4.0, epochs: int = 40, rate: float = 0.03, l2: float = 1e-4, seed: int = 3) -> Machine:
+    toxic = [b for b, t in zip(bins, y, strict=True) if t == 1]
+    seen = np.zeros(buckets, np.int32)
+    bucket = lambda pair: (K.mix(pair.astype(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
+    for pair in _pairs(toxic, often):
+        seen += np.bincount(bucket(pair), minlength=buckets).astype(np.int32)
+    parts = [np.unique(pair[seen[bucket(pair)] >= least_docs], return_counts=True) for pair in _pairs(toxic, often)]
+    pairs, back = np.unique(np.concatenate([np.zeros(0, np.int64), *(p for p, _ in parts)]), return_inverse=True)
+    counts = np.bincount(back, np.concatenate([np.zeros(0), *(n for _, n in parts)]), len(pairs)).astype(np.int64)
+    x, z = pairs // BINS, pairs % BINS
+    need = np.maximum(least, 1 + np.maximum(alone[x], alone[z]))
+    can = (counts >= least_docs) & (ratio_root(counts.astype(float), np.zeros(len(counts)), n1, n0) >= need)
+    x, z, counts, need = x[can], z[can], counts[can], need[can]
+    terms_, back = np.unique(np.concatenate((x, z)), return_inverse=True)
+    if not len(terms_):
+        return terms_
+    row = np.full(BINS, -1)
+    row[terms_] = np.arange(len(terms_))
+    clean = [b for b, t in zip(bins, y, strict=True) if t == 0]
+    words = -(-len(clean) // 64)
+    bits = np.zeros((len(terms_), words), np.uint64)
+    for d, b in enumerate(clean):
+        r = row[b]
+        bits[r[r >= 0], d // 64] |= np.uint64(1 << d % 64)
+    i, j = back[: len(x)], back[len(x) :]
+    both = np.concatenate([np.bitwise_count(bits[i[k : k + 4096]] & bits[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)]).astype(float)
+    on = (ratio_root(counts.astype(float), both, n1, n0) >= need) & (counts * n0 > both * n1)
+    return np.unique(np.concatenate((x[on], z[on])))
+
+
+def fit(bins: list[np.ndarray], y: np.ndarray, *, counts: list[np.ndarray] | None = None, factors: int = 8, least_z: float = 4.0, pair_labels: int = 4000, epochs: int = 40, rate: float = 0.03, l2: float = 1e-4, seed: int = 3) -> Machine:
     at = np.full(BINS, -1, np.int64)
     share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     flat = Machine(at, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, factors)))
     if not len(y) or y.min() == y.max():
         return flat
-    freq = np.zeros((2, BINS))
-    for b, t in zip(bins, y, strict=True):
-        freq[int(t), np.unique(b)] += 1
+    freq = frequencies(bins, y)
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     a, c = freq[1] + 0.5, freq[0] + 0.5
     z = (np.log(a / (n1 - freq[1] + 0.5)) - np.log(c / (n0 - freq[0] + 0.5))) / np.sqrt(1 / a + 1 / c + 1 / (n1 - freq[1] + 0.5) + 1 / (n0 - freq[0] + 0.5))
     strength = np.where(freq.sum(0) > 0, np.maximum(np.abs(z), ratio_root(freq[1], freq[0], n1, n0)), 0)
-    pick = np.union1d(np.flatnonzero(strength >= least_z), paired(bins, y, freq, strength))
+    some = np.sort(np.random.default_rng(seed).permutation(len(bins))[:pair_labels])
+    pick = np.union1d(np.flatnonzero(strength >= least_z), paired([bins[k] for k in some], y[some]))
     if not len(pick):
         return flat
     at[pick] = np.arange(len(pick))

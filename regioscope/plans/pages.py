@@ -41,7 +41,7 @@ def rendered_pages(cells: DataFrame) -> DataFrame:
     years = list(range(2001, 1994, -1))
     row = cells.groupBy("segment", "nation").pivot("year", years).agg(F.first("value"))
     num = [F.regexp_replace(F.format_string("%,.2f", F.coalesce(F.col(str(y)), F.lit(0.0))), ",", " ") for y in years]
-    line = F.concat(F.rpad("nation", 24, " "), F.concat_ws("   ", *num), F.lit("   الولاية"))
+    line = F.concat(F.rpad(F.concat("nation", F.lit(" région")), 24, " "), F.concat_ws("   ", *num), F.lit("   الولاية"))
     head = F.concat(F.lit("2."), (F.length("segment") % 9 + 1).cast("string"), F.lit(" Valeur par gouvernorat "), F.lower("segment"), F.lit("  4.2\nUnité : dinars\nGouvernorat  " + "  ".join(map(str, years)) + "  الولاية\n"))
     body = row.withColumn("line", line).groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nation", "line"))), lambda s: s["line"]), "\n").alias("body"))
     return body.select(F.xxhash64("segment").alias("page"), F.concat(head, "body").alias("text"))
@@ -49,7 +49,7 @@ def rendered_pages(cells: DataFrame) -> DataFrame:
 
 @query("table_page_parse", """WITH c AS (SELECT c_mktsegment AS segment, year(o_orderdate) AS y, n_name AS nation, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 g AS (SELECT segment, nation, CAST(y AS INT) AS y FROM (SELECT DISTINCT segment, nation FROM c), generate_series(1995, 2001) AS t(y))
-SELECT '2.' || (length(segment) % 9 + 1) AS table_number, 'Valeur par gouvernorat ' || lower(segment) AS title, nation AS row_label, 'data' AS row_kind, y AS year, round_even(coalesce(v, 0), 2) AS value FROM g LEFT JOIN c USING (segment, nation, y)""")
+SELECT '2.' || (length(segment) % 9 + 1) AS table_number, 'Valeur par gouvernorat ' || lower(segment) AS title, nation || ' région' AS row_label, 'data' AS row_kind, y AS year, round_even(coalesce(v, 0), 2) AS value FROM g LEFT JOIN c USING (segment, nation, y)""")
 def table_page_parse(spark, sf_dir) -> DataFrame:
     """Round trip: cells are rendered as fixed-layout pages and parsed back."""
     got = pages.parse_pages(rendered_pages(regional_cells(spark, sf_dir)))
@@ -58,12 +58,15 @@ def table_page_parse(spark, sf_dir) -> DataFrame:
 
 @query("heading_catalogue", """SELECT DISTINCT '2.' || (length(c_mktsegment) % 9 + 1) AS table_number, 'Valeur par gouvernorat ' || lower(c_mktsegment) AS title FROM customer JOIN orders ON o_custkey = c_custkey""")
 def heading_catalogue(spark, sf_dir) -> DataFrame:
-    """Headings of all pages by native expressions: lines exploded, contents entries refused, trailing numbers stripped."""
-    lines = rendered_pages(regional_cells(spark, sf_dir)).select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("line"))
-    pattern = r"^(\d{1,2}(?:\.\d{1,2}){1,2})\s+(\S.*)$"
-    title = F.regexp_replace(F.regexp_replace(F.regexp_extract("line", pattern, 2), r"\s+", " "), r"[\s.]*\b\d{1,3}(?:\.\d{1,2})*\s*$", "")
-    h = lines.where(F.col("line").rlike(pattern) & ~F.col("line").contains("....")).select(F.regexp_extract("line", pattern, 1).alias("table_number"), F.trim(title).alias("title"))
-    return h.where((F.length("title") >= 9) & F.col("title").rlike("[A-Za-zÀ-ÿ]{3}")).distinct()
+    """Headings of all pages by native expressions on the words of each line: a number in parts, then a title without numbers behind it."""
+    digits = lambda x, least: F.forall(F.split(x, "\\."), lambda p: p.rlike("^[0-9]+$") & (F.length(p) <= least))
+    lines = rendered_pages(regional_cells(spark, sf_dir)).select(F.explode(F.split("text", "\n")).alias("line"))
+    words = F.filter(F.split("line", " "), lambda w: w != "")
+    found = lines.withColumn("w", words).where((F.size("w") > 1) & ~F.col("line").contains("....")).withColumn("number", F.col("w")[0])
+    found = found.where(F.size(F.split("number", "\\.")).between(2, 3) & digits(F.col("number"), 2))
+    last = F.array_max(F.transform("w", lambda w, i: F.when((i > 0) & ~digits(F.trim(w, F.lit(".")), 3), i)))  # the last word that is no number
+    found = found.select(F.col("number").alias("table_number"), F.array_join(F.slice("w", 2, F.coalesce(last, F.lit(0))), " ").alias("title"))
+    return found.where((F.length("title") >= 9) & (F.length(F.regexp_replace("title", "[^A-Za-zÀ-ÿ]", "")) >= 3)).distinct()
 
 
 @query("canonical_titles")

@@ -43,7 +43,7 @@ def test_panels_and_refusals():
     assert kept["Importations / Janvier", 2023] == 1 and kept["Exportations / Février", 2022] == 8
     assert [(r[3], r[-1]) for r in rows if r[-1]] == [("Mars", "1 values under 2 columns")]
     again = P.parse_page(1, "14.1 Commerce extérieur par mois\nMois 2023 2022\nJanvier 1 2\nJanvier 3 4\n")
-    assert all(r[-1] == "label repeats without a panel above it" for r in again)
+    assert again and all(r[-1] == "label repeats without a panel above it" for r in again)
     assert P.parse_page(1, None) == [] and P.parse_page(1, "") == []
     assert all(r[-1] == "no table heading above the columns" for r in P.parse_page(1, "x 2023 2022\nTunis 1 2\n"))
 
@@ -96,3 +96,27 @@ def test_files(spark, tmp_path):
     back = files.read_csv(spark, str(tmp_path / "out" / "csv"), "id int, label string")
     assert files.content_hash(back) == files.content_hash(df)
     assert "| id | int | none | A1 | key |" in files.codebook(df, "d", "T", "intro", {"label": {"x": "ex"}})
+
+
+def kept(page):
+    return {(r[3], r[5]): r[7] for r in P.parse_page(1, page) if r[-1] is None}
+
+
+def test_labels_that_end_in_a_digit_are_refused():
+    page = "9.1 Endettement des ménages par an\nAnnée 2023 2022\nTaux d'endettement5 52.3 50.1\nTunis 1 2\nab 3 4\nSource : relevé 5 6\n"
+    assert kept(page) == {("Tunis", "2023"): 1.0, ("Tunis", "2022"): 2.0}
+    assert {r[3]: r[-1].split(",")[0] for r in P.parse_page(1, page) if r[-1]} == {"Taux d'endettement5": "label ends in a digit", "ab": "no words in the label", "Source relevé": "a caption or a page footer"}
+
+
+def test_undated_column_and_caption():
+    page = "13.4 Indices des prix de vente\nGouvernorat" + " " * 12 + "Masculin\nBranche 2023 2022 Pondération\nMines 1 2 30\nTextile 3 4\n"
+    assert kept(page) == {("Mines", "2023"): 1.0, ("Mines", "2022"): 2.0, ("Textile", "2023"): 3.0, ("Textile", "2022"): 4.0}
+    assert {r[10] for r in P.parse_page(1, page)} == {"Masculin"}
+    assert {r[10] for r in P.parse_page(1, page.replace("Masculin", "Total ND"))} == {None}
+
+
+def test_kinds_and_enumerators():
+    kinds = {x: P.row_kind(x) for x in ("T o t a l", "Total général", "Nord - Est", "Nord", "Sous-total", "Totalité", "Dont : femmes", "Sfax", "Grand Tunis")}
+    assert [k for k, v in kinds.items() if v == "aggregate"] == ["T o t a l", "Total général", "Nord - Est", "Sous-total", "Dont : femmes", "Grand Tunis"]
+    assert [P.enumerated(x) for x in ("I - Importations", "A) Biens", "5.Textiles", "Nord - Ouest", "X.")] == ["Importations", "Biens", "Textiles", None, None]
+    assert P.page_year("Situation au 31/12/2019") == 2019 and P.page_year("Année : 2020") == 2020 and P.page_year("en 2019") is None

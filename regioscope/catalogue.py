@@ -2,24 +2,5 @@
 
 from __future__ import annotations
 
-import importlib
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query (spark, sf_dir) -> DataFrame, and the DuckDB SQL for the same rows."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-for _module in ("regional", "survey", "checks", "series", "discontinuity", "pages"):
-    importlib.import_module(f"regioscope.plans.{_module}")
+from .plans import checks, discontinuity, pages, regional, series, survey  # noqa: F401
+from .registry import ORACLES, QUERIES, query  # noqa: F401

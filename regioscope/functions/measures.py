@@ -28,8 +28,8 @@ def weighted_share(condition: Column, w: Column) -> Column:
 
 
 def publish(x: Column) -> Column:
-    """The publication rule: six decimals, half to even."""
-    return F.bround(x, DECIMALS)
+    """The publication rule: six decimals, half to even; a negative zero is a zero."""
+    return F.bround(x, DECIMALS) + F.lit(0.0)
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, weight: str | None) -> DataFrame:
@@ -121,8 +121,10 @@ def lorenz(df: DataFrame, keys: list[str], value: str, weight: str | None = None
     """Points of the Lorenz curve with the origin: keys, k, population, share."""
     order = Window.partitionBy(*keys).orderBy(value, *([weight] if weight else [])).rowsBetween(Window.unboundedPreceding, 0)
     r = ranked(df, keys, value, weight).withColumn("share", F.try_divide(F.sum(F.col("_w") * F.col("_y")).over(order), F.col("_mu")))
-    points = r.select(*keys, F.col("_k").cast("bigint").alias("k"), publish(F.col("_c")).alias("population"), publish(F.col("share")).alias("share"))
-    return points.unionByName(points.select(*keys, F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("population"), F.lit(0.0).alias("share")).distinct())
+    point = F.struct(F.col("_k").cast("bigint").alias("k"), publish(F.col("_c")).alias("population"), publish(F.col("share")).alias("share"))
+    origin = F.struct(F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("population"), F.lit(0.0).alias("share"))
+    # the first point of a group brings the origin with it
+    return r.select(*keys, F.explode(F.when(F.col("_k") == 1, F.array(origin, point)).otherwise(F.array(point))).alias("p")).select(*keys, "p.*")
 
 
 def least_served(df: DataFrame, keys: list[str], value: str, weight: str | None = None, at: float = 0.5) -> DataFrame:

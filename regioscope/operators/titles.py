@@ -11,7 +11,7 @@ from ..functions import text as T
 SHARED, AGREEMENT, RATIO = 5, 0.95, 1.10
 
 
-def canonical(df: DataFrame, cell: list[str], chapter: str = "chapter", title: str = "title", value: str = "value", rounds: int = 20) -> DataFrame:
+def canonical(df: DataFrame, cell: list[str], chapter: str = "chapter", title: str = "title", value: str = "value") -> DataFrame:
     """chapter, title, canonical: pairs meet only on cells they share, so no pair is made that cannot be confirmed."""
     one = df.groupBy(chapter, title, *cell).agg(F.max(value).alias("v")).withColumn("stem", T.stem(F.col(title)))
     a, b = one.alias("a"), one.alias("b")
@@ -23,11 +23,13 @@ def canonical(df: DataFrame, cell: list[str], chapter: str = "chapter", title: s
     edges = pairs.groupBy(F.col(f"a.{chapter}").alias("c"), F.col(f"a.{title}").alias("s"), F.col(f"b.{title}").alias("t")).agg(F.count("*").alias("n"), F.avg(agrees.cast("double")).alias("ok")).where((F.col("n") >= SHARED) & (F.col("ok") >= AGREEMENT))
     both = edges.select("c", "s", "t").union(edges.select("c", "t", "s"))
     label = one.select(F.col(chapter).alias("c"), F.col(title).alias("s")).distinct().withColumn("root", F.col("s"))
-    # a few hundred titles: least labels spread until nothing changes
-    for _ in range(rounds):
+    # a few hundred titles: least labels spread until nothing changes, however long a chain is
+    both, label = both.cache(), label.cache()
+    while True:
         step = both.join(label.select("c", F.col("s").alias("t"), "root"), ["c", "t"]).groupBy("c", "s").agg(F.min("root").alias("low"))
         new = label.join(step, ["c", "s"], "left").select("c", "s", F.least("root", F.coalesce("low", "root")).alias("root")).cache()
         moved = new.join(label.withColumnRenamed("root", "was"), ["c", "s"]).where("root <> was").limit(1).count()
+        label.unpersist()
         label = new
         if not moved:
             break

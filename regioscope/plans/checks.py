@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalogue import query
+from ..registry import query
 from ..functions import measures as M
 from ..sources.tables import CELLS, regional_cells, table
 
@@ -79,7 +79,7 @@ def printed_regions(cells: DataFrame) -> DataFrame:
 
 
 @query("subtotal_check", f"""WITH {CELLS}, {_PRINTED}, p AS (SELECT segment, year, region, CAST(count(*) AS BIGINT) AS parts, sum(value) AS total, avg(value) AS mean FROM cells GROUP BY ALL)
-SELECT segment, year, region, parts, round_even(total, 2) AS total, round_even(mean, 5) AS mean, round_even(printed, 4) AS printed, round_even(total / printed - 1, 6) AS gap, segment <> 'MACHINERY' AS additive,
+SELECT segment, year, region, parts, round_even(total, 2) AS total, round_even(mean, 5) AS mean, round_even(printed, 4) AS printed, round_even(total / printed - 1, 6) + 0.0 AS gap, segment <> 'MACHINERY' AS additive,
  CASE WHEN segment <> 'MACHINERY' THEN abs(total - printed) <= greatest(abs(printed) * 0.02, 1.0) END AS agrees FROM p JOIN pr USING (segment, year, region)""")
 def subtotal_check(spark, sf_dir) -> DataFrame:
     """Sum and mean of parts against the printed subtotal; whether they agree is null where parts do not add up by nature."""
@@ -197,9 +197,9 @@ def expected_minus_present(spark, sf_dir) -> DataFrame:
 @query("invariants", f"""WITH {CELLS} SELECT 'key is unique' AS "check", count(*) = count(DISTINCT segment || '|' || year || '|' || nation) AS ok FROM cells UNION ALL SELECT 'no negative value', bool_and(value >= 0) FROM cells
 UNION ALL SELECT 'at least 23 units by indicator', min(u) >= 23 FROM (SELECT segment, count(DISTINCT nation) AS u FROM cells GROUP BY ALL)""")
 def invariants(spark, sf_dir) -> DataFrame:
-    """Panel invariants as rows; a sink evaluates them before it writes."""
-    c = regional_cells(spark, sf_dir)
-    dup = c.groupBy("segment", "year", "nation").count().agg((F.max("count") <= 1).alias("ok")).select(F.lit("key is unique").alias("check"), "ok")
-    sign = c.agg((F.min("value") >= 0).alias("ok")).select(F.lit("no negative value").alias("check"), "ok")
-    units = c.groupBy("segment").agg(F.countDistinct("nation").alias("u")).agg((F.min("u") >= 23).alias("ok")).select(F.lit("at least 23 units by indicator").alias("check"), "ok")
-    return dup.unionByName(sign).unionByName(units)
+    """Panel invariants as rows, from one pass over the cells; a sink evaluates them before it writes."""
+    by = regional_cells(spark, sf_dir).groupBy("segment", "nation", "year").agg(F.count("*").alias("n"), F.min("value").alias("low"))
+    by = by.groupBy("segment", "nation").agg(F.max("n").alias("n"), F.min("low").alias("low")).groupBy("segment").agg(F.max("n").alias("n"), F.min("low").alias("low"), F.count("*").alias("units"))
+    ok = {"key is unique": F.max("n") <= 1, "no negative value": F.min("low") >= 0, "at least 23 units by indicator": F.min("units") >= 23}
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), c.alias("ok")) for k, c in ok.items()])
+    return by.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.check", "r.ok")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalogue import query
+from ..registry import query
 from ..functions import measures as M
 from ..operators import rdit
 from ..sources.tables import geography, population, table

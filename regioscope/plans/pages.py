@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalogue import query
+from ..registry import query
 from ..functions import text as T
 from ..operators import pages, titles
 from ..sources import files

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalogue import query
+from ..registry import query
 from ..functions import measures as M
 from ..sources.tables import CELLS, geography, population, regional_cells
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalogue import query
+from ..registry import query
 from ..functions import measures as M
 from ..sources.tables import CELLS, regional_cells, table
 from .checks import _MONTHS, months
@@ -25,7 +25,10 @@ def running(year, month):
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly value by series with the running variable, treatment and log (null where not positive); the unfinished last month is left out."""
-    m = months(spark, sf_dir).where("not (year = 2001 and month >= 11)")
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").alias("last"))
+    unfinished = F.when(F.to_date("last") < F.last_day("last"), F.year("last") * 12 + F.month("last"))
+    end = last.select(F.coalesce(unfinished, F.lit(0)).alias("open_month"))  # one number
+    m = months(spark, sf_dir).crossJoin(F.broadcast(end)).where(F.col("year") * 12 + F.col("month") != F.col("open_month"))
     r = running(F.col("year"), F.col("month"))
     return m.select(
         "series", "year", "month", r.cast("int").alias("running"), M.publish(F.col("year") + (F.col("month") - 1) / F.lit(12.0)).alias("t"),
@@ -34,7 +37,7 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNNING = f"""{_MONTHS}, ms AS (SELECT series, year, month, CAST({_RUN} AS INT) AS running, round_even(year + (month - 1) / 12.0, 6) AS t, {_RUN} >= 0 AS treated, round_even(value, 2) AS value, round_even(CASE WHEN value > 0 THEN ln(value) END, 6) AS log_value
- FROM m WHERE NOT (year = 2001 AND month >= 11))"""
+ FROM m, (SELECT max(CAST(l_shipdate AS DATE)) AS last FROM lineitem) WHERE last = last_day(last) OR year <> year(last) OR month <> month(last))"""
 
 
 @query("monthly_running_series", f"WITH {RUNNING} SELECT *, CAST(count(*) OVER (PARTITION BY series, year) AS BIGINT) AS months_in_year FROM ms")
@@ -102,7 +105,8 @@ def deflate_nominal(spark, sf_dir) -> DataFrame:
     d = t.crossJoin(F.broadcast(base)).select("year", (100 * F.col("p") / F.col("p0")).alias("deflator"))  # one row by year with one number
     nominal = F.col("segment").isin("AUTOMOBILE", "BUILDING")
     c = regional_cells(spark, sf_dir).join(F.broadcast(d), "year", "left")
-    return c.select("segment", "year", "nation", F.bround(F.when(nominal, F.try_divide(F.col("value"), F.col("deflator") / 100)).otherwise(F.col("value")), 2).alias("value"), F.when(nominal, "constant prices").otherwise("as printed").alias("unit"))
+    known = F.coalesce("deflator", F.raise_error(F.concat(F.lit("no deflator for the year "), F.col("year").cast("string"))).cast("double"))
+    return c.select("segment", "year", "nation", F.bround(F.when(nominal, F.try_divide(F.col("value"), known / 100)).otherwise(F.col("value")), 2).alias("value"), F.when(nominal, "constant prices").otherwise("as printed").alias("unit"))
 
 
 def pre_post(df: DataFrame, keys: list[str], value: str, year: str = "year", cutoff: int = CUTOFF, min_pre: int = 3, min_post: int = 3) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql.types import StructType
 
 #: Magic bytes by extension.
 MAGIC = {"pdf": "25504446", "xlsx": "504B0304", "zip": "504B0304", "rar": "52617221", "parquet": "50415231"}
-#: Bidirectional control characters.
-BIDI = "‎‏‪‫‬‭‮"
+#: Bidirectional control characters (marks, embeddings, isolates).
+BIDI = "".join(map(chr, (0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2066, 0x206A))))
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*", whole: int = 256 << 20) -> DataFrame:

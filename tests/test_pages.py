@@ -89,7 +89,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF")
     (tmp_path / "in" / "a.pdf").unlink()
     assert {r.name: r.status for r in files.verify(files.scan(spark, str(tmp_path / "in")), known).collect()} == {"a.pdf": "missing", "b.pdf": "mismatch"}
-    (tmp_path / "t.txt").write_text("one‏\ftwo", encoding="utf-8")
+    (tmp_path / "t.txt").write_text("one\u200f\u2067\ftw\u2069o", encoding="utf-8")
     assert [(r.page, r.text) for r in files.page_texts(spark, str(tmp_path / "t.txt")).orderBy("page").collect()] == [(1, "one"), (2, "two")]
     df = files.described(spark.createDataFrame([(1, "x")], "id int, label string"), {"id": {"unit": "none", "origin": "A1", "description": "key"}})
     files.write_dataset(df, str(tmp_path / "out"), gzip=True)

@@ -19,8 +19,8 @@ ORACLE_SQL = None
 
 
 def _apart(docs: DataFrame) -> DataFrame:
-    """Each row as a struct beside its id and text, so that no column of documents can clash with one of a stage."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
+    """Each row as a struct, so that no column of documents can clash with one of a stage."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     got = resample.resample(docs.select("doc_id", "text"), common.read(spark, sf_dir, "labels"))
     kept = got.where("selected").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct()
-    mark = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    rows = _apart(docs).withColumn("mark", mark)
+    doc_id = F.col("row.doc_id").cast("bigint")
+    rows = _apart(docs).withColumns({"doc_id": doc_id, "mark": F.xxhash64(doc_id, F.coalesce("row.text", F.lit("")))})
     return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi").select("row.*")
 
 
@@ -46,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     table gives none.
     """
     rows = common.cut(_apart(docs).withColumn("at", F.monotonically_increasing_id()))  # written, so places stay
-    got = jaccard.jaccard_classes(rows.select("at", "text"), key="at").select(F.col("doc").alias("at"), "cls")
-    named = rows.select("at", F.coalesce("doc_id", F.lit(jaccard.LEAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    got = jaccard.jaccard_classes(rows.select("at", "row.text"), key="at").select(F.col("doc").alias("at"), "cls")
+    named = rows.select("at", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(jaccard.LEAST)).alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("mark"))
     bare = F.col("cls").isNull()
     classes = got.join(named, "at").groupBy("cls", F.when(bare, F.col("id")).alias("bare_id"), F.when(bare, F.col("mark")).alias("bare_mark"))
     kept = classes.agg(F.min(F.struct("id", "mark", "at")).alias("first")).select(F.col("first.at").alias("at"))

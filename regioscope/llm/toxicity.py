@@ -82,7 +82,7 @@ def frequencies(bins: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return freq
 
 
-def _pairs(bins: list[np.ndarray], often: np.ndarray, most: int = 1 << 21):
+def _pairs(bins: list[np.ndarray], often: np.ndarray, most: int = 1 << 19):
     """Pairs (x < z) of distinct bins that texts hold together, as x * BINS + z, in portions of about ``most``."""
     held, size = [], 0
     for b in bins:
@@ -100,7 +100,7 @@ def _pairs(bins: list[np.ndarray], often: np.ndarray, most: int = 1 << 21):
         yield np.concatenate(held)
 
 
-def paired(bins: list[np.ndarray], y: np.ndarray, least: float = 6.0, least_docs: int = 8, buckets: int = 1 << 22) -> np.ndarray:
+def paired(bins: list[np.ndarray], y: np.ndarray, least: float = 6.0, least_docs: int = 8, buckets: int = 1 << 24) -> np.ndarray:
     """Bins of pairs that toxic texts hold together, where the pair tells more than its terms do.
 
     Pairs of toxic texts are counted by hash bucket, then by name where a bucket holds ``least_docs``, and stay
@@ -112,10 +112,10 @@ def paired(bins: list[np.ndarray], y: np.ndarray, least: float = 6.0, least_docs
     alone = ratio_root(freq[1], freq[0], n1, n0)
     often = (freq.sum(0) >= least_docs) & (freq.sum(0) <= 0.6 * len(bins))
     toxic = [b for b, t in zip(bins, y, strict=True) if t == 1]
-    seen = np.zeros(buckets, np.int32)
+    seen = np.zeros(buckets, np.uint16)
     bucket = lambda pair: (K.mix(pair.astype(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
     for pair in _pairs(toxic, often):
-        seen += np.bincount(bucket(pair), minlength=buckets).astype(np.int32)
+        np.add.at(seen, bucket(pair), 1)
     parts = [np.unique(pair[seen[bucket(pair)] >= least_docs], return_counts=True) for pair in _pairs(toxic, often)]
     pairs, back = np.unique(np.concatenate([np.zeros(0, np.int64), *(p for p, _ in parts)]), return_inverse=True)
     counts = np.bincount(back, np.concatenate([np.zeros(0), *(n for _, n in parts)]), len(pairs)).astype(np.int64)
@@ -140,7 +140,7 @@ def paired(bins: list[np.ndarray], y: np.ndarray, least: float = 6.0, least_docs
     return np.unique(np.concatenate((x[on], z[on])))
 
 
-def fit(bins: list[np.ndarray], y: np.ndarray, *, counts: list[np.ndarray] | None = None, factors: int = 8, least_z: float = 4.0, pair_labels: int = 4000, epochs: int = 40, rate: float = 0.03, l2: float = 1e-4, seed: int = 3) -> Machine:
+def fit(bins: list[np.ndarray], y: np.ndarray, *, counts: list[np.ndarray] | None = None, factors: int = 8, least_z: float = 4.0, pair_labels: int = 2000, epochs: int = 40, rate: float = 0.03, l2: float = 1e-4, seed: int = 3) -> Machine:
     at = np.full(BINS, -1, np.int64)
     share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     flat = Machine(at, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, factors)))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: dict[int, str] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    _written[id(got)] = path
+    weakref.finalize(got, _written.pop, id(got), None)
+    return got
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of cut frames that nothing lazy reads any more: all that was derived from them is written."""
+    for df in frames:
+        if path := _written.get(id(df)):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of two longs up to which a lookup table is broadcast (16 MB); beyond, a merge join that the engine splits on skew.
@@ -65,7 +81,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = cut(large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(files))
         small, low = _with_least(large, rows)  # u's neighbours are all smaller, and so is m
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct().coalesce(files))
+        before, e = e, cut(small.distinct().coalesce(files))
+        release(before, large)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import components, cut
+from .common import components, cut, release
 
 LEAST = -(1 << 63)
 #: A task tells shingles it met so often; the corpus calls so many frequent, and no more than these are kept.
@@ -329,7 +329,9 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     keyed = got.where("kind = 0").select("doc", "th", "n", "node")
     one = F.struct(F.coalesce("doc", F.lit(LEAST)).alias("doc"), "th")
     nodes = keyed.where("n > 0").groupBy("node").agg(F.min("doc").alias("first"), F.min(one).alias("rep"))
-    pairs, star = candidates(cut(met(base.mapInArrow(_postings(order, n, percent), "tok bigint, salt int, node bigint, nm bigint"))), percent)
+    posted = cut(met(base.mapInArrow(_postings(order, n, percent), "tok bigint, salt int, node bigint, nm bigint")))
+    pairs, star = candidates(posted, percent)
+    release(posted)
     coarse = components(pairs.union(star), "node", "least").withColumnRenamed("component", "grp")
     member = cut(coarse.join(nodes.select("node", "rep.*"), "node"))
     sizes = member.groupBy("grp").agg(F.count("*").alias("members"))
@@ -358,6 +360,8 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = components(links_found, "u", "v")
     if hot is not None:
         classes = components(links_found.union(verify(dealt_rest(hot, cut(classes), block))), "u", "v")
+        release(hot)
+    release(texts, pairs)
     named = nodes.select("node", "first").join(classes, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
     named = cut(named)
     least = named.groupBy("cls").agg(F.min("first").alias("component"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut
+from .common import cut, release
 
 LEAST = -(1 << 63)
 #: Bytes of the anchoring k-gram.
@@ -432,7 +432,9 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     contexts = contexts.select("doc", "mark", "text", "packed", "hs", "heavy").mapInArrow(_contexts(length), "h bigint, part bigint, doc bigint, mark bigint, place bigint, ctx binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = contexts.repartition(parts, "h", "part").sortWithinPartitions("h", "part").mapInArrow(_ranges(length), "doc bigint, mark bigint, a bigint, b bigint")
-    ranges = cut(ranges).groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = cut(ranges)
+    release(repeated, heavy)
+    ranges = ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     # only texts that several ids have; a copied text's rows may be many, and the join writes nothing wide
     copied = texts.where("first_doc < last_doc").drop("last_doc")
     later = keyed.join(copied, ["mark", "sha"]).where("first_doc < doc").select("doc", "mark").distinct().withColumn("whole", F.lit(True))

@@ -23,7 +23,7 @@ def test_repeated_row_keeps_the_first_occurrence(spark, monkeypatch):
 
 
 def test_a_context_met_twice_is_not_a_repeat_of_itself():
-    row = {"doc": 1, "mark": 5, "text": FIRST, "packed": [(60 << 14) | (40 << 7) | 30], "hs": [9], "heavy": [False]}
+    row = {"doc": 1, "mark": 5, "text": FIRST, "packed": [(60 << 14) | (40 << 7) | 30], "hs": [9], "heavy": [0]}
     batch = pa.RecordBatch.from_pylist([row, row, row | {"doc": 2}])
     out = pa.Table.from_batches(suffix._contexts(100)([batch])).to_pylist()
     assert [r["doc"] for r in out if r["ctx"] is None] == [2]

@@ -134,7 +134,7 @@ def _digest(n: int):
             r, to = shingles(data, offs, n)
             held.append(r)
             count += len(r)
-            if count > 6 << 20:
+            if count > 2 << 20:
                 yield from often()
                 count = 0
             yield rows(0, more["doc"], more["th"], np.diff(to), _keys(r, to))
@@ -252,7 +252,7 @@ def _verified(shared, n: int, percent: int):
         for batch in source:  # sorted by group, blocks and node
             held.append(batch)
             size += batch.nbytes
-            if size > 8 << 20:
+            if size > 3 << 20:
                 t = pa.Table.from_batches(held)
                 key = np.stack([t.column(c).to_numpy() for c in names])
                 brk = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))

@@ -15,7 +15,7 @@ import xxhash
 BASE = 0x9E3779B97F4A7C1B
 CHUNK = 1 << 20
 #: Bytes of text that a kernel call handles at once; working arrays are about 40 times that.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)

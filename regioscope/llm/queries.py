@@ -16,6 +16,8 @@ def vocabulary() -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; they cross to Python in Arrow batches of at most 2,000 rows, and of the session's bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return common.read(spark, sf_dir, "documents")
 
 

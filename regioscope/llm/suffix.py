@@ -314,7 +314,7 @@ def _contexts(length: int):
                 held += int(n.sum())
                 for c, v in zip(cols, (h, part, np.full(len(h), doc[d]), np.full(len(h), mark[d]), s << 7 | hi), strict=True):
                     c.append(v)
-                if held > 4 << 20:
+                if held > 2 << 20:
                     yield packed_rows(cols, texts, sizes)
                     cols, texts, sizes, held = [[], [], [], [], []], [], [], 0
             if texts:

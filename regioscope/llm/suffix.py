@@ -40,7 +40,7 @@ LEAST = -(1 << 63)
 #: Bytes of the anchoring k-gram.
 GRAM = 24
 #: An anchor hash with more contexts than the first is dealt out by common bytes too, with more than the second by whole windows.
-HEAVY, VERY_HEAVY = 1024, 65_536
+HEAVY, VERY_HEAVY = 4096, 65_536
 BLOCK = 8
 
 

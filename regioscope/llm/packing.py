@@ -75,9 +75,12 @@ def readable(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Encoder:
-    """Ids by unit hash, kept over a task; the vocabulary is read from a byte-level BPE json."""
+    """Ids by unit hash, kept over a task; the vocabulary is read from a byte-level BPE json.
 
-    MOST = 3_000_000
+    Beyond ``MOST`` units the table starts anew, so a worker's memory does not grow with its texts.
+    """
+
+    MOST = 400_000
 
     def __init__(self, path: str, added: bool = False):
         import tiktoken
@@ -239,7 +242,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, key: str, text: str, window: int
 
     def emit(source):
         enc = encoder(vocabulary, added)
-        for data, offs, more in K.batches(source, "text", "doc_id", most=8 << 20):
+        enc.clear()  # a worker serves many tasks; what the last one held goes
+        for data, offs, more in K.batches(source, "text", "doc_id"):
             data, offs = readable(data, offs)
             ids, at = enc.encode(data, offs)
             ids = np.insert(ids, at[1:], END_ID).astype("<u4")
@@ -256,6 +260,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, key: str, text: str, window: int
             if with_ids:
                 cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(lo, len(ids)), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+        enc.clear()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(emit, schema)

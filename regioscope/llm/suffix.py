@@ -356,7 +356,7 @@ def _ranges(length: int):
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size > 2 << 20:
+            if size > 1 << 20:
                 t = pa.Table.from_batches(held).combine_chunks()
                 h, part = t.column("h").to_numpy(), t.column("part").to_numpy()
                 brk = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import checks, discontinuity, pages, regional, series, survey  # noqa: F401
+from .plans import checks, discontinuity, pages, regional, series, survey, views  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401

@@ -12,6 +12,7 @@ from ..registry import query
 from ..functions import measures as M
 from ..sources.tables import CELLS, geography, population, regional_cells
 from .regional import CUTOFF, region_inequality_decomposition, _PAIRS
+from .series import BASES, _BASED, _UNIT, based, unit_prices
 
 #: The pair of indicators that is compared, the years of a shift, the regions of the first group.
 PAIR = ("BUILDING", "HOUSEHOLD")
@@ -89,3 +90,28 @@ def median_gini(spark, sf_dir) -> DataFrame:
     change = F.col("gini") - F.lag("gini").over(Window.partitionBy("segment").orderBy("year"))
     fell = F.when(F.col("change") < 0, 1.0).when(F.col("change").isNotNull(), 0.0)
     return g.withColumn("change", change).groupBy("year").agg(M.publish(F.median("gini")).alias("median_gini"), M.publish(F.median("change")).alias("median_change"), M.publish(F.avg(fell)).alias("fell"))
+
+
+@query("year_pivot", f"""WITH {CELLS} SELECT year, {', '.join(f"round_even(sum(value) FILTER (region = '{r}'), 2) AS {r.lower().replace(' ', '_')}" for r in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'))} FROM cells GROUP BY year""")
+def year_pivot(spark, sf_dir) -> DataFrame:
+    """A year by row and a region by column."""
+    regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    wide = regional_cells(spark, sf_dir).groupBy("year").pivot("region", regions).agg(F.sum("value"))
+    return wide.select("year", *[F.bround(F.col(f"`{r}`"), 2).alias(r.lower().replace(" ", "_")) for r in regions])
+
+
+@query("index_of_one_base", f"""WITH {_BASED} SELECT function_code, year, round_even(i, 6) AS "index" FROM ib WHERE i IS NOT NULL""")
+def index_of_one_base(spark, sf_dir) -> DataFrame:
+    """The price index on its newest base alone."""
+    return based(unit_prices(spark, sf_dir), BASES[1], 2001).dropna(subset=["index"]).select("function_code", "year", M.publish(F.col("index")).alias("index"))
+
+
+@query("price_against_budget", f"""WITH {_UNIT}, s AS (SELECT *, 100 * spent / sum(spent) OVER (PARTITION BY year) AS share FROM u),
+p AS (SELECT function_code, max(price) FILTER (year = {SHIFT[0]}) AS p0, max(price) FILTER (year = {SHIFT[1]}) AS p1, max(share) FILTER (year = {SHIFT[0]}) AS s0, max(share) FILTER (year = {SHIFT[1]}) AS s1 FROM s GROUP BY ALL)
+SELECT function_code, {_zero('100 * (p1 / p0 - 1)')} AS price_change, {_zero('s1 - s0')} AS share_change FROM p WHERE p0 IS NOT NULL AND p1 IS NOT NULL""")
+def price_against_budget(spark, sf_dir) -> DataFrame:
+    """Change of a function's price against the change of its share of spending, where both years are known."""
+    share = 100 * F.try_divide("spent", F.sum("spent").over(Window.partitionBy("year")))  # a row by function in each year
+    at = lambda c, y: F.max(F.when(F.col("year") == y, F.col(c)))
+    s = unit_prices(spark, sf_dir).withColumn("share", share).groupBy("function_code").agg(*[at(c, y).alias(f"{c}{i}") for c in ("price", "share") for i, y in enumerate(SHIFT)])
+    return s.dropna(subset=["price0", "price1"]).select("function_code", M.publish(100 * (F.try_divide("price1", "price0") - 1)).alias("price_change"), M.publish(F.col("share1") - F.col("share0")).alias("share_change"))

@@ -42,6 +42,8 @@ GRAM = 24
 #: An anchor hash with more contexts than the first is dealt out by common bytes too, with more than the second by whole windows.
 HEAVY, VERY_HEAVY = 4096, 65_536
 BLOCK = 8
+#: Bytes of contexts that a task settles at once.
+PORTION = 1 << 20
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -240,7 +242,7 @@ def _anchor_rows(length: int):
                 h, p, a, b = anchors(data[offs[d] : offs[d + 1]], length)
                 held.append((h, np.full(len(h), marks[d]), p << 14 | (p - a) << 7 | (b - a)))
                 count += len(h)
-            if count > 1 << 20:
+            if count > 1 << 18:
                 yield from flush()
                 count = 0
         if held:
@@ -249,15 +251,9 @@ def _anchor_rows(length: int):
     return emit
 
 
-def packed_rows(cols: list[list[np.ndarray]], texts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-    """Context rows, aggregated first: of equal contexts the earliest keeps its bytes.
-
-    The others repeat it from end to end. They have no bytes any more, their length stands in ``part``,
-    and they are dealt out by their place.
-    """
-    h, part, doc, mark, place = (np.concatenate(c) for c in cols)
-    data, n = np.concatenate(texts), np.concatenate(sizes)
-    off = np.concatenate(([0], np.cumsum(n)))
+def repeated_contexts(h, part, doc, mark, place, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which contexts equal one that starts earlier in the batch, so repeat it from end to end."""
+    n = np.diff(off)
     c = K.prefix_hash(data)
     whole = K.mix((c[off[1:]] - c[off[:-1]]) * K.powers(len(c))[1][off[:-1]] + n.astype(np.uint64))
     same_kind = K.mix(h.view(np.uint64) + K.mix(part.view(np.uint64) + (place & 127).astype(np.uint64)))
@@ -269,56 +265,110 @@ def packed_rows(cols: list[list[np.ndarray]], texts: list[np.ndarray], sizes: li
     elsewhere = (doc[x] != doc[y]) | (mark[x] != mark[y]) | (place[x] != place[y])  # a row met twice repeats nothing
     gone = np.zeros(len(h), bool)
     gone[x[same & elsewhere]] = True
-    h = np.where(gone, K.i64(K.mix((doc ^ (place << 20)).view(np.uint64))), h)
-    part = np.where(gone, n, part)
-    kept = np.repeat(~gone, n)
-    to = np.concatenate(([0], np.cumsum(np.where(gone, 0, n)))).astype(np.int32)
-    valid = np.packbits(~gone, bitorder="little")
-    ctx = pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(valid), pa.py_buffer(to), pa.py_buffer(data[kept])])
-    return pa.RecordBatch.from_arrays([*(pa.array(v) for v in (h, part, doc, mark, place)), ctx], ["h", "part", "doc", "mark", "place", "ctx"])
+    return gone
+
+
+def pieces(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the bytes of n-byte pieces, and the offsets of the pieces once gathered."""
+    off = np.concatenate(([0], np.cumsum(n)))
+    return np.repeat(begin - off[:-1], n) + np.arange(off[-1]), off
+
+
+def dealt_out(h, doc, mark, place, step, begin, n, data: np.ndarray, c: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Contexts split by blocks of ``step`` offsets: h, part (hash of the bytes all windows of the block share), doc, mark, place, begin, n."""
+    hi, more = place & 127, n - length
+    low = (hi - more) // step
+    m = hi // step - low + 1
+    r = np.repeat(np.arange(len(h)), m)
+    block = (low[r] + np.arange(len(r)) - np.repeat(np.cumsum(m) - m, m)) * step[r]
+    last = block + step[r] - 1
+    o_hi, o_lo = np.minimum(hi[r], last), np.maximum(hi[r] - more[r], block)
+    pos = begin[r] + hi[r]
+    a, b = pos - block, pos - last + length
+    core = K.mix((c[b] - c[a]) * K.powers(len(c))[1][a] + block.astype(np.uint64))
+    return h[r], K.i64(core), doc[r], mark[r], (place[r] >> 7) + hi[r] - o_hi << 7 | o_hi, pos - o_hi, o_hi - o_lo + length
+
+
+def merged(doc, mark, a, b) -> tuple[np.ndarray, ...]:
+    """Ranges by document, overlapping and touching ones as one."""
+    order = np.lexsort((a, mark, doc))
+    doc, mark, a, b = doc[order], mark[order], a[order], b[order]
+    other = np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))[: len(a)]
+    shift = np.cumsum(other) * (int(b.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(b + shift) - shift
+    new = other.copy()
+    new[1:] |= a[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return doc[first], mark[first], a[first], reach[np.append(first[1:], len(a))[: len(first)] - 1]
+
+
+def settled(h, doc, mark, place, step, data: np.ndarray, off: np.ndarray, length: int):
+    """Context rows of a batch, aggregated first: of equal contexts the earliest keeps its bytes.
+
+    What is left of frequent anchors is dealt out, and equal pieces are settled again, in portions of
+    PORTION bytes. The others repeat an earlier one from end to end: a document's ranges of that kind
+    are merged, have no bytes any more, their length stands in ``part``, and they are dealt out by place.
+    """
+    columns = ["h", "part", "doc", "mark", "place", "ctx"]
+    n = np.diff(off)
+    nothing = np.zeros(len(h), np.int64)
+    gone = repeated_contexts(h, nothing, doc, mark, place, data, off)
+    over = [(doc[gone], mark[gone], place[gone] >> 7, (place[gone] >> 7) + n[gone])]
+
+    def rows(keep, h, part, doc, mark, place, begin, n):
+        at, to = pieces(begin[keep], n[keep])
+        ctx = pa.Array.from_buffers(pa.binary(), len(to) - 1, [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[at])])
+        return pa.RecordBatch.from_arrays([*(pa.array(v[keep]) for v in (h, part, doc, mark, place)), ctx], columns)
+
+    yield rows(~gone & (step == 0), h, nothing, doc, mark, place, off[:-1], n)
+    hot = np.flatnonzero(~gone & (step > 0))
+    if len(hot):
+        hot = hot[np.argsort(h[hot], kind="stable")]
+        c = K.prefix_hash(data)
+        size = np.cumsum((n[hot] - length) // step[hot] * length + 2 * n[hot])
+        for k in np.split(hot, np.flatnonzero(np.diff(size // PORTION)) + 1):
+            got = dealt_out(h[k], doc[k], mark[k], place[k], step[k], off[:-1][k], n[k], data, c, length)
+            at, to = pieces(*got[5:])
+            gone = repeated_contexts(*got[:5], data[at], to)
+            yield rows(~gone, *got)
+            start = got[4][gone] >> 7
+            over.append((got[2][gone], got[3][gone], start, start + got[6][gone]))
+    doc, mark, a, b = merged(*(np.concatenate(x) for x in zip(*over, strict=True)))
+    apart = K.i64(K.mix((doc ^ (a << 27)).view(np.uint64)))
+    yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (apart, b - a, doc, mark, a << 7)), pa.nulls(len(a), pa.binary())], columns)
 
 
 def _contexts(length: int):
     def emit(source):
+        cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+        held = 0
+
+        def flush():
+            *keys, texts, sizes = (np.concatenate(c) for c in cols)
+            for c in cols:
+                c.clear()
+            yield from settled(*keys, texts, np.concatenate(([0], np.cumsum(sizes))), length)
+
         for batch in source:
             raw, offs = K.text_arrays(batch.column("text"))
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            texts, sizes, held = [], [], 0
             doc, mark = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
-            heavy = batch.column("heavy")
-            for d, (packed, hs) in enumerate(zip(batch.column("packed"), batch.column("hs"), strict=True)):
-                p, h = packed.values.to_numpy(), hs.values.to_numpy()
-                step = heavy[d].values.to_numpy()  # offsets in a block, or 0: not dealt out
-                hot = step > 0
+            lists = (batch.column(c) for c in ("packed", "hs", "heavy"))
+            for d, lists_of in enumerate(zip(*lists, strict=True)):
+                packed, hs, heavy = (x.values.to_numpy() for x in lists_of)
                 t = raw[offs[d] : offs[d + 1]]
-                pos, hi, more = p >> 14, p >> 7 & 127, p & 127
-                s, n = pos - hi, more + length
-                part = np.zeros(len(h), np.int64)
-                if hot.any():
-                    # split by block of offsets, then by the bytes its windows share
-                    s2, n2, hi2, h2, part2 = [s[~hot]], [n[~hot]], [hi[~hot]], [h[~hot]], [part[~hot]]
-                    for i in np.flatnonzero(hot).tolist():
-                        w = int(step[i])
-                        for blk in range(int(hi[i] - more[i]) // w, int(hi[i]) // w + 1):
-                            o_hi, o_lo = min(int(hi[i]), blk * w + w - 1), max(int(hi[i] - more[i]), blk * w)
-                            core = t[pos[i] - blk * w : pos[i] + length - (blk * w + w - 1)].tobytes()
-                            s2.append([pos[i] - o_hi])
-                            n2.append([o_hi - o_lo + length])
-                            hi2.append([o_hi])
-                            h2.append([h[i]])
-                            part2.append([int.from_bytes(hashlib.blake2b(core, digest_size=7, salt=bytes([blk])).digest(), "little")])
-                    s, n, hi, h, part = (np.concatenate(x).astype(np.int64) for x in (s2, n2, hi2, h2, part2))
-                at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                texts.append(t[at])
-                sizes.append(n)
-                held += int(n.sum())
-                for c, v in zip(cols, (h, part, np.full(len(h), doc[d]), np.full(len(h), mark[d]), s << 7 | hi), strict=True):
-                    c.append(v)
-                if held > 2 << 20:
-                    yield packed_rows(cols, texts, sizes)
-                    cols, texts, sizes, held = [[], [], [], [], []], [], [], 0
-            if texts:
-                yield packed_rows(cols, texts, sizes)
+                for i in range(0, len(packed), 1 << 12):  # a long text's anchors, a portion at a time
+                    p, h, step = (x[i : i + (1 << 12)].astype(np.int64) for x in (packed, hs, heavy))
+                    hi, n = p >> 7 & 127, (p & 127) + length
+                    s = (p >> 14) - hi
+                    at, _ = pieces(s, n)
+                    for c, v in zip(cols, (h, np.full(len(h), doc[d]), np.full(len(h), mark[d]), s << 7 | hi, step, t[at], n), strict=True):
+                        c.append(v)
+                    held += len(at)
+                    if held > PORTION:
+                        yield from flush()
+                        held = 0
+        if held:
+            yield from flush()
 
     return emit
 
@@ -356,7 +406,7 @@ def _ranges(length: int):
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size > 1 << 20:
+            if size > 1 << 19:
                 t = pa.Table.from_batches(held).combine_chunks()
                 h, part = t.column("h").to_numpy(), t.column("part").to_numpy()
                 brk = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]))

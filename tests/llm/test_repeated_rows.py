@@ -37,3 +37,14 @@ def test_substrings_window_by_window(spark, monkeypatch, very):
     monkeypatch.setattr(suffix, "VERY_HEAVY", very)
     got = suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), keep=["doc_id"]).collect()
     assert {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.substrings(rows)
+
+
+@pytest.mark.parametrize("step", [0, 1, 8])
+def test_settled_contexts_are_one_range_a_document(step):
+    passage = "".join(chr(97 + i * i % 23) for i in range(400))
+    packed = [(at << 14) | (40 << 7) | 30 for at in range(60, 290, 31)]  # windows that follow each other without a gap
+    rows = [{"doc": i, "mark": i, "text": passage, "packed": packed, "hs": list(range(len(packed))), "heavy": [step] * len(packed)} for i in range(200)]
+    out = pa.Table.from_batches(suffix._contexts(100)([pa.RecordBatch.from_pylist(rows)])).to_pylist()
+    bare = [r for r in out if r["ctx"] is None]
+    assert len({r["doc"] for r in bare}) == 199 and 0 not in {r["doc"] for r in bare}
+    assert len(bare) <= 200 and max(r["part"] for r in bare) == 7 * 31 + 130

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard, langid, packing, resample, sentences, shards, suffix, toxicity, winnow
+from . import bpe, common, decontaminate, jaccard, langid, packing, resample, sentences, shards, suffix, toxicity, winnow
 
 
-def vocabulary() -> str:
-    """Where the public byte-level vocabulary lies on this machine."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary lies on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +70,20 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    got = bpe.decode(bpe.encode(documents(spark, sf_dir), path, keep=["doc_id"]), path)
+    digits = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return got.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_ngram_jaccard_join, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_hypergeometric_shuffle, op6_suffix_dedup, op7_toxicity_machine, op8_minimum_slack_packing, op9_kneser_ney_language, op10_winnowing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_ngram_jaccard_join, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_hypergeometric_shuffle, op6_suffix_dedup, op7_toxicity_machine, op8_minimum_slack_packing, op9_kneser_ney_language, op10_winnowing, op11_pair_index_bpe, pipeline)}
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK_WORDS = f"regexp_extract_all({_LOWER.format(x='text')}, '[^\\x20\\x09-\\x0D]+')"

@@ -194,7 +194,7 @@ class Vocabulary:
 class Units:
     """Ids by unit, kept by a worker. Beyond ``MOST`` units the table starts anew, so its memory does not grow with the texts."""
 
-    MOST = 1_000_000
+    MOST = 400_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.of = vocabulary
@@ -271,7 +271,7 @@ def _lists(flat: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, piece: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, piece: int = 1 << 20) -> DataFrame:
     """row (the kept columns; all without ``keep``) and ids for every row of docs."""
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row")
     df = docs.select(row, F.col(f"`{text}`").alias("text"))
@@ -296,7 +296,7 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
             n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             at = np.concatenate(([0], np.cumsum(n)))
             flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            for a, b in K.pieces(at, 1 << 20):
+            for a, b in K.pieces(at, 1 << 17):
                 data, offs = of.decode(flat[at[a] : at[b]], at[a : b + 1] - at[a])
                 text = pa.Array.from_buffers(pa.large_string(), b - a, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns), text.cast(pa.string())], [*batch.schema.names, "decoded"])

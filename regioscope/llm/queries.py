@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard, langid, packing, resample, sentences, shards, suffix, toxicity, winnow
+from . import bpe, collocations, common, decontaminate, jaccard, langid, merkle, packing, resample, sentences, shards, suffix, toxicity, winnow
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -77,13 +77,24 @@ def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_fractal_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lower).otherwise(F.col("text"))
+    return merkle.manifest(documents(spark, sf_dir), altered={"text": tampered})
+
+
+def op13_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = collocations.best(collocations.collocations(documents(spark, sf_dir)), 2000)
+    return got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_ngram_jaccard_join, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_hypergeometric_shuffle, op6_suffix_dedup, op7_toxicity_machine, op8_minimum_slack_packing, op9_kneser_ney_language, op10_winnowing, op11_pair_index_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_ngram_jaccard_join, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_hypergeometric_shuffle, op6_suffix_dedup, op7_toxicity_machine, op8_minimum_slack_packing, op9_kneser_ney_language, op10_winnowing, op11_pair_index_bpe, op12_fractal_manifest, op13_trie_collocations, pipeline)}
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK_WORDS = f"regexp_extract_all({_LOWER.format(x='text')}, '[^\\x20\\x09-\\x0D]+')"

@@ -36,8 +36,8 @@ BREAK = K.table(b".,;:!?\n\v\f\r")
 GAP = BREAK | K.table(b" \t")
 BITS = 21
 _LOW = (1 << BITS) - 1
-#: Nodes of a task's tries in memory (16 bytes each, and as much again in passing) and of a chunk of a written trie.
-NODES, CHUNK = 4_000_000, 32_768
+#: Nodes (16 bytes each, and three times as much in passing) and words of a task's tries in memory, and nodes of a chunk of a written trie.
+NODES, HELD, CHUNK = 2_000_000, 400_000, 32_768
 #: Paths that reach the driver at most, of which the bounds of ranges are taken; they balance tasks and change no result.
 SAMPLE = 1_000_000
 #: Rows up to which a table of words and counts is broadcast; beyond, a merge join that the engine splits on skew.
@@ -128,14 +128,14 @@ class Tries:
 
     def full(self) -> bool:
         """Whether to write out before more is counted. Equal nodes are joined first."""
-        if self.size <= NODES and len(self.word) <= _LOW // 2:
+        if self.size <= NODES and len(self.word) <= HELD:
             return False
         for lang, parts in self.held.items():
             self.held[lang] = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
         self.size = sum(len(parts[0][0]) for parts in self.held.values())
-        return self.size > NODES // 2 or len(self.word) > _LOW // 2
+        return self.size > NODES // 2 or len(self.word) > HELD
 
-    def add(self, data: np.ndarray, offs: np.ndarray, langs: list[str], most: int = 400_000):
+    def add(self, data: np.ndarray, offs: np.ndarray, langs: list[str], most: int = 200_000):
         """Counts the phrases of texts, those that begin at ``most`` words at once; yields after each such part."""
         lower = K.LOWER[data]
         s, e, at = K.words(lower, offs, GAP)
@@ -202,7 +202,7 @@ def tries(docs: DataFrame, text: str, lang: str, depth: int) -> DataFrame:
 
     def run(source):
         held = Tries(depth)
-        for data, offs, more in K.batches(source, "text", "lang", most=2 << 20):
+        for data, offs, more in K.batches(source, "text", "lang", most=1 << 20):
             for _ in held.add(data, offs, more["lang"].to_pylist()):
                 if held.full():
                     yield from (batch([row]) for row in held.chunks())
@@ -287,7 +287,7 @@ def walk(a: np.ndarray, b: np.ndarray, c: np.ndarray, counts: np.ndarray, least:
     return often, l1[often], l2[often]
 
 
-def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", depth: int = 3, least: int = 10, a_range: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", depth: int = 3, least: int = 10, a_range: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(lang, w1, w2, w3, f, l1, l2 for every phrase met ``least`` times; lang, n).
 
     w2 and w3 are null in shorter phrases; l1 and l2 are the counts of the first word and the first two where the phrase is longer.
@@ -340,7 +340,7 @@ def _score(a: Column, left: Column, right: Column, scale: int) -> Column:
     return F.call_function("div", both, wide(left) * wide(right))
 
 
-def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 10, scale: int = 1_000_000, share: int = 50, a_range: int = 1_000_000) -> DataFrame:
+def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 10, scale: int = 1_000_000, share: int = 50, a_range: int = 500_000) -> DataFrame:
     """lang, phrase, a, l, r, n, score of every phrase of two or three words met ``least`` times that no longer one explains.
 
     A phrase is cut where it scores lowest. One that stands in a longer candidate in ``share`` per cent of its occurrences or more is dropped.

@@ -1,21 +1,26 @@
-"""Fixed-layout text pages to cells: a strict reader that refuses what it cannot place.
+"""Fixed-layout text pages to cells: a strict line scan in DataFrame functions.
 
-Lines become typed tokens with their columns (number, nil, year, span, word). What a line is, is decided
-on the types: a header is a run of years, spans or codes; a row is words with numbers after them. Words
-that mean something in one series of books (aggregates, furniture, captions) are data, see ``Layout``.
-Refused rows leave with a reason, beside the kept ones.
+A page is exploded to lines and a line to tokens; every token has a type, one letter, and a line's types in a
+row are a string. What a line is, is a pattern on that string: a header is a run of years (Y), spans (S) or codes;
+a row is a run of values (N, Y, Z) with nothing but words behind it. Where tables begin and end, is a matter of islands: a
+heading closes what is open, a header opens a section, running counts number both. Headings, captions and panels are
+carried to the lines below them by the last known value, repeated labels are counted in their section. All windows lie on
+the page, so lines are shuffled once and never leave their page's partition.
+
+Words that mean something in one series of books are data, see ``Layout``. Refused rows leave with a reason, beside the kept ones.
+
+Edge cases: a null or empty text has no lines; pages of equal number are pages of their own; a page of any length is scanned whole; lines without
+a type of their own are skipped; an empty table gives none.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
-from itertools import takewhile
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
 
 
 @dataclass(frozen=True)
@@ -35,391 +40,274 @@ class Layout:
     least_title: int = 9
     least_years: int = 2
     least_label: int = 3
+    century: int = 50  # two-digit years up to here are of this century
+    codes: tuple[int, int, int] = (3, 20, 9)  # least and most tokens of a header of codes, and a token's most characters
 
 
 YEARBOOK = Layout()
 
+#: Stands for the blank inside a number, so that the number is one token.
+JOINT = "\ue000"
+_DECIMAL = r"(?<=\d) {1,2}(?=\.\d)"
+_THOUSANDS = r"(?<=(?<!\S)-?\d{1,3}(?: \d{3}){0,5}) (?=\d{3}(?![\d-]))"
+#: Types of tokens: year, number, nil, mark of a provisional value, span of years; anything else is a word.
+TYPES = {"Y": r"^(19|20)\d\d\**$", "N": rf"^-?\d+({JOINT}\d+)*(\.\d+)?\**$", "Z": r"^-\**$", "M": r"^\*+$", "S": r"^(\d{2}|\d{4})-\d{2}\**$"}
+_VALUES = r"^(.*?)([NYZ][NYZM]*)[WS]*$"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_OTHER_SCRIPT = "[؀-ۿﭐ-ﻼ]"
+_ENUMERATED = r"^\s*(?:[IVX]{1,4}|[A-Z]|\d{1,2})\s*[–—.)-]\s*(\S.*?)\s*$"
 
-@dataclass(frozen=True)
-class Token:
-    kind: str  # number, nil, year, span, mark, word
-    text: str
-    start: int
-    end: int
-    value: float | None = None
-    provisional: bool = False
-
-
-@dataclass(frozen=True)
-class Row:
-    label: str
-    values: tuple[float, ...] | None  # none: the line opens a panel
-    provisional: bool = False
-    inferred: bool = False
-    panel: str | None = None
-
-
-@dataclass(frozen=True)
-class Header:
-    labels: tuple[str, ...]
-    years: tuple[int | None, ...]
-    strict: bool = True  # a header of codes has to be confirmed by its rows
-    extra: int = 0  # an undated column to the right, which rows may fill
-
-
-@dataclass
-class Section:
-    header: Header
-    head: tuple[str, str] | None
-    caption: str | None
-    rows: list[Row] = field(default_factory=list)
-    refused: list[tuple[str, str]] = field(default_factory=list)
-
-
-def is_latin(c: str) -> bool:
-    return c.isalpha() and ("a" <= c.lower() <= "z" or "À" <= c <= "ÿ")
-
-
-def is_arabic(c: str) -> bool:
-    return "؀" <= c <= "ۿ" or "ﭐ" <= c <= "ﻼ"
-
-
-def folded(text: str) -> str:
-    """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-
-
-def has_word(text: str, least: int = 3) -> bool:
-    """Whether so many Latin letters stand in a row."""
-    run = 0
-    for c in text:
-        run = run + 1 if is_latin(c) else 0
-        if run >= least:
-            return True
-    return False
-
-
-def latin(text: str) -> str:
-    """Without the Arabic rendering beside it."""
-    kept = "".join(" " if is_arabic(c) else c for c in text)
-    return " ".join(t for t in kept.split() if any(is_latin(c) or c.isdigit() for c in t))
-
-
-def _typed(raw: str, start: int) -> Token:
-    body, end = raw.rstrip("*"), start + len(raw)
-    mark = len(body) < len(raw)
-    if not body:
-        return Token("mark", raw, start, end, provisional=True)
-    if body == "-":
-        return Token("nil", raw, start, end, 0.0, mark)
-    if body.isdecimal() and len(body) == 4 and body[:2] in ("19", "20"):
-        return Token("year", raw, start, end, float(body), mark)
-    whole, point, part = body.removeprefix("-").partition(".")
-    if whole.isdecimal() and (part.isdecimal() if point else True):
-        return Token("number", raw, start, end, float(body), mark)
-    if point and not whole and part.isdecimal():
-        return Token("fraction", raw, start, end, None, mark)
-    left, dash, right = body.partition("-")
-    if dash and left.isdecimal() and right.isdecimal() and len(left) in (2, 4) and len(right) == 2:
-        return Token("span", raw, start, end, None, mark)
-    return Token("word", raw, start, end)
-
-
-def _joins(a: Token, b: Token) -> str | None:
-    """The printed number that two neighbouring tokens are: thousands set off by a blank, or a decimal part that slipped away."""
-    gap = b.start - a.end
-    if a.kind not in ("number", "year") or a.provisional:
-        return None
-    if b.kind == "fraction" and gap <= 2 and "." not in a.text:
-        return a.text + b.text
-    whole = b.text.rstrip("*").partition(".")[0]
-    lead = a.text.removeprefix("-")
-    grouped = len(lead) <= 3 or len(lead) % 4 == 3 and " " in lead
-    if b.kind == "number" and gap == 1 and len(whole) == 3 and whole.isdecimal() and "." not in lead and (grouped or " " in lead):
-        return f"{a.text} {b.text}"
-    return None
-
-
-def tokens(line: str) -> list[Token]:
-    """Typed tokens of a line; groups of thousands and split decimals are one number."""
-    out: list[Token] = []
-    at = 0
-    for raw in line.split():
-        start = line.index(raw, at)
-        at = start + len(raw)
-        now = _typed(raw, start)
-        text = _joins(out[-1], now) if out else None
-        if text is not None:
-            body = text.rstrip("*")
-            now = Token("number", text, out.pop().start, at, float(body.replace(" ", "")), len(body) < len(text))
-        out.append(now)
-    return out
-
-
-_VALUES = ("number", "nil", "year")
 
+def _none(x: Column) -> Column:
+    """An empty text as null."""
+    return F.when(x != "", x)
 
-def split_row(line: str) -> Row | None:
-    """Label, values and provisional mark: the last run of values, whatever words stand behind it."""
-    found = tokens(line)
-    while found and found[-1].kind not in (*_VALUES, "mark"):
-        found.pop()
-    cells = list(takewhile(lambda t: t.kind in (*_VALUES, "mark"), reversed(found)))[::-1]
-    while cells and cells[0].kind == "mark":
-        cells.pop(0)
-    values = tuple(t.value for t in cells if t.kind != "mark")
-    if not values:
-        return None
-    return Row(line[: cells[0].start].strip(" .:-\t"), values, any(t.provisional for t in cells))
 
+def clean(x: Column) -> Column:
+    return F.trim(x, F.lit(" .:-\t"))
 
-def _core(found: list[Token], kind: str) -> list[Token]:
-    """The tokens without one caption word at either end, if all of them are of a kind."""
-    lo = 1 if found and found[0].kind != kind else 0
-    hi = len(found) - (1 if len(found) > lo and found[-1].kind != kind else 0)
-    core = found[lo:hi]
-    return core if all(t.kind == kind for t in core) else []
 
+def has_word(x: Column, least: int = 3) -> Column:
+    return x.rlike(f"[{_LETTERS}]{{{least}}}")
 
-def year_header(line: str, layout: Layout = YEARBOOK) -> Header | None:
-    core = _core(tokens(line), "year")
-    years = tuple(int(t.value) for t in core)
-    return Header(tuple(map(str, years)), years) if len(years) >= layout.least_years else None
 
+def latin(x: Column) -> Column:
+    """Without the rendering in another script beside it: tokens that keep a letter or a digit."""
+    kept = F.filter(F.split(F.trim(F.regexp_replace(x, _OTHER_SCRIPT, " ")), r"\s+"), lambda t: t.rlike(f"[{_LETTERS}0-9]"))
+    return F.array_join(kept, " ")
 
-def school_year(text: str) -> int | None:
-    """First year of a school year printed end first ("24-23", "2000-99"); any other span (such as ages) is none."""
-    end, start = text.rstrip("*").split("-")
-    year = int(end) if len(end) == 4 else int(end) + (2000 if int(end) <= 50 else 1900)
-    return year - 1 if (year - 1) % 100 == int(start) else None
 
+def folded(x: Column) -> Column:
+    return F.regexp_replace(F.trim(F.lower(T.unaccent(x))), r"\s+", " ")
 
-def school_header(line: str, layout: Layout = YEARBOOK) -> Header | None:
-    starts = [school_year(t.text) for t in _core(tokens(line), "span")]
-    if len(starts) < layout.least_years or None in starts:
-        return None
-    return Header(tuple(f"{s}/{(s + 1) % 100:02d}" for s in starts), tuple(starts))
 
+def words(line: Column) -> Column:
+    """Tokens of a line; groups of thousands and split decimals are one number."""
+    one = F.regexp_replace(F.regexp_replace(line, _DECIMAL, ""), _THOUSANDS, JOINT)
+    return F.filter(F.split(one, r"\s+"), lambda t: t != "")
 
-def category_header(line: str) -> Header | None:
-    """Three to twenty short tokens, half of them codes (capitals, digits, points, dashes)."""
-    texts = line.split()
-    codes = [t for t in texts if t == t.upper() != t.lower() or any(not c.isalpha() and (c.isdigit() or c in ".-/") for c in t)]
-    if 3 <= len(texts) <= 20 and all(len(t) <= 9 for t in texts) and 2 * len(codes) >= len(texts):
-        return Header(tuple(texts), (None,) * len(texts), strict=False)
-    return None
-
-
-def _dotted(text: str, sizes: tuple[int, ...]) -> int:
-    """How many parts of digits stand between points, the first of at most sizes[0] digits, the others of sizes[1]; 0 if it is anything else."""
-    parts = text.split(".")
-    ok = all(p.isdecimal() and len(p) <= sizes[min(i, 1)] for i, p in enumerate(parts))
-    return len(parts) if ok else 0
-
-
-def heading(line: str, layout: Layout = YEARBOOK) -> tuple[str, str] | None:
-    """(number, title) of a table; contents entries with dotted leaders are none, numbers behind the title are cut."""
-    number, *title = line.split() or [""]
-    if _dotted(number, (2, 2)) not in (2, 3) or "...." in line:
-        return None
-    while title and (not title[-1].strip(".") or _dotted(title[-1].strip("."), (3, 2))):
-        title.pop()
-    text = " ".join(title).strip(" .:-")
-    return (number, text) if len(text) >= layout.least_title and has_word(text) else None
 
+def token_type(token: Column) -> Column:
+    out = F.lit("W")
+    for name, pattern in reversed(TYPES.items()):
+        out = F.when(token.rlike(pattern), name).otherwise(out)
+    return out
 
-def page_year(text: str) -> int | None:
-    """The year a page states for itself: "Année 2019", or a date after "au"."""
-    found = text.replace(":", " : ").split()
-    for i, word in enumerate(found):
-        behind = [t for t in found[i + 1 : i + 3] if t != ":"]
-        if not behind:
-            continue
-        first = behind[0].rstrip(".,;)*")
-        if folded(word).endswith("annee") and _typed(first, 0).kind == "year":
-            return int(first)
-        date = first.replace("/", ".").split(".")
-        if word == "au" and len(date) == 3 and all(p.isdecimal() for p in date) and _typed(date[2], 0).kind == "year":
-            return int(date[2])
-    return None
 
+def types(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, token_type), "")
 
-def numbered(line: str) -> bool:
-    return any(t.kind in ("number", "year") for t in tokens(line))
 
+def number(token: Column) -> Column:
+    """A value: a dash alone is nil, a mark alone is none."""
+    body = F.replace(F.rtrim(token, F.lit("*")), F.lit(JOINT), F.lit(""))
+    return F.when(body == "-", 0.0).otherwise(body.try_cast("double"))
 
-def enumerated(text: str) -> str | None:
-    """What stands behind an enumerator ("I - ", "A)", "5."), which opens a panel."""
-    cutat = next((i for i, c in enumerate(text) if c in "–—-.)"), 0)
-    mark, rest = text[:cutat].strip(), text[cutat + 1 :].strip()
-    roman = 0 < len(mark) <= 4 and not mark.strip("IVX")
-    letter = len(mark) == 1 and "A" <= mark <= "Z"
-    return rest if rest and (roman or letter or (mark.isdecimal() and len(mark) <= 2)) else None
 
-
-def borrowed_label(lines: list[str], at: int, layout: Layout = YEARBOOK) -> str | None:
-    """A label for a row of bare numbers: the words above it, carried on below in lower case."""
-    above = next((x for x in reversed(lines[max(0, at - 2) : at]) if x.strip()), "")
-    text = latin(above)
-    if numbered(above) or len(text) <= layout.least_label or not has_word(text):
-        return None
-    below = (latin(x) for x in lines[at + 1 : at + 4] if x.strip())
-    return " ".join([text, *takewhile(lambda x: x[:1].islower() and not numbered(x), below)]).strip(" .:-")
+def enumerated(x: Column) -> Column:
+    """What stands behind an enumerator ("I - ", "A)", "5."), which opens a panel; else null."""
+    return _none(F.regexp_extract(x, _ENUMERATED, 1))
 
 
-def caption_above(lines: list[str], at: int, layout: Layout = YEARBOOK) -> str | None:
-    """A known caption of the page, far to the right of the heading of the row labels; recorded, not interpreted."""
-    line = next((x for x in reversed(lines[max(0, at - layout.caption_reach) : at]) if x.strip()), "")
-    line = "".join(" " if is_arabic(c) else c for c in line)
-    first, _, rest = line.strip().partition(" ")
-    gap = len(rest) - len(rest.lstrip()) + 1
-    caption = " ".join(rest.split())
-    return caption if folded(first) in layout.caption_heads and gap >= layout.caption_gap and caption in layout.captions else None
+def is_furniture(x: Column, layout: Layout = YEARBOOK) -> Column:
+    notes = "|".join(n.replace(".", r"\.") for n in layout.notes)
+    return folded(x).rlike(rf"^(?:{notes})(?:\.? ?:| ?\()|{'|'.join(layout.running_titles)}")
 
 
-def extra_column(lines: list[str], at: int) -> int:
-    """1 where an undated column is named to the right of the years, on their line or under it."""
-    years = [t for t in tokens(lines[at]) if t.kind == "year"]
-    if not years:
-        return 0
-    beside = latin(lines[at][years[-1].end :])
-    plain = lambda x: len(x) >= 4 and not any(c.isdigit() for c in x)
-    if plain(beside):
-        return 1
-    for x in lines[at + 1 : at + 3]:
-        clear = "".join(" " if is_arabic(c) else c for c in x)
-        if plain(x) and has_word(clear, 4) and len(clear) - len(clear.lstrip()) > years[-1].start:
-            return 1
-    return 0
-
-
-def is_furniture(label: str, layout: Layout = YEARBOOK) -> bool:
-    text = " ".join(folded(label).split())
-    head = text.replace(" (", "(").replace(" :", ":")
-    return any(head.startswith((n + ":", n + ".:", n + "(")) for n in layout.notes) or any(t in text for t in layout.running_titles)
-
-
-def row_kind(label: str, layout: Layout = YEARBOOK) -> str:
+def row_kind(x: Column, layout: Layout = YEARBOOK) -> Column:
     """aggregate for totals and groups of regions, else data; letters set apart are read together."""
-    found = folded(label).replace("-", " - ").split()
-    singles = len(list(takewhile(lambda t: len(t) == 1 and t.isalpha(), found)))
-    found = ["".join(found[:singles]), *found[singles:]] if singles > 1 else found
-    plain = [t for t in found if t != "-"]
-    starts = any(plain[: len(a.split())] == a.split() for a in layout.aggregates)
-    return "aggregate" if starts or (len(found) > 1 and found[0] in layout.regions and found[1] == "-") else "data"
-
-
-def qualified(rows: list[Row]) -> tuple[list[Row], list[tuple[str, str]]]:
-    """Rows with labels that are unique: a repeated one is named by its panel, or refused."""
-    times = Counter(r.label for r in rows)
-    named = [r if times[r.label] == 1 else replace(r, label=f"{r.panel} / {r.label}") for r in rows if times[r.label] == 1 or r.panel]
-    refused = [(r.label, "label repeats without a panel above it") for r in rows if times[r.label] > 1 and not r.panel]
-    again = Counter(r.label for r in named)
-    refused += [(x, "label repeats within one panel") for x, n in again.items() if n > 1]
-    return [r for r in named if again[r.label] == 1], refused
-
-
-def _read_row(now: Section, lines: list[str], at: int, panel: str | None, layout: Layout) -> str | None:
-    """Adds the line's row, or why it is refused, to the section; gives the panel that holds from here on."""
-    line, row, width = lines[at], split_row(lines[at]), len(now.header.labels)
-    text = latin(line).strip(" .:-")
-    refuse = lambda label, why: now.refused.append((label, why))
-    if row is None or not (numbered(line) or len(row.values) == width):  # a dash alone may belong to a panel's name
-        if not text or is_furniture(text if ":" not in line else line, layout):
-            return panel
-        rest = enumerated(line.strip())
-        return latin(rest) or rest if rest else text
-    if len(row.values) == width + now.header.extra:
-        row = replace(row, values=row.values[:width])
-    label = latin(row.label) or row.label
-    opener = enumerated(label)
-    if len(row.values) != width:
-        rest = enumerated(line.strip())
-        if not row.label or (rest and not numbered(rest)):
-            rest = latin(rest).strip(" .:-") if rest else ""
-            if len(rest) >= layout.least_label and has_word(rest):
-                return rest
-        refuse(label, f"{len(row.values)} values under {width} columns")
-    elif not row.label:
-        label = borrowed_label(lines, at, layout)
-        if label is None:
-            refuse("", "no label")
-        else:
-            # the line above was this row's label, not a panel
-            panel = None if panel and label.startswith(panel) else panel
-            now.rows.append(replace(row, label=label, inferred=True, panel=panel))
-    elif is_furniture(row.label, layout):
-        refuse(label, "a caption or a page footer, not a row")
-    elif label[-1:].isdigit():
-        refuse(label, "label ends in a digit, so a footnote mark may shift the columns")
-    elif len(label) < layout.least_label or not has_word(label):
-        refuse(label, "no words in the label")
-    else:
-        now.rows.append(replace(row, label=label, panel=panel))
-        return opener or panel
-    return panel
-
-
-def sections(lines: list[str], layout: Layout = YEARBOOK) -> Iterator[Section]:
-    """The tables of a page, each from its column header to the next header or heading."""
-    now: Section | None = None
-    panel = None
-    for at, line in enumerate(lines):
-        header = year_header(line, layout) or school_header(line, layout)
-        full = now is not None and (row := split_row(line)) is not None and len(row.values) == len(now.header.labels)
-        if header is None and not full and heading(line, layout):
-            if now:
-                yield now
-            now = None
-            continue
-        header = header or (category_header(line) if now is None else None)
-        if header is not None:
-            if now:
-                yield now
-            head = next((h for x in reversed(lines[max(0, at - layout.heading_reach) : at]) if (h := heading(x, layout))), None)
-            now, panel = Section(replace(header, extra=extra_column(lines, at)), head, caption_above(lines, at, layout)), None
-        elif now is not None and line.strip():
-            panel = _read_row(now, lines, at, panel, layout)
-    if now:
-        yield now
-
-
-COLUMNS = ["page", "table_number", "title", "row_label", "row_kind", "column_label", "year", "value", "provisional", "label_inferred", "panel", "reason"]
-SCHEMA = "page bigint, table_number string, title string, row_label string, row_kind string, column_label string, year int, value double, provisional boolean, label_inferred boolean, panel string, reason string"
-
-
-def parse_page(page: int, text: str | None, layout: Layout = YEARBOOK) -> list[tuple]:
-    """Kept cells (reason null) and refused rows of one page."""
-    out = []
-    stated = page_year(text or "")
-    for s in sections((text or "").split("\n"), layout):
-        number, title = s.head or (None, None)
-        inferred = Counter(r.label for r in s.rows if r.inferred)
-        twice = {x for x, n in inferred.items() if n > 1}
-        s.refused += [(x, "inferred label is not unique within the table") for x in sorted(twice)]
-        rows, refused = qualified([r for r in s.rows if r.label not in twice])
-        why = None
-        if s.head is None:
-            why = "no table heading above the columns"
-        elif not s.header.strict and len({r.label for r in rows}) < layout.least_rows:
-            continue
-        elif s.header.years[0] is None and stated is None:
-            why = "no year on the page"
-        refused = s.refused + refused + ([(r.label, why) for r in rows] if why else [])
-        out += [(page, number, title, label, *[None] * 6, s.caption, reason) for label, reason in refused]
-        for r in [] if why else rows:
-            for c, y, v in zip(s.header.labels, s.header.years, r.values, strict=True):
-                out.append((page, number, title, r.label, row_kind(r.label, layout), c, y if y is not None else stated, v, r.provisional, r.inferred, s.caption, None))
-    return out
+    one = F.regexp_replace(folded(x), r"(?<=\b[a-z]) (?=[a-z]\b)", "")
+    plain = F.regexp_replace(F.regexp_replace(one, "-", " "), " +", " ")
+    total = plain.rlike(rf"^(?:{'|'.join(layout.aggregates)})(?![a-z0-9])") | one.rlike(rf"^(?:{'|'.join(layout.regions)})\s*-")
+    return F.when(total, "aggregate").otherwise("data")
+
+
+def page_year(text: Column) -> Column:
+    """The year a page states for itself: the first of "Année 2019" and a date after "au"."""
+    year = r"(?:(?i:ann[ée]e)\s*:?\s*|\bau\s*:?\s*\d{1,2}[./]\d{1,2}[./])((?:19|20)\d\d)(?!\d)"
+    return _none(F.regexp_extract(text, year, 1)).cast("int")
+
+
+def heading(tokens: Column, layout: Layout = YEARBOOK) -> Column:
+    """(table_number, title) or null: a number in two or three parts, then a title; numbers behind the title are cut, dotted leaders are contents."""
+    figure = lambda t: F.trim(t, F.lit(".")).rlike(r"^(\d{1,3}(\.\d{1,2})*)?$")
+    last = F.array_max(F.transform(tokens, lambda t, i: F.when((i > 0) & ~figure(t), i)))
+    title = clean(F.replace(F.array_join(F.slice(tokens, 2, F.coalesce(last, F.lit(0))), " "), F.lit(JOINT), F.lit(" ")))
+    first = F.get(tokens, F.lit(0))
+    ok = first.rlike(r"^\d{1,2}(\.\d{1,2}){1,2}$") & ~F.exists(tokens, lambda t: t.contains("....")) & (F.length(title) >= layout.least_title) & has_word(title)
+    return F.when(ok, F.struct(first.alias("table_number"), title.alias("title")))
+
+
+def school_year(span: Column, layout: Layout = YEARBOOK) -> Column:
+    """First year of a school year printed end first ("24-23", "2000-99"); null for other spans (such as ages)."""
+    part = lambda i: F.get(F.split(F.rtrim(span, F.lit("*")), "-"), F.lit(i)).try_cast("int")
+    end = F.when(F.length(F.get(F.split(span, "-"), F.lit(0))) == 4, part(0)).otherwise(part(0) + F.when(part(0) <= layout.century, 2000).otherwise(1900))
+    return F.when((end - 1) % 100 == part(1), end - 1)
+
+
+def header(tokens: Column, kinds: Column, layout: Layout = YEARBOOK) -> Column:
+    """(labels, years, strict) of a line that heads columns, or null. Years and school years hold by themselves; codes have to be confirmed by rows."""
+    none = F.lit(None).cast("int")
+    of = lambda letter: F.filter(tokens, lambda t: t.rlike(TYPES[letter]))
+    run = lambda letter: kinds.rlike(f"^[^{letter}]?{letter}{{{layout.least_years},}}[^{letter}]?$")
+    years = F.transform(of("Y"), lambda t: F.substring(t, 1, 4).try_cast("int"))
+    starts = F.transform(of("S"), lambda t: school_year(t, layout))
+    low, high, short = layout.codes
+    code = lambda t: t.rlike(r"[\d./-]") | (t.rlike("[A-ZÀ-ÖØ-Þ]") & ~t.rlike("[a-zà-öø-ÿ]"))
+    codes = F.size(tokens).between(low, high) & F.forall(tokens, lambda t: F.length(t) <= short) & (2 * F.size(F.filter(tokens, code)) >= F.size(tokens))
+    made = lambda labels, years, strict: F.struct(labels.alias("labels"), years.alias("years"), F.lit(strict).alias("strict"))
+    return (
+        F.when(run("Y"), made(F.transform(years, lambda y: y.cast("string")), years, True))
+        .when(run("S") & F.forall(starts, lambda y: y.isNotNull()), made(F.transform(starts, lambda y: F.concat(y.cast("string"), F.lit("/"), F.lpad(((y + 1) % 100).cast("string"), 2, "0"))), starts, True))
+        .when(codes, made(F.transform(tokens, lambda t: F.replace(t, F.lit(JOINT), F.lit(" "))), F.transform(tokens, lambda t: none), False))
+    )
+
+
+def split_row(tokens: Column, kinds: Column) -> Column:
+    """(label, values, provisional): the last run of values, whatever words stand behind it; null without values."""
+    at = F.length(F.regexp_extract(kinds, _VALUES, 1))
+    cells = F.slice(tokens, at + 1, F.greatest(F.length(F.regexp_extract(kinds, _VALUES, 2)), F.lit(0)))
+    label = clean(F.replace(F.array_join(F.slice(tokens, F.lit(1), at), " "), F.lit(JOINT), F.lit(" ")))
+    values = F.filter(F.transform(cells, number), lambda v: v.isNotNull())
+    return F.when(kinds.rlike(_VALUES), F.struct(label.alias("label"), values.alias("values"), F.exists(cells, lambda t: t.endswith("*")).alias("provisional")))
+
+
+def _extra(layout: Layout, page) -> Column:
+    """1 where an undated column is named to the right of the years, on their line or under it."""
+    last_year = F.length(F.regexp_extract("line", r"^(.*)(?<!\S)(?:19|20)\d\d(?!\S)", 1))
+    plain = lambda x: (F.length(x) >= 4) & ~x.rlike(r"\d")
+    beside = plain(latin(F.regexp_extract("line", r"(?<!\S)(?:19|20)\d\d(?!\S)(?!.*(?<!\S)(?:19|20)\d\d(?!\S))(.*)$", 1)))
+    clear = lambda x: F.regexp_replace(x, _OTHER_SCRIPT, " ")
+    under = [F.lead("line", i).over(page) for i in (1, 2)]
+    below = [F.coalesce(plain(x) & has_word(clear(x), 4) & (F.length(F.regexp_extract(clear(x), r"^(\s*)", 1)) > last_year), F.lit(False)) for x in under]
+    return F.when(F.col("kinds").contains("Y") & (beside | below[0] | below[1]), 1).otherwise(0)
+
+
+def _lines(df: DataFrame, page: str, text: str, layout: Layout) -> DataFrame:
+    """One row by line with its tokens, types and what it could be."""
+    pages = df.select(F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("pid", F.monotonically_increasing_id())
+    lines = pages.select("pid", "page", page_year(F.col("text")).alias("stated"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.withColumn("tokens", words(F.col("line"))).withColumn("kinds", types(F.col("tokens")))
+    t, k = F.col("tokens"), F.col("kinds")
+    return lines.withColumns({"head": heading(t, layout), "columns": header(t, k, layout), "row": split_row(t, k), "numbered": k.rlike("[NY]"), "latin": latin(F.col("line"))}).drop("tokens")
+
+
+def _sections(lines: DataFrame, layout: Layout) -> DataFrame:
+    """The lines of open sections with what their header and the lines above it say."""
+    page = Window.partitionBy("pid").orderBy("at")
+    upto, above = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    n = F.coalesce(F.size("row.values"), F.lit(0))
+    strict = F.coalesce(F.col("columns.strict"), F.lit(False))
+    codes = F.col("columns").isNotNull() & ~strict & F.col("head").isNull()
+    lines = lines.withColumns({"n": n, "strict": strict, "codes": codes, "headed": F.col("head").isNotNull() & ~strict})
+
+    def opened(df: DataFrame, closes: Column, span: str) -> DataFrame:
+        """Numbers the stretches between closing lines; years open a section anywhere, codes where nothing is open."""
+        within = Window.partitionBy("pid", span).orderBy("at")
+        df = df.withColumn(span, F.count_if(closes).over(page.rowsBetween(*upto)))
+        first = F.count_if(F.col("strict") | F.col("codes")).over(within.rowsBetween(*above)) == 0
+        return df.withColumn("opens", F.col("strict") | (F.col("codes") & first))
+
+    # a heading that ends in as many values as the header above has columns is a row: widths first, from headings that cannot be rows
+    lines = opened(lines, F.col("headed") & (F.col("n") < layout.least_years), "rough")
+    width = F.last(F.when(F.col("opens"), F.size("columns.labels")), ignorenulls=True).over(Window.partitionBy("pid", "rough").orderBy("at").rowsBetween(*above))
+    lines = lines.withColumn("closes", F.col("headed") & ~F.coalesce((F.col("n") >= layout.least_years) & (F.col("n") == width), F.lit(False)))
+    lines = opened(lines, F.col("closes"), "span")
+    near = F.last(F.when(F.trim("line") != "", F.col("line")), ignorenulls=True).over(page.rowsBetween(-layout.caption_reach, -1))
+    near = F.trim(F.regexp_replace(near, _OTHER_SCRIPT, " "))
+    caption = F.regexp_replace(F.regexp_extract(near, rf"^\S+\s{{{layout.caption_gap},}}(.*)$", 1), r"\s+", " ")
+    known = folded(F.regexp_extract(near, r"^(\S+)", 1)).isin(*layout.caption_heads) & caption.isin(*layout.captions)
+    table = F.struct(
+        "columns.labels", "columns.years", "strict", F.last("head", ignorenulls=True).over(page.rowsBetween(-layout.heading_reach, -1)).alias("head"),
+        F.when(known, caption).alias("caption"), _extra(layout, page).alias("extra"),
+    )
+    lines = lines.withColumns({"section": F.count_if("opens").over(page.rowsBetween(*upto)), "table": F.when(F.col("opens"), table)})
+    # what a row without a label can borrow
+    rest = F.filter(F.array(*[F.struct(F.lead("latin", i).over(page).alias("latin"), F.lead("numbered", i).over(page).alias("numbered"), F.lead("line", i).over(page).alias("line")) for i in (1, 2, 3)]), lambda x: F.trim(x["line"]) != "")
+    before = F.last(F.when(F.trim("line") != "", F.struct("latin", "numbered")), ignorenulls=True).over(page.rowsBetween(-2, -1))
+    lines = lines.withColumns({"rest": rest, "before": before})
+    within = Window.partitionBy("pid", "span").orderBy("at")
+    lines = lines.withColumn("table", F.last("table", ignorenulls=True).over(within.rowsBetween(*upto)))
+    return lines.where(F.col("table").isNotNull() & ~F.col("opens") & ~F.col("closes"))
+
+
+def _borrowed(layout: Layout) -> Column:
+    """A label for a row of bare numbers: the words above it, carried on below in lower case."""
+    ok, parts = F.lit(True), []
+    for i in range(3):
+        x = F.get("rest", F.lit(i))
+        ok = ok & F.coalesce(x["latin"].rlike("^[a-zà-öø-ÿ]") & ~x["numbered"], F.lit(False))
+        parts.append(F.when(ok, x["latin"]))
+    up = F.col("before")
+    good = ~up["numbered"] & (F.length(up["latin"]) > layout.least_label) & has_word(up["latin"])
+    return F.when(good, clean(F.concat_ws(" ", up["latin"], *parts)))
+
+
+def _rows(lines: DataFrame, layout: Layout) -> DataFrame:
+    """Rows with label, panel and the reason for which they are refused; lines that only name a panel are used up."""
+    section = Window.partitionBy("pid", "section").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    width = F.size("table.labels")
+    lines = lines.withColumns({"width": width, "text": clean(F.col("latin")), "item": enumerated(F.col("line"))})
+    numeric = F.col("row").isNotNull() & (F.col("numbered") | (F.col("n") == F.col("width")))  # a dash alone may belong to a panel's name
+    fits = (F.col("n") == F.col("width")) | (F.col("n") == F.col("width") + F.col("table.extra"))
+    label = F.coalesce(_none(latin(F.col("row.label"))), F.col("row.label"))
+    lines = lines.where(F.trim("line") != "").withColumns({"numeric": numeric, "fits": fits, "label": label, "bare": F.col("row.label") == ""})
+    # an enumerated line whose numbers are not those of a row names a panel
+    item = clean(latin(F.col("item")))
+    listed = F.col("numeric") & ~F.col("fits") & (F.col("bare") | (F.col("item").isNotNull() & ~types(words(F.col("item"))).rlike("[NY]")))
+    named = listed & F.coalesce((F.length(item) >= layout.least_label) & has_word(item), F.lit(False))
+    furniture = is_furniture(F.when(F.col("line").contains(":"), F.col("line")).otherwise(F.col("text")), layout)
+    text = F.coalesce(_none(latin(F.col("item"))), F.col("item"), F.col("text"))
+    lines = lines.withColumns({"names": ~F.col("numeric") & (F.col("text") != "") & ~furniture, "lists": named})
+    lines = lines.withColumn("borrowed", F.when(F.col("numeric") & F.col("fits") & F.col("bare"), _borrowed(layout)))
+    final = F.coalesce("borrowed", "label")
+    why = (
+        F.when(~F.col("fits"), F.concat(F.col("n").cast("string"), F.lit(" values under "), F.col("width").cast("string"), F.lit(" columns")))
+        .when(F.col("bare"), F.when(F.col("borrowed").isNull(), "no label"))
+        .when(is_furniture(F.col("row.label"), layout), "a caption or a page footer, not a row")
+        .when(F.col("label").rlike(r"\d$"), "label ends in a digit, so a footnote mark may shift the columns")
+        .when((F.length("label") < layout.least_label) | ~has_word(F.col("label")), "no words in the label")
+    )
+    lines = lines.withColumns({"why": why, "label": final})
+    opens = F.when(F.col("names"), text).when(F.col("lists"), item).when(F.col("numeric") & ~F.col("bare") & F.col("why").isNull(), enumerated(F.col("label")))
+    lines = lines.withColumn("opens_panel", opens).withColumn("panel", F.last("opens_panel", ignorenulls=True).over(section))
+    # words that turn out to be the label of the row under them were no panel
+    own = F.col("borrowed").isNotNull() & F.col("borrowed").startswith(F.col("panel"))
+    lines = lines.withColumn("own", F.coalesce(own, F.lit(False)))
+    panel = F.last(F.when(F.col("own"), F.lit("")).otherwise(F.col("opens_panel")), ignorenulls=True).over(section)
+    lines = lines.withColumn("panel", F.when(~F.col("own"), _none(panel)))
+    return lines.where(F.col("numeric") & ~F.col("lists"))
+
+
+def _judged(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Repeated labels are named by their panel or refused; then the sections are judged."""
+    table = Window.partitionBy("pid", "section")
+    of = lambda label: Window.partitionBy("pid", "section", label)
+    inferred = F.col("borrowed").isNotNull()
+    twice = inferred & (F.count_if(F.col("why").isNull() & inferred).over(of("label")) > 1)
+    rows = rows.withColumn("why", F.coalesce("why", F.when(twice, "inferred label is not unique within the table")))
+    times = F.count_if(F.col("why").isNull()).over(of("label"))
+    rows = rows.withColumn("repeats", F.col("why").isNull() & (times > 1))
+    rows = rows.withColumn("why", F.coalesce("why", F.when(F.col("repeats") & F.col("panel").isNull(), "label repeats without a panel above it")))
+    rows = rows.withColumn("label", F.when(F.col("repeats") & F.col("why").isNull(), F.concat("panel", F.lit(" / "), "label")).otherwise(F.col("label")))
+    again = F.count_if(F.col("why").isNull()).over(of("label"))
+    rows = rows.withColumn("why", F.coalesce("why", F.when(F.col("repeats") & (again > 1), "label repeats within one panel")))
+    distinct = F.size(F.collect_set(F.when(F.col("why").isNull(), F.col("label"))).over(table))
+    rows = rows.withColumn("distinct", distinct).where(F.col("table.head").isNull() | F.col("table.strict") | (F.col("distinct") >= layout.least_rows))
+    undated = F.get("table.years", F.lit(0)).isNull() & F.col("stated").isNull()
+    why = F.when(F.col("table.head").isNull(), "no table heading above the columns").when(undated, "no year on the page")
+    return rows.withColumn("why", F.coalesce("why", why))
 
 
 def parse_pages(df: DataFrame, page: str = "page", text: str = "text", layout: Layout = YEARBOOK) -> DataFrame:
-    """All pages, kept cells and refused rows in one frame; one Python call for each page."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [r for p, t in zip(pdf[page], pdf[text], strict=True) for r in parse_page(p, t, layout)]
-            got = pd.DataFrame(rows, columns=COLUMNS)
-            yield got.astype({"year": "Int32", "provisional": "boolean", "label_inferred": "boolean"})
-
-    return df.select(page, text).mapInPandas(run, SCHEMA)
+    """All pages, kept cells and refused rows (with a reason, without a value) in one frame."""
+    rows = _judged(_rows(_sections(_lines(df, page, text, layout), layout), layout), layout)
+    cells = F.arrays_zip(F.col("table.labels").alias("label"), F.col("table.years").alias("year"), F.slice("row.values", F.lit(1), F.col("width")).alias("value"))
+    cell = "struct<label:string,year:int,value:double>"
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("why").isNull(), cells.cast(f"array<{cell}>")).otherwise(F.array(F.lit(None).cast(cell)))))
+    kept = lambda x: F.when(F.col("why").isNull(), x)
+    return rows.select(
+        F.col("page").cast("bigint").alias("page"), "table.head.table_number", "table.head.title", F.col("label").alias("row_label"), kept(row_kind(F.col("label"), layout)).alias("row_kind"),
+        F.col("cell.label").alias("column_label"), kept(F.coalesce("cell.year", "stated")).alias("year"), "cell.value", kept(F.col("row.provisional")).alias("provisional"),
+        kept(F.col("borrowed").isNotNull()).alias("label_inferred"), F.col("table.caption").alias("panel"), F.col("why").alias("reason"),
+    )

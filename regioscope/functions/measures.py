@@ -32,6 +32,16 @@ def publish(x: Column) -> Column:
     return F.bround(x, DECIMALS) + F.lit(0.0)
 
 
+def cents(x: str) -> Column:
+    """Money as a decimal, whose sums do not depend on their order."""
+    return F.col(x).cast("decimal(18,2)")
+
+
+def mean_of_cents(total: Column, n: Column) -> Column:
+    """An exact sum divided once."""
+    return F.try_divide(total.cast("double"), n.cast("double"))
+
+
 def ranked(df: DataFrame, keys: list[str], value: str, weight: str | None) -> DataFrame:
     """Adds _n, _w (share of weight), _c (cumulative share), _mu to each row; rows without a value are left out."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)

@@ -160,9 +160,10 @@ def normalised_to_first(spark, sf_dir) -> DataFrame:
     return n.select("segment", "year", M.publish(100 * F.col("v") / F.first("v").over(Window.partitionBy("segment").orderBy("year"))).alias("level"))
 
 
-@query("monthly_against_annual", f"WITH {_MONTHS} SELECT m.series, m.year, CAST(count(*) AS BIGINT) AS months, round_even(avg(m.value), 2) AS monthly_mean, round_even(any_value(a.total) / 12, 2) AS annual, CASE WHEN count(*) = 12 THEN abs(avg(m.value) / (any_value(a.total) / 12) - 1) <= 0.005 END AS agrees FROM m LEFT JOIN a USING (series, year) GROUP BY ALL")
+@query("monthly_against_annual", f"WITH {_MONTHS} SELECT m.series, m.year, CAST(count(*) AS BIGINT) AS months, round_even(CAST(sum(CAST(m.value AS DECIMAL(18, 2))) AS DOUBLE) / count(*), 6) AS monthly_mean, round_even(any_value(CAST(CAST(a.total AS DECIMAL(18, 2)) AS DOUBLE)) / 12, 6) AS annual, CASE WHEN count(*) = 12 THEN abs(avg(m.value) / (any_value(a.total) / 12) - 1) <= 0.005 END AS agrees FROM m LEFT JOIN a USING (series, year) GROUP BY ALL")
 def monthly_against_annual(spark, sf_dir) -> DataFrame:
     """Mean of the months against the annual figure; judged only where all twelve are there."""
-    w = F.sum("value") / 12
-    m = months(spark, sf_dir).groupBy("series", "year").agg(F.count("*").cast("bigint").alias("months"), F.avg("value").alias("mean"), w.alias("annual"))
-    return m.select("series", "year", "months", F.bround("mean", 2).alias("monthly_mean"), F.bround("annual", 2).alias("annual"), F.when(F.col("months") == 12, F.abs(F.try_divide("mean", "annual") - 1) <= 0.005).alias("agrees"))
+    total = F.sum(M.cents("value"))
+    mean, annual = M.mean_of_cents(total, F.count("*")), M.mean_of_cents(total, F.lit(12))
+    m = months(spark, sf_dir).groupBy("series", "year").agg(F.count("*").cast("bigint").alias("months"), mean.alias("mean"), annual.alias("annual"))
+    return m.select("series", "year", "months", M.publish(F.col("mean")).alias("monthly_mean"), M.publish(F.col("annual")).alias("annual"), F.when(F.col("months") == 12, F.abs(F.try_divide("mean", "annual") - 1) <= 0.005).alias("agrees"))

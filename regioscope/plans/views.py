@@ -19,17 +19,19 @@ PAIR = ("BUILDING", "HOUSEHOLD")
 SHIFT = (1996, 2000)
 FIRST_GROUP = ("AMERICA", "EUROPE")
 
+_MEAN = "CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(value)"  # exact cents, divided once
+
 _zero = lambda e: f"round_even({e}, 6) + 0.0"
 
 
-@query("region_to_nation", f"""WITH {CELLS}, r AS (SELECT year, region, avg(value) AS m FROM cells GROUP BY ALL), n AS (SELECT year, avg(value) AS mu FROM cells GROUP BY ALL)
-SELECT year, region, {_zero('100 * m / mu')} AS ratio, round_even(m - mu, 2) + 0.0 AS difference FROM r JOIN n USING (year)""")
+@query("region_to_nation", f"""WITH {CELLS}, r AS (SELECT year, region, {_MEAN} AS m FROM cells GROUP BY ALL), n AS (SELECT year, {_MEAN} AS mu FROM cells GROUP BY ALL)
+SELECT year, region, {_zero('100 * m / mu')} AS ratio, {_zero('m - mu')} AS difference FROM r JOIN n USING (year)""")
 def region_to_nation(spark, sf_dir) -> DataFrame:
     """A region's mean against the nation's, as ratio and as difference, on the years both have."""
-    parts = regional_cells(spark, sf_dir).groupBy("year", "region").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    parts = regional_cells(spark, sf_dir).groupBy("year", "region").agg(F.sum(M.cents("value")).alias("s"), F.count("value").alias("n"))
     w = Window.partitionBy("year")
-    m, mu = F.try_divide("s", "n"), F.try_divide(F.sum("s").over(w), F.sum("n").over(w))
-    return parts.select("year", "region", M.publish(100 * F.try_divide(m, mu)).alias("ratio"), (F.bround(m - mu, 2) + 0.0).alias("difference"))
+    m, mu = M.mean_of_cents(F.col("s"), F.col("n")), M.mean_of_cents(F.sum("s").over(w), F.sum("n").over(w))
+    return parts.select("year", "region", M.publish(100 * F.try_divide(m, mu)).alias("ratio"), M.publish(m - mu).alias("difference"))
 
 
 @query("pair_ratio", f"""WITH {CELLS}, p AS (SELECT year, region, sum(value) FILTER (segment = '{PAIR[0]}') AS a, sum(value) FILTER (segment = '{PAIR[1]}') AS b FROM cells GROUP BY ALL)
@@ -61,14 +63,19 @@ def budget_shift(spark, sf_dir) -> DataFrame:
     return s.select("region", "segment", M.publish(share("b") - share("a")).alias("shift"))
 
 
-@query("parallel_trends", f"""WITH {CELLS}, g AS (SELECT segment, year, avg(value) FILTER (region IN {FIRST_GROUP}) AS a, avg(value) FILTER (region NOT IN {FIRST_GROUP}) AS b FROM cells GROUP BY ALL)
-SELECT segment, year, round_even(b - a, 2) + 0.0 AS gap, round_even(regr_slope(b - a, year) FILTER (year < {CUTOFF}) OVER (PARTITION BY segment), 2) + 0.0 AS pre_slope FROM g""")
+@query("parallel_trends", f"""WITH {CELLS}, c AS (SELECT *, region IN {FIRST_GROUP} AS f FROM cells), h AS (SELECT segment, year, f, {_MEAN} AS m FROM c GROUP BY ALL),
+g AS (SELECT segment, year, max(m) FILTER (NOT f) - max(m) FILTER (f) AS gap FROM h GROUP BY ALL)
+SELECT segment, year, {_zero('gap')} AS gap, {_zero(f'regr_slope(gap, year - {CUTOFF}) FILTER (year < {CUTOFF}) OVER (PARTITION BY segment)')} AS pre_slope FROM g""")
 def parallel_trends(spark, sf_dir) -> DataFrame:
-    """Gap between the means of two groups of regions, and its slope before the cutoff."""
+    """Gap between the means of two groups of regions, and its slope before the cutoff.
+
+    Sums of cents are exact, a mean is divided once and rounded once, to more digits than a tie of cents can have.
+    """
     first = F.col("region").isin(*FIRST_GROUP)
-    g = regional_cells(spark, sf_dir).groupBy("segment", "year").agg((F.avg(F.when(~first, F.col("value"))) - F.avg(F.when(first, F.col("value")))).alias("gap"))
-    before = F.regr_slope(F.when(F.col("year") < CUTOFF, F.col("gap")), F.col("year").cast("double")).over(Window.partitionBy("segment"))
-    return g.select("segment", "year", (F.bround("gap", 2) + 0.0).alias("gap"), (F.bround(before, 2) + 0.0).alias("pre_slope"))
+    mean = lambda on: M.mean_of_cents(F.sum(F.when(on, M.cents("value"))), F.count_if(on & F.col("value").isNotNull()))
+    g = regional_cells(spark, sf_dir).groupBy("segment", "year").agg((mean(~first) - mean(first)).alias("gap"))
+    before = F.regr_slope(F.when(F.col("year") < CUTOFF, F.col("gap")), (F.col("year") - CUTOFF).cast("double")).over(Window.partitionBy("segment"))
+    return g.select("segment", "year", M.publish(F.col("gap")).alias("gap"), M.publish(before).alias("pre_slope"))
 
 
 @query("spread_by_year", f"""WITH {CELLS} SELECT segment, year, {_zero('max(value) / min(value)')} AS max_min, {_zero('quantile_cont(value, 0.75) / quantile_cont(value, 0.25)')} AS p75_p25, round_even(max(value) - min(value), 2) AS span, arg_max(nation, value) AS highest

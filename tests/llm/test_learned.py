@@ -202,34 +202,69 @@ def test_kneser_ney_sums_to_one():
         assert len(langid.judge(m, data, offs)[0]) == len(alphabet)
 
 
-def plain_winnow(text, k=5):
-    """Units and the number of hashes."""
+def plain_winnow(text):
+    """Grams in order, and the number of hashes."""
     import re
 
-    units = re.findall(r"(?<!\S)\S{1,8}(?!\S)|\S", text.lower(), re.ASCII)
-    return units, max(0, len(units) - k + 1) if len(units) >= k else min(1, len(units))
+    low = text.lower()
+    grams = [low[m.start() : m.start() + 32] for m in re.finditer(r"(?:(?<!\S)|(?<=\S{16}))(?=\S.{31})\S", low, re.ASCII | re.S)]
+    return grams, len(grams) or int(bool(re.search(r"\S", text, re.ASCII)))
 
 
 def test_winnowing_against_plain_minima(docs, spark):
     from pyspark.sql import functions as F
 
     text = {i: t or "" for i, t in docs.where("doc_id < 60").select("doc_id", "text").collect()}
-    units = {i: plain_winnow(t)[0] for i, t in text.items()}
-    grams = sorted({tuple(u[j : j + 5]) for u in units.values() for j in range(len(u) - 4)})
-    frame = spark.createDataFrame([list(g) for g in grams], "a string, b string, c string, d string, e string")
-    key = dict(zip(grams, [r.h for r in frame.select(F.shiftrightunsigned(F.xxhash64(*"abcde"), 28).alias("h")).collect()], strict=True))
-    df = winnow.fingerprints(docs.where("doc_id < 60"), "text", "fp", 5, 16).select("doc_id", winnow.rendered("fp").alias("fp"), winnow.hashes("fp").alias("h"))
+    grams = {i: plain_winnow(t)[0] for i, t in text.items()}
+    every = sorted({g for u in grams.values() for g in u})
+    key = dict(zip(every, [r.h for r in spark.createDataFrame([(g,) for g in every], "g string").select(F.shiftrightunsigned(F.xxhash64("g"), 28).alias("h")).collect()], strict=True))
+    df = winnow.fingerprints(docs.where("doc_id < 60"), "text", "fp", 32, 16).select("doc_id", winnow.rendered("fp").alias("fp"), winnow.hashes("fp").alias("h"))
     pairs = df.select("h").limit(2).collect()
     for r in df.collect():
-        u = units[r.doc_id]
-        h = [key[tuple(u[j : j + 5])] for j in range(len(u) - 4)]
-        if len(u) >= 5:
+        h = [key[g] for g in grams[r.doc_id]]
+        if h:
             assert r.fp == ",".join(f"{h[p]:x}@{p}" for p in brute.minima(h))
     a, b = (set(p.h) for p in pairs)
     both = spark.createDataFrame([(sorted(a), sorted(b))], "a array<bigint>, b array<bigint>")
     assert both.select(winnow.likeness("a", "b")).first()[0] == len(a & b) / len(a | b)
 
 
+@pytest.mark.parametrize("w", [1, 2, 3, 5, 7, 16, 21])
+def test_windows_of_any_width(spark, w):
+    import re
+
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"w{i * i % 17}" for i in range(90))
+    grams = [words[m.start() : m.start() + 5] for m in re.finditer(r"(?<!\S)(?=\S.{4})", words)]
+    h = [r.h for r in spark.createDataFrame([(i, g) for i, g in enumerate(grams)], "i int, g string").orderBy("i").select(F.shiftrightunsigned(F.xxhash64("g"), 28).alias("h")).collect()]
+    kept = sorted({max(range(a, a + w), key=lambda i: (-h[i], i)) for a in range(len(h) - w + 1)})
+    got = winnow.fingerprints(spark.createDataFrame([(words,)], "text string"), "text", "fp", 5, w).select(winnow.rendered("fp")).first()[0]
+    assert got == ",".join(f"{h[p]:x}@{p}" for p in kept)
+
+
+def test_unrelated_neighbours_share_nothing(docs):
+    rows = winnow.edited_fingerprints(docs).collect()
+    assert sum(r.near_next > 0 for r in rows) < 0.01 * len(rows)
+    long = [r for r in rows if r.n_chars > 1500]
+    assert sum(r.near_edited > 0.2 for r in long) > 0.99 * len(long)
+
+
+def test_null_and_repeated_ids(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    rows = [(None, "no id one"), (None, "no id two"), (None, None), (5, "five a"), (5, "five b"), (5, "five b"), (3, ""), (9, "nine " * 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = df.withColumn("tie", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)).orderBy(F.desc_nulls_last("doc_id"), "tie").collect()
+    texts = [r.text or "" for r in order]
+    want = sorted((r.doc_id, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()) for r, t, nxt in zip(order, texts, texts[1:] + texts[:1], strict=True) if r.doc_id is not None)
+    got = winnow.edited_fingerprints(df).collect()
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got if r.doc_id is not None) == want
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 3
+
+
 def test_winnowing_contract_and_guarantee(docs, odd):
     import hashlib
 
@@ -258,8 +293,8 @@ def test_winnowing_contract_and_guarantee(docs, odd):
 
 def test_winnowing_minimum_is_rightmost(spark):
     df = spark.createDataFrame([(1, "ab " * 60)], "doc_id bigint, text string")
-    fp = winnow.fingerprints(df, "text", "fp", 5, 16).select(winnow.rendered("fp")).first()[0]
-    assert [int(x.split("@")[1]) for x in fp.split(",")] == list(range(15, 56))  # all hashes are equal: the last of each window
+    fp = winnow.fingerprints(df, "text", "fp", 32, 16).select(winnow.rendered("fp")).first()[0]
+    assert [int(x.split("@")[1]) for x in fp.split(",")] == list(range(15, 50))  # all hashes are equal: the last of each window
 
 
 def test_winnowing_ranges(docs, spark):

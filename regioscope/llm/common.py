@@ -11,12 +11,26 @@ from pyspark.sql import functions as F
 
 
 _written: dict[int, str] = {}
+_made: list[str] = []  # every cut's folder, in order, until it is deleted
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; they cross to Python in Arrow batches of at most 2,000 rows, and of the session's bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return read(spark, sf_dir, "documents")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session without one (tests) gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -33,6 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     got = spark.read.schema(df.schema).parquet(path)
     _written[id(got)] = path
     weakref.finalize(got, _written.pop, id(got), None)
@@ -43,9 +58,26 @@ def release(*frames: DataFrame) -> None:
     """Deletes the files of cut frames that nothing lazy reads any more: all that was derived from them is written."""
     for df in frames:
         if path := _written.get(id(df)):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def mark() -> int:
+    """A place in the order of cuts, for ``release_since``."""
+    return len(_made)
+
+
+def release_since(place: int, kept: DataFrame) -> None:
+    """Deletes the files of all cuts made since ``mark`` but those of ``kept``, which is itself a cut of what was derived from them."""
+    for path in _made[place:]:
+        if path != _written.get(id(kept)):
+            _delete(kept.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
 
 
 #: Rows of two longs up to which a lookup table is broadcast (16 MB); beyond, a merge join that the engine splits on skew.

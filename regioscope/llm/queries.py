@@ -5,20 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import documents, vocabulary
 from . import bpe, collocations, common, decontaminate, jaccard, langid, merkle, packing, resample, sentences, shards, suffix, toxicity, winnow
-
-
-def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    """Where a public vocabulary lies on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; they cross to Python in Arrow batches of at most 2,000 rows, and of the session's bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return common.read(spark, sf_dir, "documents")
+from . import pipeline as stages
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +78,7 @@ def op13_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_ngram_jaccard_join, op3_sentence_span_dedup, op4_benchmark_decontamination, op5_hypergeometric_shuffle, op6_suffix_dedup, op7_toxicity_machine, op8_minimum_slack_packing, op9_kneser_ney_language, op10_winnowing, op11_pair_index_bpe, op12_fractal_manifest, op13_trie_collocations, pipeline)}

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import checks, discontinuity, estimates, pages, panels, regional, series, survey, views  # noqa: F401
+from .plans import checks, discontinuity, estimates, modules, pages, panels, regional, series, survey, views  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401

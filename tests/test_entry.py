@@ -54,7 +54,7 @@ def test_others_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("module", ["checks", "discontinuity", "estimates", "pages", "panels", "regional", "series", "survey", "views"])
+@pytest.mark.parametrize("module", ["checks", "discontinuity", "estimates", "modules", "pages", "panels", "regional", "series", "survey", "views"])
 def test_modules_import_alone(module):
     subprocess.run([sys.executable, "-c", f"import regioscope.plans.{module}"], cwd=ROOT, check=True)
 

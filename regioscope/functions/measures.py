@@ -55,6 +55,52 @@ def ranked(df: DataFrame, keys: list[str], value: str, weight: str | None) -> Da
     })
 
 
+#: Parts of a group's value range; a task ranks one part of one group.
+PARTS = 64
+
+
+def _in_parts(df: DataFrame, keys: list[str], value: str, parts: int) -> DataFrame:
+    """Adds _part: the stretch of the group's values in which a row lies, by approximate quantiles. Equal values share a part, and parts ascend with values."""
+    if parts < 2:
+        return df.withColumn("_part", F.lit(0))
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)
+    edges = df.groupBy(*keys).agg(cuts.alias("_edges"))
+    return df.join(F.broadcast(edges), keys).withColumn("_part", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+
+
+def _before(df: DataFrame, keys: list[str], total: dict[str, Column]) -> DataFrame:
+    """df with, for each total by name: its sum over the parts before (before_<name>) and over the group (all_<name>); one row a part is summed up."""
+    group = Window.partitionBy(*keys)
+    per = df.groupBy(*keys, "_part").agg(*[c.alias(n) for n, c in total.items()])
+    running = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    columns = [F.coalesce(F.sum(n).over(running), F.lit(0)).alias(f"before_{n}") for n in total] + [F.sum(n).over(group).alias(f"all_{n}") for n in total]
+    return df.join(F.broadcast(per.select(*keys, "_part", *columns)), [*keys, "_part"])
+
+
+def tiles(df: DataFrame, keys: list[str], n: int, value: str, tie: str, out: str, parts: int = PARTS) -> DataFrame:
+    """Adds ``out``: the n-tile of each row in the order of (value, tie) in its group, as ntile gives it, without a task that holds a group.
+
+    Ranks are exact: rows before a part are counted, and a row's place in its part is its row number there. Rows without a value are left out.
+    """
+    df = _before(_in_parts(df.where(F.col(value).isNotNull()), keys, value, parts), keys, {"rows": F.count("*")})
+    at = F.col("before_rows") + F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(value, tie)) - 1
+    low, longer = F.floor(F.col("all_rows") / n), F.col("all_rows") % n
+    tile = F.when(at < longer * (low + 1), F.floor(at / (low + 1))).otherwise(longer + F.floor((at - longer * (low + 1)) / F.greatest(low, F.lit(1))))
+    return df.withColumn(out, (tile + 1).cast("int")).drop("_part", "before_rows", "all_rows")
+
+
+def split_gini(df: DataFrame, keys: list[str], value: str, weight: str, parts: int = PARTS) -> DataFrame:
+    """keys, n and gini (0 to 1) of weighted microdata: equal values are summed first, then ranked in parts, so neither a group nor a frequent value is one task's work."""
+    known = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
+    sums = known.groupBy(*keys, F.col(value).cast("double").alias("_y")).agg(F.sum(F.col(weight).cast("double")).alias("_w"), F.count("*").alias("_m"))
+    sums = _before(_in_parts(sums, keys, "_y", parts), keys, {"w": F.sum("_w"), "wy": F.sum(F.col("_w") * F.col("_y")), "m": F.sum("_m")})
+    upto = F.col("before_w") + F.sum("_w").over(Window.partitionBy(*keys, "_part").orderBy("_y").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumns({"_mid": F.try_divide(upto - F.col("_w") / 2, F.col("all_w")), "_share": F.try_divide("_w", "all_w"), "_mu": F.try_divide("all_wy", "all_w")})
+    ok = (F.max("all_m") >= 2) & (F.max("_mu") > 0)
+    gini = F.try_divide(F.lit(2.0), F.max("_mu")) * F.sum(F.col("_share") * F.col("_y") * (F.col("_mid") - 0.5))
+    return sums.groupBy(*keys).agg(F.max("all_m").alias("n"), F.when(ok, gini).alias("gini"))
+
+
 def gini_of_ranked() -> Column:
     """2/mu * sum w y (mid-rank - 1/2); equals the double sum over all pairs, ties and weights included."""
     mid = F.col("_c") - F.col("_w") / 2

@@ -122,7 +122,7 @@ def outlet_value_shares(spark, sf_dir) -> DataFrame:
 SELECT region, decile, round_even(100 * v / sum(v) OVER (PARTITION BY region), 6) AS share, round_even(m, 4) AS mean_per_head FROM s""")
 def decile_distribution(spark, sf_dir) -> DataFrame:
     """Deciles over a total order within each region, with value shares and weighted means."""
-    d = households(spark, sf_dir).withColumn("decile", F.ntile(10).over(Window.partitionBy("region").orderBy("per_head", "hh_id")))
+    d = M.tiles(households(spark, sf_dir).select("region", "per_head", "hh_id", "total", "weight"), ["region"], 10, "per_head", "hh_id", "decile")
     s = d.groupBy("region", "decile").agg(F.sum("total").alias("v"), M.weighted_mean(F.col("per_head"), F.col("weight")).alias("m"))
     return s.select("region", "decile", M.publish(F.try_divide(100 * F.col("v"), F.sum("v").over(Window.partitionBy("region")))).alias("share"), F.bround("m", 4).alias("mean_per_head"))
 
@@ -131,8 +131,8 @@ def decile_distribution(spark, sf_dir) -> DataFrame:
 SELECT region, CAST(count(*) AS BIGINT) AS n, round_even(200 / any_value(mu) * sum(w * y * (c - w / 2 - 0.5)), 6) AS gini FROM r GROUP BY region""")
 def household_gini_weighted(spark, sf_dir) -> DataFrame:
     """Weighted Gini (0 to 100) over microdata."""
-    r = M.ranked(households(spark, sf_dir), ["region"], "per_head", "weight")
-    return r.groupBy("region").agg(F.max("_n").cast("bigint").alias("n"), M.publish(100 * M.gini_of_ranked()).alias("gini"))
+    g = M.split_gini(households(spark, sf_dir).select("region", "per_head", "weight"), ["region"], "per_head", "weight")
+    return g.select("region", F.col("n").cast("bigint").alias("n"), M.publish(100 * F.col("gini")).alias("gini"))
 
 
 @query("unpivot_long", """UNPIVOT (SELECT c_nationkey AS nationkey, round_even(avg(c_acctbal), 4) AS mean_balance, CAST(count(*) AS DOUBLE) AS customers, round_even(max(c_acctbal), 4) AS highest FROM customer GROUP BY ALL) ON mean_balance, customers, highest INTO NAME indicator VALUE value""")

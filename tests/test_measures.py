@@ -82,3 +82,27 @@ def test_weighted_share_and_mean(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, y double")
     assert M.index_family(df, ["g"], "y").count() == 0 and M.lorenz(df, ["g"], "y").count() == 0
+
+
+def test_ranks_in_parts(spark):
+    """Tiles are those of ntile, and the Gini that of all pairs, however values and ties fall into parts."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from regioscope.functions import measures as M
+
+    rnd = random.Random(4)
+    rows = [("a", float(rnd.choice([1, 2, 2, 2, rnd.random() * 50])), i, rnd.choice([0.5, 1.0, 3.0])) for i in range(700)] + [("b", float(i % 3), i, 1.0) for i in range(7)] + [("c", 5.0, 1, 2.0)] + [("d", 0.0, i, 1.0) for i in range(3)] + [("a", None, 9999, 1.0)]
+    df = spark.createDataFrame(rows, "g string, y double, i int, w double")
+    want = {(r.g, r.i): r.t for r in df.where("y is not null").withColumn("t", F.ntile(10).over(Window.partitionBy("g").orderBy("y", "i"))).collect()}
+    for parts in (1, 4, 64):
+        got = M.tiles(df, ["g"], 10, "y", "i", "t", parts)
+        assert {(r.g, r.i): r.t for r in got.collect()} == want and got.columns == ["g", "y", "i", "w", "t"]
+        ginis = {r.g: (r.n, r.gini) for r in M.split_gini(df, ["g"], "y", "w", parts).collect()}
+        for g in "abcd":
+            p = [(y, w) for k, y, _, w in rows if k == g and y is not None]
+            mu, total = sum(y * w for y, w in p) / sum(w for _, w in p), sum(w for _, w in p)
+            pairs = sum(w * v * abs(y - z) for y, w in p for z, v in p) / (2 * total**2 * mu) if mu and len(p) > 1 else None
+            assert ginis[g][0] == len(p) and (ginis[g][1] == pytest.approx(pairs, abs=1e-12) if pairs is not None else ginis[g][1] is None)

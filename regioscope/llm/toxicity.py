@@ -9,7 +9,7 @@ only distinct bins with counts reach the driver. Bins are screened by their docu
 those of pairs, so a term that tells only beside another one is kept too: alone, by the log-odds z-value or
 the signed root of the likelihood ratio (which a term of toxic texts alone passes too); in a pair, by that
 root for texts that hold both, where it exceeds both terms' own (judged on ``pair_labels`` of the rows). The machine is fitted to the screened bins by
-Adam with logistic loss, and the fitted arrays are broadcast. Every document is scored over its whole text.
+Adam with logistic loss, its level is set on clean training rows that it has not seen (``levelled``), and the fitted arrays are broadcast. Every document is scored over its whole text.
 
 Edge cases: a text without screened terms (null, empty) scores sigmoid(w0); without labels of both
 kinds every score is the training share or 0.5; repeated rows score alike; an empty table gives none.
@@ -189,6 +189,28 @@ def fit(bins: list[np.ndarray], y: np.ndarray, *, counts: list[np.ndarray] | Non
     return Machine(at, float(p[0][0]), p[1], p[2])
 
 
+def levelled(bins: list[np.ndarray], y: np.ndarray, counts: list[np.ndarray], false_alarms: float = 0.01, least_clean: int = 200, seed: int = 7) -> Machine:
+    """The machine of all rows, its bias moved so that a score of 0.5 lets about that share of clean texts pass as toxic.
+
+    The level is read off clean rows that a machine of the other half of the rows has not seen. It only ever makes the machine more
+    sensitive, and never so that a text without a screened term is toxic. With fewer clean rows than ``least_clean`` the bias stays.
+    """
+    m = fit(bins, y, counts=counts)
+    half = np.random.default_rng(seed).random(len(y)) < 0.5
+    if (y == 0).sum() < least_clean or (y[half] == 1).sum() == 0 or (y[~half] == 1).sum() == 0:
+        return m
+    clean = []
+    for fold in (half, ~half):
+        other = fit([bins[k] for k in np.flatnonzero(~fold)], y[~fold], counts=[counts[k] for k in np.flatnonzero(~fold)])
+        unseen = np.flatnonzero(fold & (y == 0))
+        words = [np.repeat(bins[k], np.asarray(counts[k], np.int64)) for k in unseen]
+        s = other.score(np.concatenate([np.zeros(0, np.int64), *words]), np.concatenate(([0], np.cumsum([len(w) for w in words]))))
+        clean.append(np.log(s) - np.log1p(-s))
+    level = np.quantile(np.concatenate(clean), 1 - false_alarms)
+    m.bias += min(max(-level, 0.0), max(-0.5 - m.bias, 0.0))
+    return m
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", toxic: str = "toxic", most_labels: int = 20_000, seed: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     spark = docs.sparkSession
@@ -212,7 +234,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     got = narrow.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").mapInArrow(gather, "doc_id bigint, y int, bins array<int>, n array<int>").toArrow()
     got = got.sort_by([("doc_id", "ascending")]).combine_chunks()
     lists, counts = ([np.asarray(b, np.int64) for b in got.column(c).to_numpy(zero_copy_only=False)] if got.num_rows else [] for c in ("bins", "n"))
-    model = spark.sparkContext.broadcast(fit(lists, got.column("y").to_numpy().astype(float), counts=counts))
+    model = spark.sparkContext.broadcast(levelled(lists, got.column("y").to_numpy().astype(float), counts))
 
     def score(source):
         m = model.value

@@ -28,3 +28,22 @@ def test_ratio_root_against_plain_sums():
         want = 2 * sum(k * np.log(k * (n1 + n0) / (n * m)) for k, n, m in cells if k)
         got = toxicity.ratio_root(np.array([float(a)]), np.array([float(c)]), n1, n0)[0]
         assert abs(got**2 - want) < 1e-6
+
+
+def test_level_is_read_off_unseen_clean_rows():
+    rng = np.random.default_rng(0)
+    bins, y = [], []
+    for k in range(1200):
+        toxic = k % 6 == 0
+        words = rng.integers(100, 2000, 30).tolist() + ([int(rng.integers(1, 12))] if toxic and k % 4 else [])
+        bins.append(np.unique(np.array(words, np.int64)))
+        y.append(float(toxic))
+    counts = [np.ones(len(b)) for b in bins]
+    plain, m = toxicity.fit(bins, np.array(y), counts=counts), toxicity.levelled(bins, np.array(y), counts)
+    assert plain.bias <= m.bias <= max(plain.bias, -0.5)
+    score = lambda m, k: m.score(bins[k], np.array([0, len(bins[k])]))[0]
+    clean = [k for k in range(1200) if not y[k]]
+    assert np.mean([score(m, k) >= 0.5 for k in clean]) <= 0.02
+    assert sum(score(m, k) >= 0.5 for k in range(1200) if y[k]) >= sum(score(plain, k) >= 0.5 for k in range(1200) if y[k])
+    few = toxicity.levelled(bins[:100], np.array(y[:100]), counts[:100])
+    assert few.bias == toxicity.fit(bins[:100], np.array(y[:100]), counts=counts[:100]).bias

@@ -13,12 +13,16 @@ m, the smaller one counts) before it is verified.
    across shingles and kept with enough matches and fitting sizes. On a shingle with more nodes they
    meet as star edges (dealt out by salt, the salts' first nodes meet after), never as pairs; a pair may
    have as many of its matches there as both prefixes reach such shingles, so fewer are asked elsewhere.
+   Nodes are counted once, however many tasks met a copy of theirs; where no node has all its matches
+   on such shingles, there is no star.
 3. Verification reads whole texts, recomputes the sets and leaves a forest of verified links.
    What the edges connect, up to ``block`` nodes, is read once and verified in one task. In a larger
    group the counted pairs are verified one by one (a node's text beside its candidates'), so a chain
    of candidates costs what its pairs cost; and what only frequent shingles connect is dealt out in
    blocks, first each block by itself with a few common nodes, which joins near copies into one class,
-   then only nodes outside the group's largest class against the others. No task holds a large group,
+   then only nodes outside the group's largest class against the others. For the latter, and for counted
+   pairs, sketches of BINS bytes go out first: sets of similarity t differ in few bins, so only pairs
+   that may link have their texts sent, or two blocks where that is less. No task holds a large group,
    and no link between nodes in different classes goes unchecked.
 4. Components of the verified links give the classes.
 
@@ -43,6 +47,8 @@ OFTEN, FREQUENT, MOST_FREQUENT = 4, 12, 400_000
 #: Nodes on one shingle that meet as pairs.
 LIMIT = 96
 _SEEN = 22
+#: A sketch counts a set's shingles by their lowest bits; this many blocks of sketches meet as many in one task.
+BINS, SKETCHES = 256, 8
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,9 +273,112 @@ def _verified(shared, n: int, percent: int):
     return emit
 
 
+def _sketched(n: int):
+    """Set size and sketch (counts by bin, 255 at most) of each node."""
+
+    def emit(source):
+        for data, offs, more in K.batches(source, "text", "node"):
+            r, to = shingles(data, offs, n)
+            docs = len(to) - 1
+            at = np.repeat(np.arange(docs), np.diff(to)) * BINS + (r & np.uint64(BINS - 1)).astype(np.int64)
+            flat = np.minimum(np.bincount(at, minlength=docs * BINS), 255).astype(np.uint8)
+            sketch = pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer(np.arange(docs + 1, dtype=np.int32) * BINS), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([more["node"], pa.array(np.diff(to)), sketch], ["node", "size", "sketch"])
+
+    return emit
+
+
+def _bins(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of counts."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sketches (rows) and summed sizes can be similar: bins differ by no more than the sets do."""
+    return (100 + percent) * np.abs(a - b).sum(1, dtype=np.int64) <= (100 - percent) * sizes
+
+
+def _screened(percent: int):
+    """Counted pairs whose sketches allow a link."""
+
+    def emit(source):
+        for t in source:
+            sizes = t.column("size").to_numpy() + t.column("size2").to_numpy()
+            for a in range(0, t.num_rows, 1024):
+                one = t.slice(a, 1024)
+                ok = may_link(_bins(one.column("sketch")), _bins(one.column("sketch2")), sizes[a : a + 1024], percent)
+                yield pa.RecordBatch.from_arrays([one.column(c).filter(pa.array(ok)) for c in ("node", "least")], ["node", "least"])
+
+    return emit
+
+
+def close(size: np.ndarray, cls: np.ndarray, x: np.ndarray, rough: np.ndarray, a: slice, b: slice, percent: int, most: int) -> list[tuple[int, int]] | None:
+    """Places of pairs of block a and block b (each ascending by size) in different classes that may link; None if more than ``most``."""
+    out = []
+    lo = b.start + np.searchsorted(size[b], -(-percent * size[a] // 100), "left")
+    hi = b.start + np.searchsorted(size[b], 100 * size[a] // percent, "right")
+    for k, i in enumerate(range(a.start, a.stop)):
+        j0, j1 = max(lo[k], i + 1) if a == b else lo[k], hi[k]
+        if j0 >= j1:
+            continue
+        j = j0 + np.flatnonzero(may_link(rough[j0:j1], rough[i], size[j0:j1] + size[i], percent) & (cls[j0:j1] != cls[i]))
+        j = j[may_link(x[j], x[i], size[j] + size[i], percent)]
+        out += [(i, v) for v in j.tolist()]
+        if len(out) > most:
+            return None
+    return out
+
+
+def _close_pairs(percent: int, block: int):
+    """Of sketches dealt as (grp, si, sj): pairs that may link, or (node null) two blocks that hold more than ``block`` of them."""
+    names = ["grp", "si", "sj"]
+
+    def solve(t: pa.Table):
+        key = np.stack([t.column(c).to_numpy() for c in names])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            one = t.slice(lo, hi - lo)
+            side, blk, size, cls, node = (one.column(c).to_numpy() for c in ("place", "blk", "size", "cls", "node"))
+            x = _bins(one.column("sketch"))
+            rough = x.reshape(len(x), -1, 4).sum(2, dtype=np.int16)
+            brk = [0, *(np.flatnonzero(blk[1:] != blk[:-1]) + 1).tolist(), len(blk)]
+            parts = [slice(p, q) for p, q in zip(brk[:-1], brk[1:], strict=True)]
+            si, sj = key[1, lo], key[2, lo]
+            for u, a in enumerate(parts):
+                for b in parts[u:]:
+                    if si != sj and side[a.start] == side[b.start]:
+                        continue
+                    got = close(size, cls, x, rough, a, b, percent, block)
+                    rows = [(None, None)] if got is None else [(int(node[j]), int(node[i])) for i, j in got]
+                    if rows:
+                        same = [np.full(len(rows), v, np.int64) for v in (key[0, lo], blk[a.start], blk[b.start])]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, same), *(pa.array(v, pa.int64()) for v in zip(*rows, strict=True))], ["grp", "bi", "bj", "node", "least"])
+
+    def emit(source):
+        held, size = [], 0
+        for batch in source:  # sorted by group, both places, block and size
+            held.append(batch)
+            size += batch.nbytes
+            if size > 4 << 20:
+                t = pa.Table.from_batches(held)
+                key = np.stack([t.column(c).to_numpy() for c in names])
+                brk = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+                if len(brk):
+                    k = int(brk[-1]) + 1
+                    yield from solve(t.slice(0, k))
+                    held = t.slice(k).to_batches()
+                    size = sum(x.nbytes for x in held)
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return emit
+
+
 def met(postings: DataFrame) -> DataFrame:
-    """Postings of shingles with two nodes or more, with their number; a salted shingle counts as one with many."""
-    rows = postings.withColumn("df", F.count("*").over(Window.partitionBy("tok", "salt")))
+    """Postings of shingles with two nodes or more, each node once, with their number; a salted shingle counts as one with many."""
+    by = Window.partitionBy("tok", "salt")
+    rows = postings.withColumn("before", F.lag("node").over(by.orderBy("node"))).where("before is null or before <> node").drop("before")
+    rows = rows.withColumn("df", F.count("*").over(by))
     return rows.where("df > 1 or salt > 0").withColumn("df", F.when(F.col("salt") > 0, LIMIT + 1).otherwise(F.col("df"))).drop("salt")
 
 
@@ -281,11 +390,15 @@ def candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pair = "struct(least(a.node, b.node) as least, greatest(a.node, b.node) as node, least(shiftright(a.nm, 32), shiftright(b.nm, 32)) as m)"
     each = F.expr(f"flatten(transform(x, (a, i) -> transform(filter(slice(x, i + 2, size(x)), b -> {fits}), b -> {pair})))")
     pairs = few.select(F.explode(each).alias("p")).select("p.*").groupBy("node", "least", "m").agg(F.count("*").alias("n"))
-    many = rows.where(F.col("df") > LIMIT).select("tok", "node")
-    reach = many.distinct().groupBy("node").agg(F.count("*").alias("f"))
+    many = rows.where(F.col("df") > LIMIT).select("tok", "node", F.shiftright("nm", 32).alias("m"))
+    reach = many.groupBy("node").agg(F.count("*").alias("f"))
     f = F.least(F.coalesce("f1", F.lit(0)), F.coalesce("f2", F.lit(0)))
     pairs = pairs.join(reach.withColumnRenamed("f", "f1"), "node", "left").join(reach.select(F.col("node").alias("least"), F.col("f").alias("f2")), "least", "left")
     pairs = pairs.where(F.col("n") >= F.col("m") - f).select("node", "least")
+    # a pair without a match elsewhere has all on these shingles: the m of one of the two, and no fewer are reached by either
+    many = cut(many.join(reach, "node"))
+    fewest = many.where("f >= m").groupBy("tok").agg(F.min("m").alias("fewest"))
+    many = many.join(fewest, "tok").where("f >= fewest").select("tok", "node")
     least = F.min("node").over(Window.partitionBy("tok", "salt"))
     star = cut(many.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("least", least).select(F.when(F.col("node") == F.col("least"), F.col("tok")).alias("tok"), "node", "least").distinct())
     heads = star.where("tok is not null").select("tok", "node").withColumn("least", F.min("node").over(Window.partitionBy("tok"))).select("node", "least")
@@ -304,18 +417,27 @@ def dealt_blocks(nodes: DataFrame, block: int, leaders: int = 8) -> DataFrame:
     return placed.withColumn("blk", at).select("grp", F.col("blk").alias("bi"), F.col("blk").alias("bj"), "blk", "node", F.col("node").alias("cls"), "text")
 
 
-def dealt_rest(nodes: DataFrame, classes: DataFrame, block: int) -> DataFrame:
-    """What is still to be compared in large groups: nodes outside the group's largest class with all others, as pairs of blocks."""
-    known = nodes.select("grp", "node").join(classes, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
+def dealt_rest(nodes: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """What is still to be compared in large groups, nodes outside the group's largest class with all others: (nodes with their blocks, sketches as pairs of places).
+
+    Sizes of similar sets lie in one band or in two neighbouring ones. A block holds nodes of one band, inside the
+    largest class or outside; SKETCHES blocks are a place.
+    """
+    known = nodes.select("grp", "node").distinct().join(classes, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
     size = known.groupBy("grp", "cls").agg(F.count("*").alias("c"))
     top = size.groupBy("grp").agg(F.max(F.struct("c", "cls")).alias("top"), F.sum("c").alias("members")).where("top.c < members")
-    many = lambda n: F.ceil(n / F.lit(block))
-    top = top.select("grp", F.col("top.cls").alias("main"), many(F.col("members") - F.col("top.c")).alias("rb"), many(F.col("top.c")).alias("gb"))
-    h, inside = F.xxhash64("node"), F.col("cls") == F.col("main")
-    x = known.join(top, "grp").withColumn("blk", F.when(inside, F.col("rb") + F.pmod(h, F.col("gb"))).otherwise(F.pmod(h, F.col("rb"))))
-    other = F.sequence(F.lit(0).cast("bigint"), F.col("rb") - 1 + F.when(inside, 0).otherwise(F.col("gb")))
-    x = x.join(nodes.select("grp", "node", "text"), ["grp", "node"]).withColumn("other", F.explode(other))
-    return x.select("grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "cls", "text")
+    band = F.floor(F.log("size") / F.lit(float(np.log(100 / percent)) + 0.01)).cast("bigint")
+    inside = (F.col("cls") == F.col("main")).cast("bigint")
+    x = known.join(top.select("grp", F.col("top.cls").alias("main")), "grp").join(sketches, "node").withColumns({"band": band, "inside": inside})
+    held = x.groupBy("grp", "band", "inside").agg(F.ceil(F.count("*") / F.lit(block)).alias("nb"))
+    at = lambda no: F.col("band") * (1 << 33) + F.col("inside") * (1 << 32) + no
+    x = x.join(held, ["grp", "band", "inside"]).withColumn("no", F.pmod(F.xxhash64("node"), "nb"))
+    x = cut(x.select("grp", "node", "cls", "size", "sketch", "band", "inside", at(F.col("no")).alias("blk"), at(F.floor(F.col("no") / F.lit(SKETCHES))).alias("place")))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("nb") - 1) / F.lit(SKETCHES)))
+    places = held.select("grp", "band", "inside", F.explode(numbers).alias("no")).withColumn("other", at(F.col("no")))
+    places = places.select("grp", "other", F.col("inside").alias("beside"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    both = x.join(places, ["grp", "band"]).where("inside = 0 or beside = 0")
+    return x, both.select("grp", F.least("place", "other").alias("si"), F.greatest("place", "other").alias("sj"), "place", "blk", "size", "node", "cls", "sketch")
 
 
 def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
@@ -345,13 +467,19 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     work = texts.where(F.col("members") <= block).select("grp", zero.alias("bi"), zero.alias("bj"), zero.alias("blk"), "node", F.col("node").alias("cls"), "text")
     large = texts.where(F.col("members") > block).select("node", "text")
+    part = lambda a: F.lit(a).cast("bigint")
+
+    def beside(found: DataFrame, of: DataFrame) -> DataFrame:
+        """Texts of pairs (node, least): each least as a head, with its nodes beside it."""
+        heads = of.join(found.select(F.col("least").alias("node")), "node", "left_semi").select(F.col("node").alias("grp"), part(-1).alias("blk"), "node", "text")
+        rows = heads.union(found.join(of, "node").select(F.col("least").alias("grp"), part(-2).alias("blk"), "node", "text"))
+        return rows.select("grp", part(-2).alias("bi"), part(-1).alias("bj"), "blk", "node", F.col("node").alias("cls"), "text")
+
     hot = None
     if sizes.where(F.col("members") > block).limit(1).count():
-        part = lambda a: F.lit(a).cast("bigint")
-        mine = pairs.join(large.select("node"), "node", "left_semi")
-        heads = large.join(mine.select(F.col("least").alias("node")), "node", "left_semi").select(F.col("node").alias("grp"), part(-1).alias("blk"), "node", "text")
-        beside = mine.join(large, "node").select(F.col("least").alias("grp"), part(-2).alias("blk"), "node", "text")
-        work = work.union(heads.union(beside).select("grp", part(-2).alias("bi"), part(-1).alias("bj"), "blk", "node", F.col("node").alias("cls"), "text"))
+        sketches = cut(large.mapInArrow(_sketched(n), "node bigint, size bigint, sketch binary").dropDuplicates(["node"]))
+        mine = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("least"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2")), "least")
+        work = work.union(beside(cut(mine.mapInArrow(_screened(percent), "node bigint, least bigint")), large))
         among = components(star.join(large.select("node"), "node", "left_semi"), "node", "least").withColumnRenamed("component", "grp")
         held = among.groupBy("grp").agg(F.count("*").alias("members"))
         hot = cut(among.join(held, "grp").join(large, "node"))
@@ -359,8 +487,14 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links_found = verify(work)
     classes = components(links_found, "u", "v")
     if hot is not None:
-        classes = components(links_found.union(verify(dealt_rest(hot, cut(classes), block))), "u", "v")
-        release(hot)
+        placed, dealt = dealt_rest(hot, cut(classes), sketches, percent, block)
+        dealt = dealt.repartition(parts, "grp", "si", "sj").sortWithinPartitions("grp", "si", "sj", "blk", "size")
+        found = cut(dealt.mapInArrow(_close_pairs(percent, block), "grp bigint, bi bigint, bj bigint, node bigint, least bigint"))
+        blocks = found.where("node is null").select("grp", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("blk"))
+        blocks = blocks.join(placed.select("grp", "blk", "node", "cls"), ["grp", "blk"]).join(hot.select("grp", "node", "text"), ["grp", "node"])
+        rest = blocks.select(*ROW).union(beside(found.where("node is not null").select("node", "least"), hot.select("node", "text")))
+        classes = components(links_found.union(verify(rest)), "u", "v")
+        release(hot, sketches, placed)
     release(texts, pairs)
     named = nodes.select("node", "first").join(classes, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
     named = cut(named)

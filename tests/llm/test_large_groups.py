@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import brute
-from regioscope.llm import jaccard
+from regioscope.llm import jaccard, pipeline
 
 
 def words(rnd, n):
@@ -89,3 +89,20 @@ def test_only_pairs_that_may_link_have_texts_sent(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc: (r.n_shingles, r.component) for r in jaccard.jaccard_classes(df, block=8).collect()}
     assert got == brute.jaccard(rows) and len(sent) == 1 and sum(sent) < 600  # of 44,850 pairs; in blocks, 300 texts would go out 38 times each
+
+
+def test_stage_with_a_table_repeated(spark, monkeypatch):
+    """The pipeline's stage on 20 copies of a table with other ids: no shingle is taken for a shared one, the first copy stays."""
+    rnd = random.Random(7)
+    texts = [" ".join(words(rnd, 30)) for _ in range(40)]
+    docs = spark.createDataFrame([(40 * k + i, t) for k in range(20) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(8)
+    kept, old = [], jaccard.met
+
+    def met(postings):
+        got = old(postings)
+        kept.append(got.count())
+        return got
+
+    monkeypatch.setattr(jaccard, "met", met)
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()) == list(range(40))
+    assert kept == [0]

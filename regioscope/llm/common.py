@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _written: dict[int, str] = {}
 _made: list[str] = []  # every cut's folder, in order, until it is deleted
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder as Parquet and read back: lineage ends there and columns can be pruned."""
+    """Materialise in the shared folder as Parquet and read back: lineage ends there and columns can be pruned.
+
+    The shuffle files of the write go as soon as it is done, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     _made.append(path)
     got = spark.read.schema(df.schema).parquet(path)
     _written[id(got)] = path

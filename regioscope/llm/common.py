@@ -43,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows cross to Python in Arrow batches of at most 2,000 rows and some 4 MB: what operators hold is counted in whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder as Parquet and read back: lineage ends there and columns can be pruned.
 

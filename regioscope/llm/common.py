@@ -97,36 +97,49 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 #: Rows of two longs up to which a lookup table is broadcast (16 MB); beyond, a merge join that the engine splits on skew.
 LOOKUP_ROWS = 1_000_000
+#: A small step runs in so many tasks at least.
+TASKS = 12
 
 
-def _with_least(e: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+def few(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
+    """A shuffle's result in no more tasks than its counted rows ask for; a large one keeps all its partitions."""
+    return df.coalesce(max(TASKS, rows // each))
+
+
+def lookup(df: DataFrame, rows: int) -> DataFrame:
+    """A table of counted rows, for a join: broadcast if small."""
+    return F.broadcast(df) if rows <= LOOKUP_ROWS else df
+
+
+def _with_least(e: DataFrame, rows: int, files: int) -> tuple[DataFrame, DataFrame]:
     """(e with m, the least of each u and its neighbours; the lookup u, m). A hub's edges stay spread over tasks.
 
     The lookup is broadcast where it is small, as counted; else it is written first, so that the join
     reads two plain shuffles and adaptive execution deals a hub's rows out.
     """
-    low = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(files)
     low = F.broadcast(low) if rows <= LOOKUP_ROWS else cut(low)
     return e.join(low, "u"), low
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the least node reachable, for every node with an edge.
+    """(node, component), written: the least node reachable, for every node with an edge.
 
     Alternating large-star and small-star steps: each is one grouped minimum and one join on the
     node, so a node of any degree is handled by partial aggregation, and the number of rounds grows
     with the logarithm of a component's diameter. Every round is written to the shared folder, and
-    rounds go on until nothing changes.
+    rounds go on until nothing changes. An edge may stand several times. A round's steps run in as many
+    tasks as its edges ask for, whatever the session's number of shuffle partitions.
     """
-    e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
     rows = e.count()
     files = max(4, rows // 200_000)  # a round's edges are no more than the first ones; small graphs stay in few files
     last = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large, _ = _with_least(both, 2 * rows)
+        large, _ = _with_least(both, 2 * rows, files)
         large = cut(large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(files))
-        small, low = _with_least(large, rows)  # u's neighbours are all smaller, and so is m
+        small, low = _with_least(large, rows, files)  # u's neighbours are all smaller, and so is m
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         before, e = e, cut(small.distinct().coalesce(files))
         release(before, large)
@@ -134,6 +147,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if state == last:
             break
         last = state
-    star = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = star.select(F.col("component").alias("node"), "component").distinct()
-    return star.union(roots)
+    star = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").coalesce(files)
+    roots = star.select(F.col("component").alias("node"), "component").distinct().coalesce(files)
+    got = cut(star.union(roots))
+    release(e)
+    return got

@@ -11,7 +11,7 @@ m, the smaller one counts) before it is verified.
    are broadcast. They steer the order and the choice of m, never the result.
 2. Prefix postings are counted by shingle. Up to LIMIT nodes on a shingle meet as pairs, counted
    across shingles and kept with enough matches and fitting sizes. On a shingle with more nodes they
-   meet as star edges (dealt out by salt, the salts' first nodes meet after), never as pairs; a pair may
+   meet as star edges (each node with one that the shingle's count tells), never as pairs; a pair may
    have as many of its matches there as both prefixes reach such shingles, so fewer are asked elsewhere.
    Nodes are counted once, however many tasks met a copy of theirs; where no node has all its matches
    on such shingles, there is no star.
@@ -26,6 +26,9 @@ m, the smaller one counts) before it is verified.
    and no link between nodes in different classes goes unchecked.
 4. Components of the verified links give the classes.
 
+What a step works on is counted first: small steps run in few tasks and look small tables up by broadcast,
+so that a small or skewed table doesn't pay for a session's many shuffle partitions.
+
 Edge cases: null text or no words: empty set, linked with nothing; fewer words than a shingle: the
 whole sequence is the one shingle; a null id is never a class's smallest id (only if all its ids are
 null the class has none); repeated ids and rows are rows of their own, linked by their texts alone.
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import components, cut, release
+from .common import components, cut, few, lookup, release
 
 LEAST = -(1 << 63)
 #: A task tells shingles it met so often; the corpus calls so many frequent, and no more than these are kept.
@@ -384,25 +387,27 @@ def met(postings: DataFrame) -> DataFrame:
 
 def candidates(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(counted pairs, star edges), each (node, least): together they connect at least every pair that can match often enough."""
-    few = rows.where(F.col("df") <= LIMIT).groupBy("tok").agg(F.collect_set(F.struct("node", "nm")).alias("x"))
+    n = rows.count()
+    posts = few(rows.where(F.col("df") <= LIMIT).groupBy("tok").agg(F.collect_set(F.struct("node", "nm")).alias("x")), n)
     size = "({0}.nm & 4294967295)"
     fits = f"100 * least({size.format('a')}, {size.format('b')}) >= {percent} * greatest({size.format('a')}, {size.format('b')})"
     pair = "struct(least(a.node, b.node) as least, greatest(a.node, b.node) as node, least(shiftright(a.nm, 32), shiftright(b.nm, 32)) as m)"
     each = F.expr(f"flatten(transform(x, (a, i) -> transform(filter(slice(x, i + 2, size(x)), b -> {fits}), b -> {pair})))")
-    pairs = few.select(F.explode(each).alias("p")).select("p.*").groupBy("node", "least", "m").agg(F.count("*").alias("n"))
+    pairs = few(posts.select(F.explode(each).alias("p")).select("p.*").groupBy("node", "least", "m").agg(F.count("*").alias("n")), n)
     many = rows.where(F.col("df") > LIMIT).select("tok", "node", F.shiftright("nm", 32).alias("m"))
-    reach = many.groupBy("node").agg(F.count("*").alias("f"))
+    reach = cut(few(many.groupBy("node").agg(F.count("*").alias("f")), n))
+    reached = reach.count()
     f = F.least(F.coalesce("f1", F.lit(0)), F.coalesce("f2", F.lit(0)))
-    pairs = pairs.join(reach.withColumnRenamed("f", "f1"), "node", "left").join(reach.select(F.col("node").alias("least"), F.col("f").alias("f2")), "least", "left")
-    pairs = pairs.where(F.col("n") >= F.col("m") - f).select("node", "least")
+    pairs = pairs.join(lookup(reach.withColumnRenamed("f", "f1"), reached), "node", "left")
+    pairs = pairs.join(lookup(reach.select(F.col("node").alias("least"), F.col("f").alias("f2")), reached), "least", "left")
+    pairs = cut(few(pairs.where(F.col("n") >= F.col("m") - f).select("node", "least"), n))
     # a pair without a match elsewhere has all on these shingles: the m of one of the two, and no fewer are reached by either
-    many = cut(many.join(reach, "node"))
-    fewest = many.where("f >= m").groupBy("tok").agg(F.min("m").alias("fewest"))
-    many = many.join(fewest, "tok").where("f >= fewest").select("tok", "node")
-    least = F.min("node").over(Window.partitionBy("tok", "salt"))
-    star = cut(many.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("least", least).select(F.when(F.col("node") == F.col("least"), F.col("tok")).alias("tok"), "node", "least").distinct())
-    heads = star.where("tok is not null").select("tok", "node").withColumn("least", F.min("node").over(Window.partitionBy("tok"))).select("node", "least")
-    return cut(pairs), star.select("node", "least").union(heads).where("node <> least").distinct()
+    many = cut(many.join(lookup(reach, reached), "node"))
+    heads = cut(few(many.where("f >= m").groupBy("tok").agg(F.min("m").alias("fewest"), F.min("node").alias("least")), n))
+    star = many.join(lookup(heads, heads.count()), "tok").where("f >= fewest and node <> least").select("node", "least").distinct()
+    star = cut(few(star, n))
+    release(reach, many, heads)
+    return pairs, star
 
 
 ROW = ["grp", "bi", "bj", "blk", "node", "cls", "text"]
@@ -417,27 +422,37 @@ def dealt_blocks(nodes: DataFrame, block: int, leaders: int = 8) -> DataFrame:
     return placed.withColumn("blk", at).select("grp", F.col("blk").alias("bi"), F.col("blk").alias("bj"), "blk", "node", F.col("node").alias("cls"), "text")
 
 
-def dealt_rest(nodes: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+def dealt_rest(nodes: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int, block: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """What is still to be compared in large groups, nodes outside the group's largest class with all others: (nodes with their blocks, sketches as pairs of places).
 
     Sizes of similar sets lie in one band or in two neighbouring ones. A block holds nodes of one band, inside the
-    largest class or outside; SKETCHES blocks are a place.
+    largest class or outside; SKETCHES blocks are a place. ``rows`` is the number of rows of ``nodes``.
     """
-    known = nodes.select("grp", "node").distinct().join(classes, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
-    size = known.groupBy("grp", "cls").agg(F.count("*").alias("c"))
+    known = few(nodes.select("grp", "node").distinct(), rows).join(lookup(classes, classes.count()), "node", "left")
+    known = cut(few(known.withColumn("cls", F.coalesce("component", "node")).drop("component"), rows))
+    size = few(known.groupBy("grp", "cls").agg(F.count("*").alias("c")), rows)
     top = size.groupBy("grp").agg(F.max(F.struct("c", "cls")).alias("top"), F.sum("c").alias("members")).where("top.c < members")
+    top = lookup(few(top.select("grp", F.col("top.cls").alias("main")), rows), rows)
     band = F.floor(F.log("size") / F.lit(float(np.log(100 / percent)) + 0.01)).cast("bigint")
     inside = (F.col("cls") == F.col("main")).cast("bigint")
-    x = known.join(top.select("grp", F.col("top.cls").alias("main")), "grp").join(sketches, "node").withColumns({"band": band, "inside": inside})
-    held = x.groupBy("grp", "band", "inside").agg(F.ceil(F.count("*") / F.lit(block)).alias("nb"))
+    x = few(known.join(top, "grp").join(sketches, "node"), rows).withColumns({"band": band, "inside": inside})
+    held = cut(few(x.groupBy("grp", "band", "inside").agg(F.ceil(F.count("*") / F.lit(block)).alias("nb")), rows))
+    bands, blocks = held.agg(F.count("*"), F.coalesce(F.sum("nb"), F.lit(0))).first()
     at = lambda no: F.col("band") * (1 << 33) + F.col("inside") * (1 << 32) + no
-    x = x.join(held, ["grp", "band", "inside"]).withColumn("no", F.pmod(F.xxhash64("node"), "nb"))
-    x = cut(x.select("grp", "node", "cls", "size", "sketch", "band", "inside", at(F.col("no")).alias("blk"), at(F.floor(F.col("no") / F.lit(SKETCHES))).alias("place")))
+    x = x.join(lookup(held, bands), ["grp", "band", "inside"]).withColumn("no", F.pmod(F.xxhash64("node"), "nb"))
+    x = cut(few(x.select("grp", "node", "cls", "size", "sketch", "band", "inside", at(F.col("no")).alias("blk"), at(F.floor(F.col("no") / F.lit(SKETCHES))).alias("place")), rows))
+    release(known)
     numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("nb") - 1) / F.lit(SKETCHES)))
     places = held.select("grp", "band", "inside", F.explode(numbers).alias("no")).withColumn("other", at(F.col("no")))
     places = places.select("grp", "other", F.col("inside").alias("beside"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
-    both = x.join(places, ["grp", "band"]).where("inside = 0 or beside = 0")
-    return x, both.select("grp", F.least("place", "other").alias("si"), F.greatest("place", "other").alias("sj"), "place", "blk", "size", "node", "cls", "sketch")
+    both = x.join(lookup(places, 3 * (bands + blocks // SKETCHES)), ["grp", "band"]).where("inside = 0 or beside = 0")
+    dealt = both.select("grp", F.least("place", "other").alias("si"), F.greatest("place", "other").alias("sj"), "place", "blk", "size", "node", "cls", "sketch")
+    dealt = few(dealt.repartition(_parts(nodes), "grp", "si", "sj"), rows * max(1, blocks // SKETCHES), 1_000)
+    return x, dealt.sortWithinPartitions("grp", "si", "sj", "blk", "size")
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
@@ -449,56 +464,67 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     often = often.orderBy(F.desc("n"), "tok").limit(MOST_FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("tok").to_numpy().view(np.uint64), often.column("n").to_numpy()))
     keyed = got.where("kind = 0").select("doc", "th", "n", "node")
+    rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     one = F.struct(F.coalesce("doc", F.lit(LEAST)).alias("doc"), "th")
-    nodes = keyed.where("n > 0").groupBy("node").agg(F.min("doc").alias("first"), F.min(one).alias("rep"))
-    posted = cut(met(base.mapInArrow(_postings(order, n, percent), "tok bigint, salt int, node bigint, nm bigint")))
+    nodes = few(keyed.where("n > 0").groupBy("node").agg(F.min("doc").alias("first"), F.min(one).alias("rep")), rows)
+    posted = cut(few(met(base.mapInArrow(_postings(order, n, percent), "tok bigint, salt int, node bigint, nm bigint")), total, 200_000))
     pairs, star = candidates(posted, percent)
     release(posted)
     coarse = components(pairs.union(star), "node", "least").withColumnRenamed("component", "grp")
-    member = cut(coarse.join(nodes.select("node", "rep.*"), "node"))
-    sizes = member.groupBy("grp").agg(F.count("*").alias("members"))
-    with_text = base.withColumn("doc", F.coalesce("doc", F.lit(LEAST))).hint("merge").join(member.join(sizes, "grp"), ["doc", "th"])  # one plan at every size
-    texts = cut(with_text.select("grp", "members", "node", "text"))
-    zero, parts = F.lit(0).cast("bigint"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = coarse.count()
+    member = cut(few(nodes.select("node", "rep.*").join(lookup(coarse, members), "node"), rows))
+    sizes = few(member.groupBy("grp").agg(F.count("*").alias("members")), members)
+    with_text = base.withColumn("doc", F.coalesce("doc", F.lit(LEAST))).hint("merge").join(member.join(lookup(sizes, members), "grp"), ["doc", "th"])  # one plan at every size
+    texts = cut(few(with_text.select("grp", "members", "node", "text"), rows, 1_000))
+    zero = F.lit(0).cast("bigint")
 
-    def verify(rows: DataFrame) -> DataFrame:
-        rows = rows.select(*ROW).repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "node")
-        return cut(rows.mapInArrow(_verified(order, n, percent), "u bigint, v bigint"))
+    def verify(work: DataFrame, many: int) -> DataFrame:
+        work = few(work.select(*ROW).repartition(_parts(base), "grp", "bi", "bj"), many, 1_000).sortWithinPartitions("grp", "bi", "bj", "node")
+        return cut(work.mapInArrow(_verified(order, n, percent), "u bigint, v bigint"))
 
     work = texts.where(F.col("members") <= block).select("grp", zero.alias("bi"), zero.alias("bj"), zero.alias("blk"), "node", F.col("node").alias("cls"), "text")
     large = texts.where(F.col("members") > block).select("node", "text")
     part = lambda a: F.lit(a).cast("bigint")
 
-    def beside(found: DataFrame, of: DataFrame) -> DataFrame:
+    def beside(found: DataFrame, many: int, of: DataFrame) -> DataFrame:
         """Texts of pairs (node, least): each least as a head, with its nodes beside it."""
-        heads = of.join(found.select(F.col("least").alias("node")), "node", "left_semi").select(F.col("node").alias("grp"), part(-1).alias("blk"), "node", "text")
-        rows = heads.union(found.join(of, "node").select(F.col("least").alias("grp"), part(-2).alias("blk"), "node", "text"))
-        return rows.select("grp", part(-2).alias("bi"), part(-1).alias("bj"), "blk", "node", F.col("node").alias("cls"), "text")
-
-    hot = None
-    if sizes.where(F.col("members") > block).limit(1).count():
-        sketches = cut(large.mapInArrow(_sketched(n), "node bigint, size bigint, sketch binary").dropDuplicates(["node"]))
-        mine = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("least"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2")), "least")
-        work = work.union(beside(cut(mine.mapInArrow(_screened(percent), "node bigint, least bigint")), large))
-        among = components(star.join(large.select("node"), "node", "left_semi"), "node", "least").withColumnRenamed("component", "grp")
-        held = among.groupBy("grp").agg(F.count("*").alias("members"))
-        hot = cut(among.join(held, "grp").join(large, "node"))
+        heads = of.join(lookup(found.select(F.col("least").alias("node")), many), "node", "left_semi").select(F.col("node").alias("grp"), part(-1).alias("blk"), "node", "text")
+        both = heads.union(of.join(lookup(found, many), "node").select(F.col("least").alias("grp"), part(-2).alias("blk"), "node", "text"))
+        return both.select("grp", part(-2).alias("bi"), part(-1).alias("bj"), "blk", "node", F.col("node").alias("cls"), "text")
+
+    many, beyond = members, large.count()
+    if beyond:
+        counted = pairs.count()
+        sketches = cut(few(large.mapInArrow(_sketched(n), "node bigint, size bigint, sketch binary").dropDuplicates(["node"]), beyond))
+        second = sketches.select(F.col("node").alias("least"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
+        mine = few(few(pairs.join(sketches, "node"), counted + beyond).join(second, "least"), counted + beyond)
+        screened = cut(mine.mapInArrow(_screened(percent), "node bigint, least bigint"))
+        sent = screened.count()
+        work = work.union(beside(screened, sent, large))
+        among = components(star.join(lookup(large.select("node"), beyond), "node", "left_semi"), "node", "least").withColumnRenamed("component", "grp")
+        held = few(among.groupBy("grp").agg(F.count("*").alias("members")), beyond)
+        hot = cut(few(large.join(lookup(among.join(lookup(held, beyond), "grp"), beyond), "node"), beyond, 1_000))
         work = work.union(dealt_blocks(hot, block))
-    links_found = verify(work)
+        many += 2 * sent
+    links_found = verify(work, many)
     classes = components(links_found, "u", "v")
-    if hot is not None:
-        placed, dealt = dealt_rest(hot, cut(classes), sketches, percent, block)
-        dealt = dealt.repartition(parts, "grp", "si", "sj").sortWithinPartitions("grp", "si", "sj", "blk", "size")
+    if beyond:
+        placed, dealt = dealt_rest(hot, classes, sketches, percent, block, beyond)
         found = cut(dealt.mapInArrow(_close_pairs(percent, block), "grp bigint, bi bigint, bj bigint, node bigint, least bigint"))
-        blocks = found.where("node is null").select("grp", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("blk"))
-        blocks = blocks.join(placed.select("grp", "blk", "node", "cls"), ["grp", "blk"]).join(hot.select("grp", "node", "text"), ["grp", "node"])
-        rest = blocks.select(*ROW).union(beside(found.where("node is not null").select("node", "least"), hot.select("node", "text")))
-        classes = components(links_found.union(verify(rest)), "u", "v")
+        whole, sent = found.agg(F.count_if(F.col("node").isNull()), F.count("node")).first()
+        rest = beside(found.where("node is not null").select("node", "least"), sent, hot.select("node", "text"))
+        if whole:
+            blocks = found.where("node is null").select("grp", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("blk"))
+            blocks = placed.select("grp", "blk", "node", "cls").join(lookup(blocks, 2 * whole), ["grp", "blk"]).join(hot.select("grp", "node", "text"), ["grp", "node"])
+            rest = rest.union(blocks.select("grp", "bi", "bj", "blk", "node", "cls", "text"))
+        more = verify(rest, 2 * sent + 2 * whole * block)
+        if more.limit(1).count():  # else the classes stay
+            classes = components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "u", "v")
         release(hot, sketches, placed)
-    release(texts, pairs)
-    named = nodes.select("node", "first").join(classes, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
-    named = cut(named)
-    least = named.groupBy("cls").agg(F.min("first").alias("component"))
-    of = cut(named.select("node", "cls").join(least, "cls"))
-    rows = keyed.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return rows.join(of, "node", "left").select("doc", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"), "cls")
+    release(texts, pairs, star)
+    named = nodes.select("node", "first").join(lookup(classes, members), "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component")
+    named = cut(few(named, rows))
+    least = few(named.groupBy("cls").agg(F.min("first").alias("component")), rows)
+    of = cut(few(named.select("node", "cls").join(least, "cls"), rows))
+    result = keyed.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return few(result.join(of, "node", "left"), rows).select("doc", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"), "cls")
